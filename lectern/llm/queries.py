@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import knn
+from . import encoding, knn
 
 
 def p3_found(spark, d):
@@ -11,5 +11,10 @@ def p3_found(spark, d):
     return knn.similar_pairs(table(spark, d, "ingest"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p8_found(spark, d):
+    """Documents with wrongly decoded characters and the length of their restored text."""
+    return encoding.found(table(spark, d, "documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p3_found": p3_found}
 SQL: dict[str, str] = {}
