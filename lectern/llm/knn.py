@@ -4,7 +4,7 @@ Each of ``tables`` hash tables cuts space into cells by floor((a.v + b) / width)
 random (2-stable) projections. A vector stands in its own cell and also visits the cells
 it reaches by the perturbations most likely to succeed: those whose boundaries lie
 nearest, in the order of the sum of squared distances to them. Cells are joined by Spark;
-inside a cell, block matrix products rank the visitors' candidates on one-byte
+inside a cell, block matrix products rank the visitors' candidates on four-bit
 codes, and what remains is reranked with the exact cosine of the full vectors.
 
 Crowded cells are split: residents into blocks, visitors into blocks, and each pair of
@@ -24,6 +24,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,74 +64,120 @@ def _cells(unit: np.ndarray, seed: int, table: int, m: int, width: float, probes
         return ((own[:, None, :] + moves[best]) * mix).sum(2)
 
 
-def usable(vectors: DataFrame, *, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """``(id, v array<float>)`` of the vectors that have a direction; one row for each id."""
-    v = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("w")).where("id is not null and w is not null").where(F.size("w") == dim)
-    squares = F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x)
-    v = v.withColumn("ss", squares).where("ss is not null and not isnan(ss) and ss < double('infinity') and ss > 0")
-    return v.select("id", F.transform("w", lambda x: (x / F.sqrt("ss")).cast("float")).alias("v"), F.col("w").cast("array<float>").alias("raw"))
+def _clean(batch, dim: int):
+    """ids, raw vectors and unit vectors of an Arrow batch's usable rows (columns id and v)."""
+    ids, lists = batch.column("id"), batch.column("v")
+    ok = np.asarray(ids.is_valid()) & np.asarray(pc.equal(pc.list_value_length(lists), dim).fill_null(False))
+    at = np.nonzero(ok)[0]
+    raw = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    wide = raw.astype(np.float64)
+    size = np.sqrt((wide * wide).sum(1))
+    good = np.isfinite(size) & (size > 0)
+    return ids.take(pa.array(at[good])).to_numpy(zero_copy_only=False).astype(np.int64), raw[good], (wide[good] / size[good][:, None]).astype(np.float32), at[good]
+
+
+def _raw(dim):
+    def run(batches):
+        for b in batches:
+            ids, raw, _, _ = _clean(b, dim)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in raw], pa.binary())], ["id", "raw"])
+
+    return run
+
+
+#: Largest error of a cosine by codes that is allowed for: five standard deviations at 64 wide.
+CODE_ERROR = 0.08
 
 
 def _codes(unit: np.ndarray) -> list[bytes]:
-    scale = np.abs(unit).max(1).astype(np.float32) / 127
-    code = np.rint(unit / scale[:, None]).astype(np.int8)
-    return [s.tobytes() + c.tobytes() for s, c in zip(scale, code)]
+    """Four bits a value, after a scale of four bytes."""
+    scale = np.maximum(np.abs(unit).max(1), 1e-30).astype(np.float32) / 7
+    code = (np.rint(unit / scale[:, None]) + 8).astype(np.uint8)
+    if code.shape[1] % 2:
+        code = np.concatenate([code, np.full((len(code), 1), 8, np.uint8)], 1)
+    packed = code[:, 0::2] << 4 | code[:, 1::2]
+    return [s.tobytes() + c.tobytes() for s, c in zip(scale, packed)]
 
 
 def _decode(codes) -> np.ndarray:
     raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    return np.ascontiguousarray(raw[:, 4:]).view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    packed = raw[:, 4:]
+    out = np.empty((len(codes), 2 * packed.shape[1]), np.float32)
+    out[:, 0::2] = packed >> 4
+    out[:, 1::2] = packed & 15
+    out -= 8
+    out *= np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    out /= np.maximum(np.linalg.norm(out, axis=1), 1e-30)[:, None]
+    return out
 
 
-def _spread(seed, tables, m, width, probes, with_codes):
+def _count(dim, seed, tables, m, width, probes):
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
+        for b in batches:
+            ids, _, unit, at = _clean(b, dim)
+            if not len(ids):
                 continue
-            unit = np.stack(pdf["v"].to_numpy()).astype(np.float32)
-            ids, asks = pdf["id"].to_numpy(), pdf["asks"].to_numpy()
-            codes = _codes(unit) if with_codes else None
+            asks = np.asarray(b.column("asks"))[at]
+            for t in range(tables):
+                cells = _cells(unit, seed, t, m, width, probes)
+                u, back = np.unique(cells, return_inverse=True)
+                back = back.reshape(cells.shape)
+                res, vis = np.bincount(back[:, 0], minlength=len(u)), np.bincount(back[asks].ravel(), minlength=len(u))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), t, np.int32)), pa.array(u), pa.array(res.astype(np.int64)), pa.array(vis.astype(np.int64))], ["t", "cell", "residents", "visitors"])
+
+    return run
+
+
+def _spread(dim, seed, tables, m, width, probes):
+    def run(batches):
+        for b in batches:
+            ids, _, unit, at = _clean(b, dim)
+            if not len(ids):
+                continue
+            asks = np.asarray(b.column("asks"))[at]
+            codes = np.array(_codes(unit), dtype=object)
             for t in range(tables):
                 cells = _cells(unit, seed, t, m, width, probes)
                 for p in range(cells.shape[1]):
                     keep = np.ones(len(ids), bool) if p == 0 else asks
-                    if not keep.any():
-                        continue
-                    out = {"t": np.int32(t), "cell": cells[keep, p], "id": ids[keep], "home": p == 0, "asks": asks[keep]}
-                    if with_codes:
-                        out["code"] = [c for c, k in zip(codes, keep) if k]
-                    yield pd.DataFrame(out)
+                    n = int(keep.sum())
+                    if n:
+                        cols = [pa.array(np.full(n, t, np.int32)), pa.array(cells[keep, p]), pa.array(ids[keep]), pa.array(np.full(n, p == 0)), pa.array(asks[keep]), pa.array(codes[keep], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(cols, ["t", "cell", "id", "home", "asks", "code"])
 
     return run
 
 
+def _exact(batches):
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.float32).reshape(b.num_rows, -1).astype(np.float64) if b.num_rows else np.zeros((0, 1)) for c in ("vq", "vn"))
+        sim = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("n"), pa.array(sim)], ["q", "n", "sim"])
+
+
 def _match(k: int, min_sim: float, pad: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         home, ask = pdf[pdf["resident"]], pdf[pdf["visitor"]]
-        none = pd.DataFrame({"q": np.array([], np.int64), "n": np.array([], np.int64), "s": np.array([], np.float32)})
         if not len(home) or not len(ask):
-            return none
+            return pd.DataFrame({"q": np.array([], np.int64), "n": np.array([], np.int64), "s": np.array([], np.float32)})
         h, hid = _decode(home["code"].tolist()), home["id"].to_numpy()
+        ask_code, ask_id = _decode(ask["code"].tolist()), ask["id"].to_numpy()
         keep, out = min(k + pad, len(hid)), []
-        for at in range(0, len(ask), 1024):
-            part = ask.iloc[at : at + 1024]
-            qid = part["id"].to_numpy()
-            s = _decode(part["code"].tolist()) @ h.T
-            s[qid[:, None] == hid[None, :]] = -9
-            if min_sim > -1:
-                # Only rows with more partners than are kept need a selection.
-                r, c = np.nonzero(s >= min_sim)
-                many = np.bincount(r, minlength=len(qid)) > keep
-                one = ~many[r]
-                out.append((qid[r[one]], hid[c[one]], s[r[one], c[one]]))
-                rows = np.nonzero(many)[0]
-            else:
-                rows = np.arange(len(qid))
-            if len(rows):
-                top = np.argpartition(-s[rows], keep - 1, axis=1)[:, :keep]
-                val = np.take_along_axis(s[rows], top, 1)
-                ok = val >= max(min_sim, -2)
-                out.append((np.repeat(qid[rows], keep)[ok.ravel()], hid[top][ok], val[ok]))
+        for at in range(0, len(ask_id), 1024):
+            qid = ask_id[at : at + 1024]
+            s = ask_code[at : at + 1024] @ h.T
+            r, c = np.nonzero(s >= min_sim)
+            other = qid[r] != hid[c]
+            r, c = r[other], c[other]
+            v = s[r, c]
+            n = np.bincount(r, minlength=len(qid))
+            if len(r) and n.max() > keep:  # the best of each row
+                order = np.lexsort((-v, r))
+                r, c, v = r[order], c[order], v[order]
+                first = np.concatenate([[0], np.cumsum(n)[:-1]])
+                top = np.arange(len(r)) - first[r] < keep
+                r, c, v = r[top], c[top], v[top]
+            out.append((qid[r], hid[c], v))
         q, n, s = (np.concatenate(x) for x in zip(*out))
         return pd.DataFrame({"q": q, "n": n, "s": s})
 
@@ -139,32 +187,29 @@ def _match(k: int, min_sim: float, pad: int):
 def shape_for(rows: int) -> dict:
     """Projections, tables and probes for so many rows: cells grow in number with the rows, tables and probes with the projections."""
     m = max(4, min(24, round(math.log2(max(rows, 1) / 2300))))
-    return {"projections": m, "tables": 2 if m <= 6 else 3 + (m - 7) // 2, "probes": 4 if m <= 6 else 6 + 2 * (m - 7)}
+    return {"projections": m, "tables": 3 if m <= 7 else 4 + (m - 8) // 2, "probes": 4 if m <= 6 else 6 + 2 * (m - 7)}
 
 
-def top_k(vectors: DataFrame, *, id_col="vec_id", vec_col="embeddings", dim=64, k=5, min_sim=-2.0, queries: DataFrame | None = None, projections=None, tables=None, probes=None, width=1.6, seed=11, pad=3) -> DataFrame:
+def top_k(vectors: DataFrame, *, id_col="vec_id", vec_col="embeddings", dim=64, k=5, min_sim=-2.0, queries: DataFrame | None = None, projections=None, tables=None, probes=None, width=1.6, seed=11, pad=15) -> DataFrame:
     """``(q, n, sim, rank)``: for each query its k most similar other vectors with at least ``min_sim``.
 
     ``queries`` (a column ``q``) names the rows that ask; all rows do without it.
     ``pad`` more than k are kept in each cell by the codes, whose cosine is off by less
-    than 0.01, before the exact rerank.
+    than ``CODE_ERROR``, before the exact rerank.
     """
-    base = usable(vectors, id_col=id_col, vec_col=vec_col, dim=dim)
+    vecs = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id is not null and v is not null")
     chosen = shape_for(vectors.count())
     m, nt, np_ = projections or chosen["projections"], tables or chosen["tables"], probes or chosen["probes"]
-    unit = base.select("id", "v")
-    asking = unit.withColumn("asks", F.lit(True))
+    asking = vecs.withColumn("asks", F.lit(True))
     if queries is not None:
         flags = queries.select(F.col("q").cast("bigint").alias("id")).distinct().withColumn("asks", F.lit(True))
-        asking = unit.join(flags, "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    spec = (seed, nt, m, width, np_)
-    counts = asking.mapInPandas(_spread(*spec, False), "t int, cell bigint, id bigint, home boolean, asks boolean").groupBy("t", "cell").agg(
-        F.count_if("home").alias("residents"), F.count_if("asks").alias("visitors")
-    )
+        asking = vecs.join(flags, "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    spec = (dim, seed, nt, m, width, np_)
+    counts = asking.mapInArrow(_count(*spec), "t int, cell bigint, residents bigint, visitors bigint").groupBy("t", "cell").agg(F.sum("residents").alias("residents"), F.sum("visitors").alias("visitors"))
     crowded = counts.where((F.col("residents") > RESIDENTS) | (F.col("visitors") > VISITORS)).select(
         "t", "cell", F.ceil(F.col("residents") / RESIDENTS).cast("int").alias("rb"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("vb")
     )
-    rows = asking.mapInPandas(_spread(*spec, True), "t int, cell bigint, id bigint, home boolean, asks boolean, code binary").join(crowded, ["t", "cell"], "left")
+    rows = asking.mapInArrow(_spread(*spec), "t int, cell bigint, id bigint, home boolean, asks boolean, code binary").join(crowded, ["t", "cell"], "left")
     rb, vb = F.greatest(F.coalesce("rb", F.lit(1)), F.lit(1)), F.greatest(F.coalesce("vb", F.lit(1)), F.lit(1))
     mine_r, mine_v = F.pmod(F.xxhash64("id"), rb).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), vb).cast("int")
     blocks = F.flatten(F.transform(F.sequence(F.lit(0), rb - 1), lambda i: F.transform(F.sequence(F.lit(0), vb - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
@@ -174,14 +219,13 @@ def top_k(vectors: DataFrame, *, id_col="vec_id", vec_col="embeddings", dim=64,
         "t", "cell", "b.i", "b.j", "id", "code",
         (F.col("home") & (F.col("b.i") == F.col("mr"))).alias("resident"), (F.col("asks") & (F.col("b.j") == F.col("mv"))).alias("visitor"),
     ).where("resident or visitor")
-    found = rows.groupBy("t", "cell", "i", "j").applyInPandas(_match(k, min_sim - 0.01, pad), "q bigint, n bigint, s float")
+    found = rows.groupBy("t", "cell", "i", "j").applyInPandas(_match(k, min_sim - CODE_ERROR, pad), "q bigint, n bigint, s float")
     # Of each question the best by code, then the exact cosine of those.
     best = found.groupBy("q", "n").agg(F.max("s").alias("s"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "n"))).where(F.col("r") <= k + pad).select("q", "n")
-    full = base.groupBy("id").agg(F.max("raw").alias("v"))
-    exact = best.join(full.select(F.col("id").alias("q"), F.col("v").alias("vq")), "q").join(full.select(F.col("id").alias("n"), F.col("v").alias("vn")), "n")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    exact = exact.select("q", "n", (dot("vq", "vn") / F.sqrt(dot("vq", "vq") * dot("vn", "vn"))).alias("sim")).where(F.col("sim") >= min_sim)
+    full = vecs.mapInArrow(_raw(dim), "id bigint, raw binary").groupBy("id").agg(F.max("raw").alias("v"))
+    pairs = best.join(full.select(F.col("id").alias("q"), F.col("v").alias("vq")), "q").join(full.select(F.col("id").alias("n"), F.col("v").alias("vn")), "n")
+    exact = pairs.mapInArrow(_exact, "q bigint, n bigint, sim double").where(F.col("sim") >= min_sim)
     return exact.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "n"))).where(F.col("rank") <= k)
 
 
