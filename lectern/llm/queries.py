@@ -3,7 +3,19 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import encoding, knn
+from . import encoding, history, knn
+
+
+def p1_found(spark, d):
+    """Rows of incoming that repeat a row of seen or an earlier row of incoming."""
+    old, new = table(spark, d, "seen"), table(spark, d, "incoming")
+    past = history.History(spark).accept(old)
+    return past.repeats(new, "scan_id").select(history.F.col("pos").alias("scan_id"))
+
+
+def p1_coverage(spark, d):
+    """Leading folders of each incoming path, and how many of them hold accepted files."""
+    return history.coverage(table(spark, d, "incoming"), table(spark, d, "seen"))
 
 
 def p3_found(spark, d):
@@ -16,5 +28,13 @@ def p8_found(spark, d):
     return encoding.found(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p3_found": p3_found}
+QUERIES = {"p1_found": p1_found, "p1_coverage": p1_coverage, "p8_found": p8_found, "p3_found": p3_found}
 SQL: dict[str, str] = {}
+
+SQL["p1_coverage"] = r"""
+WITH f AS (SELECT 0 AS scan_id, true AS old, string_split(regexp_replace(lower(relpath), '[/\\]+', '/', 'g'), '/') AS p FROM seen
+           UNION ALL SELECT scan_id, false, string_split(regexp_replace(lower(relpath), '[/\\]+', '/', 'g'), '/') FROM incoming),
+x AS (SELECT scan_id, old, array_to_string(p[1:i], '/') AS part FROM f, range(1, 64) r(i) WHERE i < len(p)),
+k AS (SELECT DISTINCT part FROM x WHERE old)
+SELECT scan_id, count(*) AS parts, count(k.part) AS known FROM x LEFT JOIN k USING (part) WHERE NOT old GROUP BY scan_id
+"""
