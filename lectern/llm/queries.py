@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import encoding, history, knn
+from . import encoding, history, knn, neardup
 
 
 def p1_found(spark, d):
@@ -23,12 +23,21 @@ def p3_found(spark, d):
     return knn.similar_pairs(table(spark, d, "ingest"))
 
 
+def _text_chunks(spark, d):
+    return table(spark, d, "store").where("chunk_type is null and chunk_index >= 0").select("chunk_id", "content")
+
+
+def p4_found(spark, d):
+    """Pairs of text chunks whose bags of words are at least 0.8 similar."""
+    return neardup.pairs(_text_chunks(spark, d))
+
+
 def p8_found(spark, d):
     """Documents with wrongly decoded characters and the length of their restored text."""
     return encoding.found(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_coverage": p1_coverage, "p8_found": p8_found, "p3_found": p3_found}
+QUERIES = {"p4_found": p4_found, "p1_found": p1_found, "p1_coverage": p1_coverage, "p8_found": p8_found, "p3_found": p3_found}
 SQL: dict[str, str] = {}
 
 SQL["p1_coverage"] = r"""
