@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import encoding, history, knn, neardup
+from . import encoding, history, knn, neardup, scans
 
 
 def p1_found(spark, d):
@@ -32,12 +32,22 @@ def p4_found(spark, d):
     return neardup.pairs(_text_chunks(spark, d))
 
 
+def p5_found(spark, d):
+    """Distinct scan defects: divided words, misread characters, headers, page numbers."""
+    return scans.found(table(spark, d, "store"), table(spark, d, "ingest"), table(spark, d, "lexicon"))
+
+
+def p5_repaired(spark, d):
+    """All texts as continuous paragraphs without page furniture."""
+    return scans.repaired(table(spark, d, "store"), table(spark, d, "ingest"), table(spark, d, "lexicon"))
+
+
 def p8_found(spark, d):
     """Documents with wrongly decoded characters and the length of their restored text."""
     return encoding.found(table(spark, d, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p1_found": p1_found, "p1_coverage": p1_coverage, "p8_found": p8_found, "p3_found": p3_found}
+QUERIES = {"p5_found": p5_found, "p5_repaired": p5_repaired, "p4_found": p4_found, "p1_found": p1_found, "p1_coverage": p1_coverage, "p8_found": p8_found, "p3_found": p3_found}
 SQL: dict[str, str] = {}
 
 SQL["p1_coverage"] = r"""
