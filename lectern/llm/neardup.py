@@ -21,7 +21,7 @@ copies is a class with members: of a class only its representative is linked.
 Defined results: null texts and texts without words belong to no group; repeated ids
 count once; words are runs of ASCII letters and digits after lower-casing; a text that
 equals another has similarity 1; an empty table gives no rows; extra columns are ignored.
-Elements are compared by 64 bits of their hash when indexed and 32 when verified.
+Elements are 32 bits of the hash of a word and its number.
 """
 
 from __future__ import annotations
@@ -85,17 +85,31 @@ def _elements(text: str, memo: dict) -> np.ndarray:
 
 
 def _bags(batches):
+    """Rows (bag, item): the number of element hashes (32 bits each), the hashes sorted, and the ids.
+
+    Copies within a batch are one row here, before the shuffle.
+    """
     memo: dict = {}
     for b in batches:
-        ids, bag, size, els = [], [], [], []
+        rows: dict[tuple, list[str]] = {}
         for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
             e = _elements(_TITLE.sub("", t, count=1).lower(), memo)
             if len(e):
-                ids.append(i)
-                bag.append(int(e.sum(dtype=np.uint64).astype(np.int64)))
-                size.append(len(e))
-                els.append(np.sort(e).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(bag, pa.int64()), pa.array(size, pa.int32()), pa.array(els, pa.binary())], ["id", "bag", "size", "els"])
+                head = len(e).to_bytes(4, "little") + np.sort((e >> np.uint64(32)).astype(np.uint32)).tobytes()
+                rows.setdefault((int(e.sum(dtype=np.uint64).astype(np.int64)), head), []).append(i)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.int64()), pa.array([k[1] + "\0".join(v).encode() for k, v in rows.items()], pa.binary())], ["bag", "item"])
+
+
+def _unpack(items) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and all elements."""
+    size = np.array([int.from_bytes(x[:4], "little") for x in items], np.int64)
+    return size, np.frombuffer(b"".join(x[4 : 4 + 4 * n] for x, n in zip(items, size.tolist())), np.uint32)
+
+
+def _ids(batches):
+    for b in batches:
+        rows = [(g, i) for g, x in zip(b.column("bag").to_pylist(), b.column("item").to_pylist()) for i in x[4 + 4 * int.from_bytes(x[:4], "little") :].decode().split("\0")]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["bag", "id"])
 
 
 def _signatures(threshold: float, slots: int):
@@ -107,8 +121,8 @@ def _signatures(threshold: float, slots: int):
             n = b.num_rows
             if not n:
                 continue
-            size = b.column("size").to_numpy().astype(np.int64)
-            h = np.frombuffer(b"".join(b.column("els").to_pylist()), np.uint64)
+            size, els = _unpack(b.column("item").to_pylist())
+            h = _mix(els.astype(np.uint64) * _C1 + _C3)
             doc = np.repeat(np.arange(n), size)
             # Parity sketch: 112 bits, and the size in the other 16 (the largest value stands for larger ones too).
             bit = ((h >> np.uint64(40)) % np.uint64(112)).astype(np.int64)
@@ -217,11 +231,10 @@ def _verify(threshold: float):
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64) for c in ("ea", "eb"))
-                nx, ny = (part.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+                (nx, x), (ny, y) = (_unpack(part.column(c).to_pylist()) for c in ("ia", "ib"))
                 n = part.num_rows
                 # One sort key for each (pair, element); elements of a bag differ, so what occurs twice is shared.
-                k = np.concatenate([np.repeat(np.arange(n, dtype=np.uint64), nx) << np.uint64(32) | x >> np.uint64(32), np.repeat(np.arange(n, dtype=np.uint64), ny) << np.uint64(32) | y >> np.uint64(32)])
+                k = np.concatenate([np.repeat(np.arange(n, dtype=np.uint64), nx) << np.uint64(32) | x, np.repeat(np.arange(n, dtype=np.uint64), ny) << np.uint64(32) | y])
                 k.sort()
                 shared = np.bincount((k[1:][k[1:] == k[:-1]] >> np.uint64(32)).astype(np.int64), minlength=n) if len(k) else np.zeros(n, np.int64)
                 union = nx + ny - shared
@@ -231,21 +244,23 @@ def _verify(threshold: float):
     return run
 
 
-def bags(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, bag, size, els)``: the bag of each text's words; ``bag`` and ``size`` tell equal ones."""
+def bags(texts: DataFrame, id_col: str, text_col: str, partitions: int | None = None) -> DataFrame:
+    """``(bag, item)``: the bag of each text's words, rows of equal bags together.
+
+    All that follows reads these two columns only, so Spark makes this exchange once.
+    """
+    n = partitions or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return src.mapInArrow(_bags, "id string, bag bigint, size int, els binary")
+    return src.mapInArrow(_bags, "bag bigint, item binary").repartition(n, "bag")
 
 
 def links(members: DataFrame, *, threshold: float = 0.8, slots: int = 3, partitions: int | None = None) -> DataFrame:
     """``(a, b, similarity)``: linked pairs of different bags, a < b, from the rows of ``bags``."""
-    spark = members.sparkSession
-    reps = members.groupBy("bag").agg(F.max(F.struct("size", "els")).alias("m")).select("bag", F.col("m.size").alias("size"), F.col("m.els").alias("els"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = members.groupBy("bag").agg(F.min("item").alias("item"))
     sigs = reps.mapInArrow(_signatures(threshold, slots), "sig bigint, bag bigint, sk1 bigint, sk2 bigint").repartition(n, "sig")
     cand = sigs.mapInArrow(_candidates(threshold), "a bigint, b bigint").distinct()
-    pairs = cand.join(reps.select(F.col("bag").alias("a"), F.col("size").alias("na"), F.col("els").alias("ea")), "a")
-    pairs = pairs.join(reps.select(F.col("bag").alias("b"), F.col("size").alias("nb"), F.col("els").alias("eb")), "b")
+    pairs = cand.join(reps.select(F.col("bag").alias("a"), F.col("item").alias("ia")), "a").join(reps.select(F.col("bag").alias("b"), F.col("item").alias("ib")), "b")
     return pairs.mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double")
 
 
@@ -253,9 +268,19 @@ def pairs(texts: DataFrame, *, id_col="chunk_id", text_col="content", threshold=
     """``(chunk_a, chunk_b)``, smaller first in byte order: all pairs, those of copies included."""
     members = bags(texts, id_col, text_col)
     near = links(members, threshold=threshold, **kw).select("a", "b")
-    # Members of linked classes and of classes with copies only; most texts are neither.
-    of = members.groupBy("bag").agg(F.collect_set("id").alias("ids"))
-    copies = of.where(F.size("ids") > 1).select(F.col("ids").alias("xs"), F.col("ids").alias("ys"))
-    linked = near.join(of.select(F.col("bag").alias("a"), F.col("ids").alias("xs")), "a").join(of.select(F.col("bag").alias("b"), F.col("ids").alias("ys")), "b").select("xs", "ys")
-    both = linked.unionAll(copies).select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y")).where("x <> y")
-    return both.select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b")).distinct()
+    ids = members.mapInArrow(_ids, "bag bigint, id string").distinct()
+    x, y = ids.select(F.col("bag").alias("a"), F.col("id").alias("x")), ids.select(F.col("bag").alias("b"), F.col("id").alias("y"))
+    linked = near.join(x, "a").join(y, "b").select("x", "y")
+    copied = ids.groupBy("bag").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bag").alias("a"), F.col("bag").alias("b"))
+    copies = copied.join(x, "a").join(y, "b").where("x < y").select("x", "y")
+    return linked.unionAll(copies).select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b"))
+
+
+def classes(texts: DataFrame, *, id_col="chunk_id", text_col="content", threshold=0.8, **kw) -> DataFrame:
+    """``(id, class_id, copies, links)``: one row for each text: its class of equal bags, their number, and how many other classes are linked to it."""
+    members = bags(texts, id_col, text_col)
+    near = links(members, threshold=threshold, **kw)
+    degree = near.select(F.explode(F.array("a", "b")).alias("bag")).groupBy("bag").agg(F.count("*").alias("links"))
+    ids = members.mapInArrow(_ids, "bag bigint, id string").distinct()
+    size = ids.groupBy("bag").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    return ids.join(size, "bag").join(degree, "bag", "left").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
