@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import encoding, history, knn, neardup, scans
+from . import encoding, history, knn, mixing, neardup, packing, scans
 
 
 def p1_found(spark, d):
@@ -42,12 +42,38 @@ def p5_repaired(spark, d):
     return scans.repaired(table(spark, d, "store"), table(spark, d, "ingest"), table(spark, d, "lexicon"))
 
 
+def p4_classes(spark, d):
+    """Each text chunk with its class of copies and the number of linked classes."""
+    return neardup.classes(_text_chunks(spark, d))
+
+
+def p6_packing(spark, d):
+    """Where each document goes for each capacity."""
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p6_report(spark, d):
+    """Containers used and their fill, for each capacity."""
+    boxes = table(spark, d, "containers")
+    return packing.report(packing.pack(table(spark, d, "documents"), boxes), boxes)
+
+
+def p7_mix(spark, d):
+    """Documents drawn for each mix, in the order of their training positions."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_report(spark, d):
+    """Target and actual shares of each source of each mix."""
+    return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark, d):
     """Documents with wrongly decoded characters and the length of their restored text."""
     return encoding.found(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_repaired": p5_repaired, "p4_found": p4_found, "p1_found": p1_found, "p1_coverage": p1_coverage, "p8_found": p8_found, "p3_found": p3_found}
+QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p3_found, p4_found, p4_classes, p5_found, p5_repaired, p6_packing, p6_report, p7_mix, p7_report, p8_found)}
 SQL: dict[str, str] = {}
 
 SQL["p1_coverage"] = r"""
