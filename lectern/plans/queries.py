@@ -1,16 +1,231 @@
-"""Registered queries of the core and the SQL they are checked against."""
+"""Registered queries of the core and the SQL they are checked against.
+
+Questions are the chunks whose vector id is divisible by 50: the chunk's title (with a
+quantity it speaks of, and for every other one its file name) is the question's text, the
+chunk's vector the question's vector. Floats are rounded where two engines may sum in
+another order.
+"""
 
 from __future__ import annotations
 
-from ..operators import units
-from ..runtime import table
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import answers, bm25, chunking, corpus, dense, manifest, retrieval, units
+from ..runtime import materialize, table
+from ..sources import files
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- inputs ---------------------------------------------------------------------
+def chunks(spark, d):
+    return table(spark, d, "store").dropDuplicates(["chunk_id"])
+
+
+def questions(spark, d):
+    s = chunks(spark, d).select("chunk_id", "content", "filename", "folder")
+    i = table(spark, d, "ingest").where("vec_id % 50 = 0").select("vec_id", "chunk_id", "embeddings")
+    said = F.regexp_extract("content", r"^\[([^\]]*)\]", 1)
+    about = F.regexp_extract(F.lower("content"), "[a-z]+ (pressure|temperature|mass|torque|flow)", 0)
+    name = F.when(F.col("vec_id") % 100 == 0, F.concat(F.lit(" "), "filename")).otherwise("")
+    return i.join(s, "chunk_id").select(F.col("vec_id").alias("q_id"), F.trim(F.concat(said, F.lit(" "), about, name)).alias("text"), "folder", F.col("embeddings").alias("vec"), F.col("chunk_id").alias("self_id"))
+
+
+def vectors(spark, d):
+    return table(spark, d, "ingest").select("chunk_id", F.col("embeddings").alias("vec"))
+
+
+def overlap(q, t):
+    """A stand-in for a reranking model: how many of the question's terms the text has."""
+    return F.size(F.array_intersect(T.tokens(q), T.tokens(t))).cast("double")
+
+
+def _index(spark, d):
+    return bm25.build(chunks(spark, d), use_stem=False)
+
+
+def _stages(spark, d, until="prompts"):
+    index = _index(spark, d)
+    # Postings are read several times in one plan.
+    index = bm25.Index(materialize(index.postings, "postings"), materialize(index.doclen, "doclen"), False)
+    return retrieval.stages(materialize(questions(spark, d), "asked"), materialize(chunks(spark, d), "chunks"), index, vectors(spark, d), reranker=overlap, originals=table(spark, d, "seen"), until=until)
+
+
+WORD = r"'[0-9]+\.[0-9]+|[\p{L}\p{N}\p{M}_]+'"
+_VALUE = T.VALUE_RE.replace("'", "''")
+CHAIN = rf"""
+WITH s AS (SELECT DISTINCT * FROM store),
+q AS (SELECT i.vec_id AS q_id, trim(regexp_extract(s.content, '^\[([^\]]*)\]', 1) || ' ' || regexp_extract(lower(s.content), '[a-z]+ (pressure|temperature|mass|torque|flow)', 0) || CASE WHEN i.vec_id % 100 = 0 THEN ' ' || s.filename ELSE '' END) AS text, s.folder AS folder, i.chunk_id AS self_id, i.embeddings AS vec
+      FROM ingest i JOIN s ON i.chunk_id = s.chunk_id WHERE i.vec_id % 50 = 0),
+u AS (SELECT vec_id, chunk_id, embeddings::DOUBLE[] AS v, list_dot_product(embeddings::DOUBLE[], embeddings::DOUBLE[]) AS ss FROM ingest
+      WHERE embeddings IS NOT NULL AND len(embeddings) = 64 AND list_bool_and([isfinite(x) for x in embeddings]) AND list_dot_product(embeddings::DOUBLE[], embeddings::DOUBLE[]) > 0),
+sim AS (SELECT a.vec_id AS q_id, u.chunk_id, round(list_dot_product(a.v, u.v) / sqrt(a.ss * u.ss), 9) AS sim FROM u a JOIN q ON q.q_id = a.vec_id JOIN u ON u.chunk_id <> a.chunk_id),
+sem AS (SELECT q_id, chunk_id, 1 - sim AS distance, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, chunk_id) AS sem_rank FROM sim QUALIFY sem_rank <= 15),
+fn AS (SELECT DISTINCT filename, lower(filename) AS f, regexp_replace(lower(filename), '\.[^.]*$', '') AS st FROM s WHERE filename <> ''),
+nm0 AS (SELECT DISTINCT q_id, filename FROM q, fn WHERE contains(lower(text), f) OR (length(st) >= 6 AND regexp_matches(' ' || lower(text) || ' ', '[^\p{{L}}\p{{N}}_]' || regexp_escape(st) || '[^\p{{L}}\p{{N}}_]'))),
+oq AS (SELECT q_id FROM sem GROUP BY 1 HAVING bool_or(distance <= 1.3) UNION SELECT q_id FROM nm0),
+qq AS (SELECT q_id, text, regexp_matches(text, '{_VALUE}') AS for_value FROM q WHERE q_id IN (FROM oq)),
+nm AS (SELECT q_id, filename, greatest(2, 8 // count(*) OVER (PARTITION BY q_id)) AS slots, least(8, greatest(4, 8 // count(*) OVER (PARTITION BY q_id))) AS dlimit FROM nm0 WHERE q_id IN (FROM oq)),
+tok AS (SELECT chunk_id, folder, unnest(regexp_extract_all(lower('[' || coalesce(filename, '') || '] ' || coalesce(content, '')), {WORD})) AS term FROM s),
+post AS (SELECT term, chunk_id, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT chunk_id, any_value(folder) AS folder, count(*) AS dl FROM tok GROUP BY 1),
+stat AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+df0 AS (SELECT term, count(*) AS n, ln((SELECT n_docs FROM stat) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY 1),
+tm AS (SELECT term, n, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df0) ELSE raw END AS idf FROM df0),
+qt AS (SELECT q_id, term, count(*) AS qtf FROM (SELECT q_id, unnest(regexp_extract_all(lower(text), {WORD})) AS term FROM q) GROUP BY ALL),
+sc AS (SELECT q_id, chunk_id, any_value(dl.folder) AS folder, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM qt JOIN tm USING (term) JOIN post USING (term) JOIN dl USING (chunk_id), stat GROUP BY 1, 2),
+lex AS (SELECT sc.q_id, chunk_id, bm25, row_number() OVER (PARTITION BY sc.q_id ORDER BY round(bm25, 9) DESC, chunk_id) AS bm25_rank FROM sc JOIN qq ON qq.q_id = sc.q_id WHERE bm25 > 0 QUALIFY bm25_rank <= CASE WHEN for_value THEN 30 ELSE 15 END),
+dlist AS (SELECT q_id, chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY sem_rank NULLS LAST, bm25_rank) AS rank FROM (
+  SELECT q_id, chunk_id, sem_rank, NULL AS bm25_rank FROM sem WHERE q_id IN (FROM oq) UNION ALL SELECT q_id, chunk_id, NULL, bm25_rank FROM lex WHERE (q_id, chunk_id) NOT IN (SELECT (q_id, chunk_id) FROM sem))),
+rrf AS (SELECT q_id, chunk_id, sum(w / (60 + rank)) AS score FROM (SELECT q_id, chunk_id, rank, 1.0::DOUBLE AS w FROM dlist UNION ALL SELECT lex.q_id, chunk_id, bm25_rank, CASE WHEN for_value THEN 2.0 ELSE 1.0 END::DOUBLE FROM lex JOIN qq ON qq.q_id = lex.q_id) GROUP BY 1, 2),
+nch AS (SELECT nm.q_id, nm.filename, slots, s.chunk_id, page, chunk_index, row_number() OVER (PARTITION BY nm.q_id, nm.filename ORDER BY round(coalesce(bm25, 0), 9) DESC, s.chunk_id) AS r FROM nm JOIN s ON s.filename = nm.filename LEFT JOIN sc ON sc.q_id = nm.q_id AND sc.chunk_id = s.chunk_id),
+fl AS (SELECT q_id, chunk_id, 2.0::DOUBLE / (60 + r) AS floor, 'named' AS origin FROM nch WHERE r <= slots UNION ALL SELECT q_id, chunk_id, 3.0::DOUBLE / 61, 'summary_of_named' FROM nch WHERE page = 1 AND chunk_index = -1),
+raised AS (SELECT coalesce(a.q_id, b.q_id) AS q_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, greatest(coalesce(score, 0), coalesce(floor, 0)) AS score, coalesce(origin, 'ranked') AS origin FROM rrf a FULL JOIN (SELECT q_id, chunk_id, max(floor) AS floor, min(origin) AS origin FROM fl GROUP BY 1, 2) b ON a.q_id = b.q_id AND a.chunk_id = b.chunk_id),
+boosted AS (SELECT r.q_id, r.chunk_id, score * CASE WHEN s.page = 1 AND s.chunk_index = -1 THEN 3.0 ELSE 1.0 END * CASE WHEN for_value AND coalesce(table_id, '') <> '' THEN 1.5 ELSE 1.0 END AS score, origin FROM raised r JOIN s ON s.chunk_id = r.chunk_id JOIN qq ON qq.q_id = r.q_id),
+pool AS (SELECT b.*, s.content, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 12) DESC, b.chunk_id) AS r FROM boosted b JOIN s ON s.chunk_id = b.chunk_id),
+renew AS (SELECT p.q_id, p.chunk_id, row_number() OVER (PARTITION BY p.q_id ORDER BY len(list_intersect(regexp_extract_all(lower(qq.text), {WORD}), regexp_extract_all(lower(coalesce(content, '')), {WORD}))) DESC, r) AS new FROM pool p JOIN qq ON qq.q_id = p.q_id WHERE r <= 20),
+rsize AS (SELECT q_id, count(*) AS size FROM renew GROUP BY 1),
+reranked AS (SELECT p.q_id, p.chunk_id, CASE WHEN new IS NOT NULL THEN 1.0::DOUBLE / (60 + new) WHEN origin IN ('named', 'summary_of_named', 'subsystem', 'comparison') THEN score ELSE least(score, 0.5::DOUBLE / (60 + size + 1)) END AS score, origin FROM pool p LEFT JOIN renew n ON n.q_id = p.q_id AND n.chunk_id = p.chunk_id JOIN rsize ON rsize.q_id = p.q_id),
+infile AS (SELECT r.q_id, r.chunk_id, r.score, s.filename, coalesce(dlimit, 2) AS lim, row_number() OVER (PARTITION BY r.q_id, s.filename ORDER BY round(r.score, 12) DESC, r.chunk_id) AS n FROM reranked r JOIN s ON s.chunk_id = r.chunk_id LEFT JOIN nm ON nm.q_id = r.q_id AND nm.filename = s.filename),
+top AS (SELECT q_id, chunk_id, score, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 12) DESC, chunk_id) AS pos FROM infile WHERE n <= lim QUALIFY pos <= 8),
+tdoc AS (SELECT q_id, doc_id, bool_or(page = 1 AND chunk_index = -1) AS has, FROM top JOIN s USING (chunk_id) GROUP BY 1, 2),
+ident AS (SELECT q_id, chunk_id, pos, 'top' AS origin FROM top UNION ALL SELECT t.q_id, s.chunk_id, (SELECT max(pos) FROM top x WHERE x.q_id = t.q_id) + row_number() OVER (PARTITION BY t.q_id ORDER BY s.chunk_id), 'identity' FROM tdoc t JOIN s ON s.doc_id = t.doc_id AND s.page = 1 AND s.chunk_index = -1 WHERE NOT has),
+tids AS (SELECT DISTINCT q_id, table_id FROM ident JOIN s USING (chunk_id) WHERE coalesce(table_id, '') <> ''),
+tch AS (SELECT q_id, s.chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY page, chunk_index, s.chunk_id) AS r FROM (SELECT q_id, table_id FROM tids WHERE table_id IN (SELECT table_id FROM s GROUP BY 1 HAVING count(*) <= 24)) t JOIN s ON s.table_id = t.table_id QUALIFY r <= 32),
+ctx AS (SELECT q_id, chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY g, p) AS pos, origin FROM (SELECT q_id, chunk_id, 0 AS g, r AS p, 'table' AS origin FROM tch WHERE (q_id, chunk_id) NOT IN (SELECT (q_id, chunk_id) FROM ident) UNION ALL SELECT q_id, chunk_id, 1, pos, origin FROM ident)),
+hit AS (SELECT c.q_id, c.pos, c.chunk_id, a.doc_id, a.filename, a.page, a.chunk_type, a.chunk_index, n.chunk_id AS n_id, n.chunk_index AS n_index, coalesce(n.content, '') AS n_text, min(c.pos) OVER (PARTITION BY c.q_id, n.chunk_id) = c.pos AS fresh FROM ctx c JOIN s a ON a.chunk_id = c.chunk_id
+  JOIN s n ON n.doc_id = a.doc_id AND n.page = a.page AND (n.chunk_id = a.chunk_id OR (a.chunk_index >= 0 AND n.chunk_index BETWEEN greatest(a.chunk_index - 2, 0) AND a.chunk_index + 2))),
+blk AS (SELECT q_id, pos, chunk_id, doc_id, filename, page, any_value(chunk_type) AS chunk_type, any_value(chunk_index) AS chunk_index, count(*) AS neighbours, '[' || filename || ', page ' || page || chr(93) || chr(10) || string_agg(n_text, chr(10) ORDER BY n_index) AS block FROM hit GROUP BY q_id, pos, chunk_id, doc_id, filename, page HAVING bool_or(fresh)),
+cit AS (SELECT q_id, doc_id, any_value(filename) AS filename, list_sort(list(DISTINCT page)) AS pages, min(page) AS page, count(DISTINCT CASE WHEN chunk_type = 'image' THEN page * 1000 + (-100 - chunk_index) END) AS figures, min(pos) AS first FROM blk GROUP BY 1, 2)
+"""
+
+
+# -- keyword and dense search ------------------------------------------------------
+@query(CHAIN + "SELECT term, n, round(idf, 6) AS idf FROM tm")
+def bm25_terms(spark, d):
+    """Document frequencies and inverse frequencies of all terms."""
+    return _index(spark, d).terms().select("term", "n", F.round("idf", 6).alias("idf"))
+
+
+@query(CHAIN + "SELECT chunk_id, dl FROM dl")
+def bm25_lengths(spark, d):
+    """Tokens of each indexed chunk."""
+    return _index(spark, d).doclen.select("chunk_id", F.col("dl").cast("bigint").alias("dl"))
+
+
+@query(CHAIN + "SELECT q_id, chunk_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY q_id ORDER BY round(bm25, 9) DESC, chunk_id) AS bm25_rank FROM sc WHERE bm25 > 0 QUALIFY bm25_rank <= 15")
+def bm25_topk(spark, d):
+    """The best 15 chunks by keywords for every question."""
+    s = bm25.score(_index(spark, d), questions(spark, d).select("q_id", "text"))
+    return bm25.top_k(s, 15).select("q_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "bm25_rank")
+
+
+@query(CHAIN + "SELECT sc.q_id, chunk_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY sc.q_id ORDER BY round(bm25, 9) DESC, chunk_id) AS bm25_rank FROM sc JOIN q ON q.q_id = sc.q_id WHERE bm25 > 0 AND (q.folder IS NULL OR sc.folder = q.folder) QUALIFY bm25_rank <= 15")
+def bm25_in_folder(spark, d):
+    """The same within the question's folder."""
+    q = questions(spark, d).select("q_id", "text", F.col("folder").alias("folder_filter"))
+    s = bm25.score(_index(spark, d), q.select("q_id", "text"))
+    return bm25.top_k(s, 15, questions=q).select("q_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "bm25_rank")
+
+
+@query(CHAIN + "SELECT chunk_id, count(*) AS terms, sum(tf)::BIGINT AS tf FROM post WHERE NOT (chunk_id IN (SELECT chunk_id FROM s WHERE doc_id IN (SELECT doc_id FROM incoming))) GROUP BY 1")
+def bm25_after_removal(spark, d):
+    """The index once the documents of incoming are taken out."""
+    gone = corpus.by_ids(chunks(spark, d), chunks(spark, d).join(table(spark, d, "incoming").select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")).select("chunk_id")
+    return bm25.remove(_index(spark, d), gone).postings.groupBy("chunk_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tf"))
+
+
+@query(CHAIN + "SELECT q_id, chunk_id, round(distance, 6) AS distance, sem_rank FROM sem")
+def dense_topk(spark, d):
+    """The 15 nearest chunks of every question, exactly."""
+    return dense.top_k(questions(spark, d), vectors(spark, d)).select("q_id", "chunk_id", F.round("distance", 6).alias("distance"), "sem_rank")
+
+
+@query(CHAIN + "SELECT q_id, count(*) AS hits, count(*) FILTER (distance <= 0.5) AS near FROM sem GROUP BY 1 HAVING bool_or(distance <= 0.5)")
+def semantic_gate(spark, d):
+    """Questions that some chunk is nearer to than 0.5, and how many."""
+    sem = dense.top_k(questions(spark, d), vectors(spark, d))
+    ok = retrieval.open_questions(sem, threshold=0.5)
+    return sem.join(ok, "q_id", "left_semi").groupBy("q_id").agg(F.count("*").alias("hits"), F.count_if(F.col("distance") <= 0.5).alias("near"))
+
+
+@query(CHAIN + "SELECT q_id, chunk_id, round(min(distance), 6) AS distance FROM (SELECT q_id, chunk_id, distance FROM sem UNION ALL SELECT q_id, chunk_id, distance + 0.25 FROM sem WHERE sem_rank > 5) GROUP BY 1, 2")
+def merged_hits(spark, d):
+    """Hits of two variants, the smallest distance of each chunk."""
+    sem = dense.top_k(questions(spark, d), vectors(spark, d))
+    second = sem.where("sem_rank > 5").withColumn("distance", F.col("distance") + 0.25)
+    return retrieval.merge_hits(sem, second).select("q_id", "chunk_id", F.round("distance", 6).alias("distance"))
+
+
+# -- the pipeline, stage by stage -----------------------------------------------------
+@query(CHAIN + "SELECT q_id, filename FROM nm0")
+def named_documents(spark, d):
+    """Files that questions name."""
+    return retrieval.named_documents(questions(spark, d), chunks(spark, d))
+
+
+@query(CHAIN + "SELECT q_id, chunk_id, round(score, 9) AS score FROM rrf")
+def rrf_hybrid(spark, d):
+    """Dense and keyword lists fused by reciprocal ranks."""
+    return _stages(spark, d, "rrf")["rrf"].select("q_id", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@query(CHAIN + "SELECT q_id, chunk_id, round(floor, 9) AS floor, origin FROM fl")
+def named_injection(spark, d):
+    """Chunks of named documents with their least scores."""
+    return _stages(spark, d, "floors")["floors"].where("origin in ('named', 'summary_of_named')").select("q_id", "chunk_id", F.round("floor", 9).alias("floor"), "origin")
+
+
+@query(CHAIN + "SELECT q_id, chunk_id, round(score, 9) AS score, origin FROM boosted")
+def boosted_scores(spark, d):
+    """Scores after floors and boosts."""
+    return _stages(spark, d, "boosted")["boosted"].select("q_id", "chunk_id", F.round("score", 9).alias("score"), "origin")
+
+
+@query(CHAIN + "SELECT q_id, chunk_id, round(score, 9) AS score FROM reranked")
+def reranked_scores(spark, d):
+    """Scores after the pool of 20 is reranked and the others capped."""
+    return _stages(spark, d, "boosted")["reranked"].select("q_id", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@query(CHAIN + "SELECT q_id, chunk_id, pos FROM top")
+def diverse_top(spark, d):
+    """The best 8, few of a file (V3, K4)."""
+    return _stages(spark, d, "context")["top"].select("q_id", "chunk_id", "pos")
+
+
+@query(CHAIN + "SELECT q_id, chunk_id, pos, origin FROM ctx")
+def context_chunks(spark, d):
+    """Chosen chunks with summaries and whole tables."""
+    return _stages(spark, d, "context")["context"]
+
+
+@query(CHAIN + "SELECT q_id, pos, chunk_id, neighbours, md5(block) AS block_md5 FROM blk")
+def context_blocks(spark, d):
+    """Context blocks with neighbours, none twice (J11, V9): flagship."""
+    return _stages(spark, d)["blocks"].select("q_id", "pos", "chunk_id", F.size("neighbours").cast("bigint").alias("neighbours"), F.md5("block").alias("block_md5"))
 
 
-def p2_found(spark, d):
-    """Readings of the listed quantities in the common unit, as integers."""
-    chunks = table(spark, d, "store").where("chunk_type is null").select("chunk_id", "content")
-    return units.reading_integers(chunks, table(spark, d, "quantities"))
+@query(CHAIN + "SELECT q_id, c.doc_id, filename, array_to_string(pages, ',') AS pages, page, figures, c.doc_id IN (SELECT doc_id FROM seen WHERE doc_id IS NOT NULL) AS has_original, row_number() OVER (PARTITION BY q_id ORDER BY first) AS cited FROM cit c")
+def citations(spark, d):
+    """Sources in the order they were first cited."""
+    c = _stages(spark, d)["citations"]
+    return c.select("q_id", "doc_id", "filename", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "page", F.size("figures").cast("bigint").alias("figures"), "has_original", "cited")
 
 
-QUERIES = {"p2_found": p2_found}
-SQL: dict[str, str] = {}
+@query(CHAIN + "SELECT b.q_id, md5('Answer from the excerpts only. If they don''t hold the answer, reply: That information is not in the ingested documents.' || chr(10) || 'Files: ' || f.files || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || 'Question: ' || any_value(qq.text)) AS prompt_md5 FROM blk b JOIN qq ON qq.q_id = b.q_id JOIN (SELECT q_id, string_agg(filename, ', ' ORDER BY p) AS files FROM (SELECT q_id, filename, min(pos) AS p FROM blk GROUP BY 1, 2) GROUP BY 1) f ON f.q_id = b.q_id GROUP BY b.q_id, f.files")
+def prompts(spark, d):
+    """The prompt of every question (M9)."""
+    return _stages(spark, d)["prompts"].select("q_id", F.md5("prompt").alias("prompt_md5"))
