@@ -58,30 +58,39 @@ def most_bits(total: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _grid(upto: int) -> np.ndarray:
-    """Odd bounds, each a quarter above the one before (and two at least)."""
+    """Odd bounds, each half as large again as the one before (and two more at least)."""
     out = [1]
     while out[-1] < upto:
-        g = max(out[-1] + 2, out[-1] * 5 // 4)
+        g = max(out[-1] + 2, out[-1] * 3 // 2)
         out.append(g if g % 2 else g + 1)
     return np.array(out, np.int64)
 
 
-def _elements(text: str, memo: dict) -> np.ndarray:
-    import xxhash
+class _Hashes(dict):
+    """Hash of a word, looked up once."""
 
-    words = _WORD.findall(text)
-    h = np.empty(len(words), np.uint64)
-    seen: dict[str, int] = {}
-    for i, w in enumerate(words):
-        b = memo.get(w)
-        if b is None:
-            if len(memo) > 500_000:
-                memo.clear()
-            b = memo[w] = xxhash.xxh64_intdigest(w)
-        n = seen.get(w, 0)
-        seen[w] = n + 1
-        h[i] = (b + n * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-    return _mix(h)
+    def __missing__(self, w):
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w)
+        return h
+
+
+def _elements(texts: list[str], memo: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the texts' bags, and the hashes of all their elements, text by text: the n-th occurrence of a word is an element of its own."""
+    words = [_WORD.findall(_TITLE.sub("", t, count=1).lower()) for t in texts]
+    size = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter((memo[w] for ws in words for w in ws), np.uint64, int(size.sum()))
+    doc = np.repeat(np.arange(len(texts)), size)
+    order = np.lexsort((h, doc))
+    h, d = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    at = np.arange(len(h))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    return size, _mix(h + nth.astype(np.uint64) * _C1)
 
 
 def _bags(batches):
@@ -89,14 +98,21 @@ def _bags(batches):
 
     Copies within a batch are one row here, before the shuffle.
     """
-    memo: dict = {}
+    memo = _Hashes()
     for b in batches:
         rows: dict[tuple, list[str]] = {}
-        for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-            e = _elements(_TITLE.sub("", t, count=1).lower(), memo)
-            if len(e):
-                head = len(e).to_bytes(4, "little") + np.sort((e >> np.uint64(32)).astype(np.uint32)).tobytes()
-                rows.setdefault((int(e.sum(dtype=np.uint64).astype(np.int64)), head), []).append(i)
+        ids = b.column("id").to_pylist()
+        size, e = _elements(b.column("text").to_pylist(), memo)
+        if len(e):
+            end = np.cumsum(size)
+            start = end - size
+            full = np.nonzero(size)[0]
+            sums = np.zeros(len(size), np.uint64)
+            sums[full] = np.add.reduceat(e, start[full])
+            short = (e >> np.uint64(32)).astype(np.uint32)
+            short = short[np.lexsort((short, np.repeat(np.arange(len(size)), size)))]
+            for k, g in zip(full.tolist(), sums[full].view(np.int64).tolist()):
+                rows.setdefault((g, int(size[k]).to_bytes(4, "little") + short[start[k] : end[k]].tobytes()), []).append(ids[k])
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.int64()), pa.array([k[1] + "\0".join(v).encode() for k, v in rows.items()], pa.binary())], ["bag", "item"])
 
 
@@ -251,7 +267,7 @@ def bags(texts: DataFrame, id_col: str, text_col: str, partitions: int | None =
     """
     n = partitions or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return src.mapInArrow(_bags, "bag bigint, item binary").repartition(n, "bag")
+    return src.mapInArrow(_bags, "bag bigint, item binary").where("bag is not null and item is not null").repartition(n, "bag")
 
 
 def links(members: DataFrame, *, threshold: float = 0.8, slots: int = 3, partitions: int | None = None) -> DataFrame:
