@@ -229,3 +229,265 @@ def citations(spark, d):
 def prompts(spark, d):
     """The prompt of every question (M9)."""
     return _stages(spark, d)["prompts"].select("q_id", F.md5("prompt").alias("prompt_md5"))
+
+
+# -- corpus: listings and changes ------------------------------------------------------
+_S = "WITH s AS (SELECT DISTINCT * FROM store) "
+
+
+@query(_S + "SELECT count(*) AS chunks FROM s")
+def chunk_count(spark, d):
+    """All chunks (A1)."""
+    return corpus.count(chunks(spark, d))
+
+
+@query(_S + """, h AS (SELECT doc_id, arg_min({'f': filename, 'o': folder, 'n': doc_number, 'r': revision}, (page, chunk_index, chunk_id)) AS h FROM s WHERE chunk_index IN (-1, 0) GROUP BY 1)
+SELECT h.doc_id, h.h.f AS filename, coalesce(h.h.o, 'General') AS folder, coalesce(h.h.n, '—') AS doc_number, coalesce(h.h.r, '—') AS revision, c.chunks, h.doc_id IN (SELECT doc_id FROM seen WHERE doc_id IS NOT NULL) AS has_original
+FROM h JOIN (SELECT doc_id, count(*) AS chunks FROM s GROUP BY 1) c ON c.doc_id = h.doc_id""")
+def document_listing(spark, d):
+    """Documents with head row, number of chunks and whether the original is known."""
+    return corpus.documents(chunks(spark, d), table(spark, d, "seen"))
+
+
+@query(_S + "SELECT DISTINCT folder FROM s WHERE folder <> ''")
+def folder_listing(spark, d):
+    """Distinct folders (A3)."""
+    return corpus.folders(chunks(spark, d))
+
+
+@query(_S + """, h AS (SELECT doc_id, arg_min({'f': filename, 'n': doc_number, 'r': revision}, (page, chunk_index, chunk_id)) AS h FROM s WHERE chunk_index IN (-1, 0) GROUP BY 1)
+SELECT doc_id, lower(h.f) AS sort_key, '| ' || h.f || ' | ' || coalesce(h.n, '—') || ' | ' || coalesce(h.r, '—') || ' |' AS row FROM h""")
+def catalog_rows(spark, d):
+    """The catalogue as markdown rows."""
+    return corpus.catalog(corpus.documents(chunks(spark, d)))
+
+
+@query(_S + """, c AS (SELECT doc_id, chunk_id, chunk_index, chunk_index >= 0 AS body, row_number() OVER (PARTITION BY doc_id, chunk_index >= 0 ORDER BY chunk_index, chunk_id) AS r, bool_or(chunk_index >= 0) OVER (PARTITION BY doc_id) AS any_body FROM s WHERE page = 1 AND coalesce(chunk_type, '') <> 'image' AND trim(coalesce(content, '')) <> '')
+SELECT doc_id, chunk_id, r FROM c WHERE CASE WHEN any_body THEN body AND r <= 3 ELSE r <= 2 END""")
+def front_matter(spark, d):
+    """The first text chunks of page 1 of each document."""
+    return corpus.front_matter(chunks(spark, d))
+
+
+@query(_S + "SELECT chunk_id, doc_id, page, chunk_index FROM s WHERE chunk_index >= 0 AND chunk_type IS DISTINCT FROM 'image' AND folder IN (SELECT folder FROM documents WHERE folder IS NOT NULL)")
+def text_chunks_in_folders(spark, d):
+    """Text chunks of the folders that documents use."""
+    f = table(spark, d, "documents").select("folder").where("folder is not null").distinct()
+    keep = retrieval.all_of(F.col("chunk_index") >= 0, retrieval.ne("chunk_type", "image"))
+    return chunks(spark, d).where(keep).join(f, "folder", "left_semi").select("chunk_id", "doc_id", "page", "chunk_index")
+
+
+@query(_S + "SELECT chunk_id, length(content) AS chars FROM s WHERE chunk_id IN (SELECT chunk_id FROM ingest WHERE caption IS NOT NULL)")
+def chunks_by_ids(spark, d):
+    """Point lookup of the captioned chunks."""
+    ids = table(spark, d, "ingest").where("caption is not null").select("chunk_id")
+    return corpus.by_ids(chunks(spark, d), ids).select("chunk_id", F.length("content").cast("bigint").alias("chars"))
+
+
+@query(_S + ", n AS (SELECT chunk_id, any_value(caption) AS caption, any_value(caption_status) AS caption_status FROM ingest WHERE caption_status = 'ocr' GROUP BY 1) SELECT s.chunk_id, md5(coalesce(n.caption, s.content)) AS content_md5, coalesce(n.caption_status, s.caption_status) AS caption_status FROM s LEFT JOIN n USING (chunk_id)")
+def upserted_chunks(spark, d):
+    """The store with captioned image chunks written over."""
+    old = chunks(spark, d).select("chunk_id", "content", "caption_status")
+    new = table(spark, d, "ingest").where("caption_status = 'ocr'").select("chunk_id", F.col("caption").alias("content"), "caption_status")
+    return corpus.upsert(old, new.join(old.select("chunk_id"), "chunk_id", "left_semi")).select("chunk_id", F.md5("content").alias("content_md5"), "caption_status")
+
+
+@query(_S + "SELECT chunk_id FROM s WHERE NOT (doc_id IN (SELECT doc_id FROM incoming WHERE doc_id IS NOT NULL) AND chunk_type IS DISTINCT FROM 'image')")
+def store_without_text(spark, d):
+    """The store once the text of documents that came in again is taken out, images kept."""
+    return corpus.without_text_of(chunks(spark, d), table(spark, d, "incoming")).select("chunk_id")
+
+
+@query(_S + "SELECT chunk_id FROM s WHERE doc_id NOT IN (SELECT doc_id FROM seen WHERE status = 'empty' AND doc_id IS NOT NULL)")
+def store_without_documents(spark, d):
+    """The store without documents recorded as empty."""
+    return corpus.without_documents(chunks(spark, d), table(spark, d, "seen").where("status = 'empty'")).select("chunk_id")
+
+
+@query(_S + "SELECT i.doc_id, coalesce(n, 0) AS deleted FROM (SELECT DISTINCT doc_id FROM incoming WHERE doc_id IS NOT NULL) i LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY 1) c ON c.doc_id = i.doc_id")
+def deletion_counts(spark, d):
+    """How many chunks go with each document that came in again."""
+    return corpus.deleted_counts(chunks(spark, d), table(spark, d, "incoming"))
+
+
+@query(_S + ", m AS (SELECT doc_id, min(coalesce(nullif(trim(substr(trim(regexp_extract(relpath, '^(.*)/[^/]*$', 1)), 1, 64)), ''), 'General')) AS folder FROM seen WHERE doc_id IS NOT NULL GROUP BY 1) SELECT chunk_id, coalesce(m.folder, s.folder) AS folder FROM s LEFT JOIN m USING (doc_id)")
+def moved_chunks(spark, d):
+    """Chunks in the folder that the manifest has for their document."""
+    m = table(spark, d, "seen").where("doc_id is not null").groupBy("doc_id").agg(F.min(T.clean_folder(T.folder_of(F.col("relpath")))).alias("folder"))
+    return corpus.moved(chunks(spark, d), m).select("chunk_id", "folder")
+
+
+@query(_S + "SELECT chunk_id, split_part(chunk_id, '_', 1) || '_' || page || '_' || chunk_index = chunk_id AS well_formed, regexp_matches(doc_id, '^[0-9a-f]{16}$') AS id_ok, CASE WHEN chunk_index <= -100 THEN -100 - chunk_index END AS figure FROM s")
+def chunk_ids(spark, d):
+    """Parts of chunk ids, valid document ids, figure numbers."""
+    return chunks(spark, d).select("chunk_id", (T.chunk_id(F.col("doc_id"), F.col("page"), F.col("chunk_index")) == F.col("chunk_id")).alias("well_formed"), T.is_doc_id(F.col("doc_id")).alias("id_ok"), T.figure_number(F.col("chunk_index")).alias("figure"))
+
+
+# -- files and manifest ------------------------------------------------------------------
+_JUNK = files.JUNK_FILES.replace("'", "''")
+_VERDICT = f"""CASE WHEN list_bool_or([x IN ('@eaDir', '@Recycle', '#recycle', '$RECYCLE.BIN', 'System Volume Information') OR starts_with(x, '.') FOR x IN string_split(relpath, '/')[:-2]]) OR regexp_matches(string_split(relpath, '/')[-1], '{_JUNK}') THEN 'excluded'
+ WHEN lower(regexp_extract(relpath, '\\.([^./\\\\]+)$', 1)) NOT IN ('pdf', 'docx', 'pptx', 'txt', 'md', 'csv') THEN 'unsupported' WHEN size > 104857600 THEN 'oversized' ELSE 'ok' END"""
+_VERDICT = _VERDICT.replace("[x IN (", "[(x IN (").replace("starts_with(x, '.') FOR", "starts_with(x, '.')) FOR")
+
+
+@query(f"SELECT verdict, count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM (SELECT size, {_VERDICT} AS verdict FROM (SELECT relpath, size FROM seen UNION ALL SELECT relpath, size FROM incoming)) GROUP BY 1")
+def scan_counts(spark, d):
+    """Files of the scans by what becomes of them."""
+    both = table(spark, d, "seen").select("relpath", "size").unionAll(table(spark, d, "incoming").select("relpath", "size"))
+    return files.scan_counts(files.classify(both))
+
+
+@query("SELECT doc_id, CASE WHEN coalesce(n_chars, 0) = 0 THEN 'empty' WHEN n_chars > 10000 THEN 'too large' WHEN coalesce(lower(regexp_extract(filename, '\\.([^./\\\\]+)$', 1)), '') NOT IN ('pdf', 'docx', 'pptx', 'txt', 'md', 'csv') THEN 'unsupported' END AS reject_reason FROM documents")
+def upload_check(spark, d):
+    """Uploads with the reason for a rejection."""
+    f = table(spark, d, "documents").select("doc_id", "filename", F.col("n_chars").alias("size"))
+    return files.upload_check(f, most_bytes=10_000).select("doc_id", "reject_reason")
+
+
+@query("SELECT relpath, coalesce(nullif(substr(regexp_extract(relpath, '^(.*)/[^/]*$', 1), 1, 64), ''), 'General') AS folder, string_split(relpath, '/')[-1] AS name FROM (SELECT DISTINCT relpath FROM incoming)")
+def path_parts(spark, d):
+    """Folder and name of each path."""
+    return table(spark, d, "incoming").select("relpath").distinct().select("relpath", T.folder_of(F.col("relpath")).alias("folder"), T.basename(F.col("relpath")).alias("name"))
+
+
+_LATEST = "WITH m AS (SELECT * FROM seen WHERE relpath IS NOT NULL QUALIFY row_number() OVER (PARTITION BY relpath ORDER BY scanned_at DESC NULLS LAST, size DESC NULLS LAST, mtime DESC NULLS LAST, doc_id DESC NULLS LAST, status DESC NULLS LAST) = 1) "
+
+
+@query(_LATEST + "SELECT scan_id FROM incoming i WHERE relpath IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m WHERE m.relpath = i.relpath AND m.size = i.size AND abs(m.mtime - i.mtime) <= 1e-3)")
+def new_files(spark, d):
+    """Files that the manifest doesn't know in their present state."""
+    return manifest.new_files(table(spark, d, "incoming"), table(spark, d, "seen")).select("scan_id")
+
+
+@query(_LATEST + "SELECT count(*) FILTER (m.relpath IS NULL) AS new_files, count(*) FILTER (m.relpath IS NOT NULL) AS unchanged, coalesce(sum(i.size) FILTER (m.relpath IS NULL), 0)::BIGINT AS total_bytes FROM incoming i LEFT JOIN m ON m.relpath = i.relpath AND m.size = i.size AND abs(m.mtime - i.mtime) <= 1e-3 WHERE i.relpath IS NOT NULL")
+def scan_preview(spark, d):
+    """What a scan would take in."""
+    return manifest.preview(table(spark, d, "incoming"), table(spark, d, "seen"))
+
+
+@query(_LATEST + "SELECT coalesce(status, 'none') AS status, count(*) AS files, count(doc_id) AS with_id FROM m GROUP BY 1")
+def manifest_states(spark, d):
+    """The manifest's present records by status."""
+    return manifest.latest(table(spark, d, "seen")).groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("files"), F.count("doc_id").alias("with_id"))
+
+
+_IN = "(SELECT relpath, size, mtime, doc_id, 'ok' AS status, found_at AS scanned_at FROM incoming WHERE relpath IS NOT NULL QUALIFY row_number() OVER (PARTITION BY relpath ORDER BY found_at DESC NULLS LAST, size DESC NULLS LAST, mtime DESC NULLS LAST, doc_id DESC NULLS LAST) = 1)"
+
+
+@query(f"SELECT relpath, size, status FROM seen WHERE relpath NOT IN (SELECT relpath FROM incoming WHERE relpath IS NOT NULL) UNION ALL SELECT relpath, size, status FROM {_IN}")
+def manifest_after_scan(spark, d):
+    """The manifest with the records of a scan put in."""
+    rows = table(spark, d, "incoming").select("relpath", "size", "mtime", "doc_id", F.lit("ok").alias("status"), F.col("found_at").alias("scanned_at"))
+    return manifest.record(table(spark, d, "seen"), rows).select("relpath", "size", "status")
+
+
+# -- text of documents ----------------------------------------------------------------------
+_T40 = "array_to_string(string_split(text, chr(10))[1:40], chr(10))"
+
+
+@query(f"SELECT doc_id, coalesce(nullif(substr(trim(regexp_extract({_T40}, '(?im)^[ \\t]*Title[ \\t]*:[ \\t]*(\\S.*)$', 1)), 1, 120), ''), filename) AS title FROM documents")
+def document_titles(spark, d):
+    """Title line or file name of each document (F7 of §2.10, K6)."""
+    return table(spark, d, "documents").select("doc_id", T.title(F.col("text"), F.col("filename")).alias("title"))
+
+
+@query("SELECT doc_id, md5(array_to_string([x FOR x IN string_split(text, chr(10)) IF NOT regexp_matches(x, '^\\s*\\d{4}-\\d{2}-\\d{2}[\\sT]\\d{2}:\\d{2}:\\d{2}')], chr(10))) AS text_md5 FROM (SELECT doc_id, regexp_replace(text, '\\n$', '') AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\r\\v\\f\\x85\\x{2028}\\x{2029}]'))")
+def telemetry_filtered(spark, d):
+    """Texts without time-stamped lines."""
+    src = table(spark, d, "documents").where("text is not null").where(~F.col("text").rlike("[\\r\\x0b\\f\\x85\\u2028\\u2029]"))
+    return src.select("doc_id", F.md5(T.without_telemetry(F.col("text"))).alias("text_md5"))
+
+
+_KV = r"'^\s\s(\w[\w ()/-]{2,40}?)\s{3,}([\d.]+)\s+(.+?)\s*$'"
+
+
+@query(f"""WITH l AS (SELECT doc_id, filename, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, string_agg(trim(regexp_extract(line, {_KV}, 1)) || ': ' || regexp_extract(line, {_KV}, 2) || ' ' || regexp_extract(line, {_KV}, 3), ' | ' ORDER BY n) AS kv FROM l WHERE regexp_matches(line, {_KV}) GROUP BY 1)
+SELECT k.doc_id, coalesce(nullif(substr(trim(regexp_extract({_T40}, '(?im)^[ \\t]*Title[ \\t]*:[ \\t]*(\\S.*)$', 1)), 1, 120), ''), filename) || ' | ' || kv AS text FROM k JOIN documents d ON d.doc_id = k.doc_id""")
+def summary_chunks(spark, d):
+    """Summary lines from key-value rows."""
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", T.summary_text(T.title(F.col("text"), F.col("filename")), F.col("text")).alias("text")).where("text is not null")
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '{_VALUE}') AS for_value, regexp_matches(text, '{T.COMPARISON_RE}') AS comparison, regexp_matches(text, '{T.CATALOG_RE}') AS catalog, list_distinct(regexp_extract_all(text, '{T.SUBSYSTEM}', 1)) IS NOT NULL AND len(regexp_extract_all(text, '{T.SUBSYSTEM}', 1)) > 0 AS names_subsystem FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents WHERE text IS NOT NULL)")
+def question_intents(spark, d):
+    """What kind of question each document's first line would be."""
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.substring_index("text", "\n", 1).alias("text"))
+    q = F.col("text")
+    return t.select("doc_id", T.is_value_question(q).alias("for_value"), T.is_comparison(q).alias("comparison"), T.is_catalog_question(q).alias("catalog"), (F.size(T.subsystem_names(q)) > 0).alias("names_subsystem"))
+
+
+@query()
+def chunked_documents(spark, d):
+    """Overlapping chunks of every document, with table tags."""
+    p = table(spark, d, "documents").where("text is not null").select("doc_id", F.lit(1).alias("page"), "text")
+    return chunking.tag_tables(chunking.split_pages(p), p).select("doc_id", "page", "chunk_index", F.md5("text").alias("text_md5"), F.length("text").alias("chars"), "table_id")
+
+
+@query("SELECT l_orderkey, '| line | part | quantity |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_quantity::BIGINT || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_quantity) AS markdown FROM lineitem GROUP BY 1")
+def markdown_tables(spark, d):
+    """Each order's lines as a markdown table."""
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("bigint").alias("q")))), lambda x: F.array(x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"), x["q"].cast("string")))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(cells.alias("c"))
+    return g.select("l_orderkey", T.markdown_table(F.concat(F.array(F.array(F.lit("line"), F.lit("part"), F.lit("quantity"))), F.col("c"))).alias("markdown"))
+
+
+@query("SELECT vec_id, chunk_id, CASE WHEN len([w FOR w IN regexp_split_to_array(trim(caption), '\\s+') IF w <> '']) >= 10 THEN 'ocr' ELSE 'pending' END AS status FROM ingest WHERE caption_status IS NOT NULL")
+def caption_records(spark, d):
+    """Captions of at least ten words; others are pending."""
+    i = table(spark, d, "ingest").where("caption_status is not null").select("vec_id", "chunk_id", "page", "caption", F.col("doc_id"), F.coalesce("img_idx", F.lit(0)).alias("img_idx"))
+    words = F.size(F.filter(F.split(F.trim("caption"), r"\s+"), lambda x: x != ""))
+    return i.select("vec_id", "chunk_id", F.when(words >= 10, "ocr").otherwise("pending").alias("status"))
+
+
+# -- conversations and answers -------------------------------------------------------------------
+_CONV = "WITH c AS (SELECT user_id AS conv_id, event_id AS turn, ts, CASE WHEN event_type IN ('view', 'click') THEN 'user' ELSE 'assistant' END AS role, event_type || ' ' || props AS text, value FROM events) "
+
+
+def conversations(spark, d):
+    e = table(spark, d, "events")
+    role = F.when(F.col("event_type").isin("view", "click"), "user").otherwise("assistant")
+    return e.select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), "ts", role.alias("role"), F.concat_ws(" ", "event_type", "props").alias("text"), "value")
+
+
+@query(_CONV + "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM c QUALIFY back <= 6")
+def last_messages(spark, d):
+    """The last six messages of every conversation."""
+    return answers.last_messages(conversations(spark, d)).select("conv_id", "turn", "back")
+
+
+@query(_CONV + "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_user FROM c")
+def previous_user_turns(spark, d):
+    """Each message with the user's message before it."""
+    return answers.previous_user_turn(conversations(spark, d)).select("conv_id", "turn", "previous_user")
+
+
+@query(_CONV + "SELECT conv_id FROM (SELECT conv_id, min(turn) AS first_seen FROM c GROUP BY 1) ORDER BY first_seen DESC, conv_id DESC LIMIT 200")
+def kept_sessions(spark, d):
+    """The 200 sessions begun last (V12): a top-k report."""
+    return answers.newest_sessions(conversations(spark, d), 200, at="turn").select("conv_id")
+
+
+@query(_CONV + "SELECT conv_id, count(*) AS runs, round(median(value), 6) AS ttft, round(median(value * 2), 6) AS total, round(avg(CASE WHEN role = 'assistant' THEN 1.0 ELSE 0.0 END), 6) AS refusal_rate, round(CASE WHEN count(nullif(value, 0)) >= 2 AND avg(nullif(value, 0)) <> 0 THEN stddev_pop(nullif(value, 0)) / avg(nullif(value, 0)) ELSE 0 END, 6) AS cv FROM c GROUP BY 1")
+def run_statistics(spark, d):
+    """Medians, refusal rate and variation by group."""
+    runs = conversations(spark, d).select("conv_id", F.col("value").alias("ttft"), (F.col("value") * 2).alias("total"), F.col("value").alias("tok_s"), (F.col("role") == "assistant").alias("refused"))
+    r = answers.run_statistics(runs, ["conv_id"])
+    return r.select("conv_id", "runs", F.round("ttft", 6).alias("ttft"), F.round("total", 6).alias("total"), F.round("refusal_rate", 6).alias("refusal_rate"), F.round("cv", 6).alias("cv"))
+
+
+@query("""WITH r AS (SELECT l_partkey AS g, l_orderkey AS run, list_distinct(list(l_suppkey)) AS vals FROM lineitem GROUP BY 1, 2),
+n AS (SELECT g, count(*) AS n FROM r GROUP BY 1), v AS (SELECT g, v, count(*) AS c FROM (SELECT g, run, unnest(vals) AS v FROM r) GROUP BY 1, 2)
+SELECT n.g AS l_partkey, round(CASE WHEN n >= 2 THEN 1 - count(*) FILTER (c = n)::DOUBLE / count(*) ELSE 0 END, 6) AS drift FROM n JOIN v ON v.g = n.g GROUP BY n.g, n""")
+def answer_drift(spark, d):
+    """How many of the values of a group's runs are not in all of them (A15, U3): the suppliers of a part over its orders."""
+    runs = table(spark, d, "lineitem").groupBy("l_partkey", F.col("l_orderkey").alias("run")).agg(F.collect_set("l_suppkey").alias("values")).withColumn("refused", F.lit(False))
+    return answers.drift(runs, ["l_partkey"]).select("l_partkey", F.round("drift", 6).alias("drift"))
+
+
+@query("SELECT event_id, greatest(0, least(CAST(floor(value) AS INT), len(string_split(props, '\"')) - 1)) AS step FROM events")
+def step_positions(spark, d):
+    """Wanted steps clamped to those there are."""
+    e = table(spark, d, "events")
+    return e.select("event_id", T.clamp_step(F.floor("value").cast("int"), F.split("props", '"')).alias("step"))
