@@ -184,7 +184,7 @@ def _pairs_of_runs(start: np.ndarray, length: np.ndarray, block: int):
     for n in np.unique(length[length > 1]):
         s = start[length == n]
         if n <= 2048:
-            i, j = np.triu_indices(int(n), 1)
+            i, j = (x.astype(np.int32) for x in np.triu_indices(int(n), 1))
             step = max(1, block // len(i))
             for a in range(0, len(s), step):
                 x = s[a : a + step, None]
@@ -219,7 +219,11 @@ def _candidates(threshold: float):
         start = np.concatenate([[0], cut])
         length = np.diff(np.concatenate([start, [len(sig)]]))
         xs, ys, held = [], [], 0
-        for i, j in _pairs_of_runs(start, length, 2_000_000):
+        # Each row's own bound holds for its largest partner; half of the sketch rejects most pairs by it.
+        most = np.where(size == 65535, 10**6, most_bits(size + size * den // num, threshold)).astype(np.int32)
+        for i, j in _pairs_of_runs(start.astype(np.int32), length.astype(np.int32), 100_000):
+            near = np.bitwise_count(sk1[i] ^ sk1[j]) <= most[i]
+            i, j = i[near], j[near]
             differ = np.bitwise_count(sk1[i] ^ sk1[j]).astype(np.int64) + np.bitwise_count(bits[i] ^ bits[j])
             a, b = size[i], size[j]
             fits = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (differ <= most_bits(a + b, threshold)) | (a == 65535) | (b == 65535)
