@@ -86,7 +86,7 @@ def _raw(dim):
 
 
 #: Largest error of a cosine by codes that is allowed for: five standard deviations at 64 wide.
-CODE_ERROR = 0.08
+CODE_ERROR = 0.12
 
 
 def _codes(unit: np.ndarray) -> list[bytes]:

@@ -207,7 +207,7 @@ class Reader:
                 flow += " " + line.lstrip()
             else:
                 flow += ("\n" if flow else "") + line
-        return title + flow
+        return title + flow.rstrip("\n")
 
 
 def vocabulary(lexicon: DataFrame) -> list[str]:
