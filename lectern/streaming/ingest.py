@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import chunking, corpus
+from ..runtime import materialize
 from ..sources import files
 
 FLUSH, MOST_ERRORS = 25, 10
@@ -37,7 +38,7 @@ def chunks_of(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = by_doc.groupBy("doc_id").agg(F.min("filename").alias("filename"), F.min("path").alias("path"))
     summary = chunking.summaries(good, named).withColumn("table_id", F.lit(None).cast("string"))
     rows = cut.unionByName(summary).join(named.drop("path"), "doc_id")
-    out = rows.select(text.chunk_id(F.col("doc_id"), F.col("page"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "filename", "page", "chunk_index", "table_id", F.col("text").alias("content"))
+    out = rows.select(text.chunk_id(F.col("doc_id"), F.col("page"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "filename", "page", "chunk_index", "table_id", F.lit(None).cast("string").alias("chunk_type"), F.col("text").alias("content"))
     state = pages.groupBy("doc_id").agg(F.max("error").alias("message"), F.max(F.trim(F.coalesce("text", F.lit("")))).alias("_t"))
     status = F.when(F.col("message").isNotNull(), "error").when(F.coalesce("_t", F.lit("")) == "", "empty").otherwise("ok")
     return out, by_doc.join(state, "doc_id", "left").select("path", "doc_id", status.alias("status"), "message")
@@ -61,6 +62,7 @@ class Ingest:
         exists = self._exists(f"{self.target}/chunks")
         if exists:
             chunks = chunks.join(self.corpus.chunks().select("doc_id").distinct(), "doc_id", "left_anti")
+        chunks = materialize(chunks, "batch")
         # A replay of the batch after a failure overwrites its own part of the manifest.
         if exists:
             if not chunks.isEmpty():
