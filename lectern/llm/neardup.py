@@ -27,6 +27,7 @@ Elements are 32 bits of the hash of a word and its number.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ def _elements(texts: list[str], memo: _Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of the texts' bags, and the hashes of all their elements, text by text: the n-th occurrence of a word is an element of its own."""
     words = [_WORD.findall(_TITLE.sub("", t, count=1).lower()) for t in texts]
     size = np.array([len(w) for w in words], np.int64)
-    h = np.fromiter((memo[w] for ws in words for w in ws), np.uint64, int(size.sum()))
+    h = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.uint64, int(size.sum()))
     doc = np.repeat(np.arange(len(texts)), size)
     order = np.lexsort((h, doc))
     h, d = h[order], doc[order]
