@@ -166,7 +166,12 @@ def _match(k: int, min_sim: float, pad: int):
         for at in range(0, len(ask_id), 1024):
             qid = ask_id[at : at + 1024]
             s = ask_code[at : at + 1024] @ h.T
-            r, c = np.nonzero(s >= min_sim)
+            if min_sim < -1:  # no threshold: one more than is kept, as the row itself may be among them
+                n = min(keep + 1, s.shape[1])
+                c = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
+                r = np.repeat(np.arange(len(qid)), n)
+            else:
+                r, c = np.nonzero(s >= min_sim)
             other = qid[r] != hid[c]
             r, c = r[other], c[other]
             v = s[r, c]

@@ -23,6 +23,14 @@ def p3_found(spark, d):
     return knn.similar_pairs(table(spark, d, "ingest"))
 
 
+def p3_topk(spark, d):
+    """The five most similar vectors of every vector whose id is divisible by 50, however far they are."""
+    v = table(spark, d, "ingest")
+    asked = v.where("vec_id % 50 = 0").select(v.vec_id.alias("q"))
+    near = knn.top_k(v, k=5, queries=asked, projections=4, tables=4, probes=16)
+    return near.select("q", "n", knn.F.round("sim", 6).alias("sim"), "rank")
+
+
 def _text_chunks(spark, d):
     return table(spark, d, "store").where("chunk_type is null and chunk_index >= 0").select("chunk_id", "content")
 
@@ -73,7 +81,7 @@ def p8_found(spark, d):
     return encoding.found(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p3_found, p4_found, p4_classes, p5_found, p5_repaired, p6_packing, p6_report, p7_mix, p7_report, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p3_found, p3_topk, p4_found, p4_classes, p5_found, p5_repaired, p6_packing, p6_report, p7_mix, p7_report, p8_found)}
 SQL: dict[str, str] = {}
 
 SQL["p1_coverage"] = r"""
