@@ -8,8 +8,10 @@ is a folder of our own set.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def body_without_title(content):
     """Chunk text after its leading ``[title] ``."""
     return F.regexp_replace(content, r"^\[[^\]\n]*\] ", "")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lectern_shipped", None) != sc.applicationId:
+        root = Path(__file__).resolve().parent
+        name = shutil.make_archive(f"{tempfile.mkdtemp(prefix='lectern-')}/lectern", "zip", root.parent, root.name)
+        sc.addPyFile(name)
+        sc._lectern_shipped = sc.applicationId
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete all tables that ``materialize`` wrote for this session's shared folder; results that still read them fail afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lectern")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
