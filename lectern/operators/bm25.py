@@ -58,13 +58,27 @@ def build(chunks: DataFrame, *, use_stem: bool = True) -> Index:
     return Index(postings, src.select("chunk_id", "folder", F.size(text.tokens(F.col("t"))).alias("dl")), use_stem)
 
 
+#: Question terms (with their question) up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
+
+
 def score(index: Index, questions: DataFrame) -> DataFrame:
-    """``(q_id, chunk_id, folder, bm25)`` of all chunks that share a term with the question; a term counts as often as the question has it."""
+    """``(q_id, chunk_id, folder, bm25)`` of all chunks that share a term with the question; a term counts as often as the question has it.
+
+    What a posting gives doesn't depend on the question, so it is worked out beside the
+    chunk's length. These rows stay with their chunk: with the questions' terms
+    broadcast, sums by question and chunk need no further shuffle.
+    """
     q = _terms_of(questions, ["q_id"], "text", index.stemmed).groupBy("q_id", "term").agg(F.count("*").alias("qtf"))
-    hit = q.join(index.terms(), "term").join(index.postings, "term").join(index.doclen, "chunk_id").crossJoin(F.broadcast(index.statistics()))  # one row
+    few = q.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    wanted = q.join(index.terms().select("term", "idf"), "term").select("q_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + norm)
-    return hit.groupBy("q_id", "chunk_id").agg(F.first("folder").alias("folder"), F.sum(part).alias("bm25"))
+    # A semi-join first, as most terms are in no question.
+    p = index.postings.join(F.broadcast(q.select("term").distinct()) if few else q.select("term").distinct(), "term", "left_semi")
+    p = p.join(index.doclen, "chunk_id").crossJoin(F.broadcast(index.statistics()))  # one row
+    p = p.select("term", "chunk_id", "folder", (tf * (K1 + 1) / (tf + norm)).alias("part"))
+    hit = p.join(F.broadcast(wanted) if few else wanted, "term")
+    return hit.groupBy("q_id", "chunk_id").agg(F.first("folder").alias("folder"), F.sum(F.col("weight") * F.col("part")).alias("bm25"))
 
 
 def top_k(scores: DataFrame, k: int | Column = 15, *, most: int = 30, questions: DataFrame | None = None) -> DataFrame:

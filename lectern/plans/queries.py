@@ -53,14 +53,13 @@ def overlap(q, t):
 
 
 def _index(spark, d):
-    return bm25.build(chunks(spark, d), use_stem=False)
+    """The unstemmed index, written once: queries read it several times in one plan."""
+    index = bm25.build(chunks(spark, d), use_stem=False)
+    return bm25.Index(materialize(index.postings, "postings"), materialize(index.doclen, "doclen"), False)
 
 
 def _stages(spark, d, until="prompts"):
-    index = _index(spark, d)
-    # Postings are read several times in one plan.
-    index = bm25.Index(materialize(index.postings, "postings"), materialize(index.doclen, "doclen"), False)
-    return retrieval.stages(materialize(questions(spark, d), "asked"), materialize(chunks(spark, d), "chunks"), index, vectors(spark, d), reranker=overlap, originals=table(spark, d, "seen"), until=until)
+    return retrieval.stages(materialize(questions(spark, d), "asked"), materialize(chunks(spark, d), "chunks"), _index(spark, d), vectors(spark, d), reranker=overlap, originals=table(spark, d, "seen"), until=until)
 
 
 WORD = r"'[0-9]+\.[0-9]+|[\p{L}\p{N}\p{M}_]+'"
