@@ -151,7 +151,7 @@ def _pack(window: int, keep: int):
     return run
 
 
-def pack(docs: DataFrame, containers: DataFrame, *, path: str = tokens.DEFAULT, dims: int = 3, bits: int = 16, window: int = 2048, keep_open: int = 64) -> DataFrame:
+def pack(docs: DataFrame, containers: DataFrame, *, path: str = tokens.DEFAULT, dims: int = 3, bits: int = 16, window: int = 2048, keep_open: int = 4096) -> DataFrame:
     """``(container_id, bin_id, doc_id, piece, tokens)``: where each document, or piece of a long one, goes for each capacity."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null").dropDuplicates(["doc_id"])
     # Written once: range-sorting reads its input twice.
