@@ -23,7 +23,6 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -90,24 +89,23 @@ CODE_ERROR = 0.12
 
 
 def _codes(unit: np.ndarray) -> list[bytes]:
-    """Four bits a value, after a scale of four bytes."""
+    """Four bits a value; the scale drops out, as decoded vectors are brought to unit length."""
     scale = np.maximum(np.abs(unit).max(1), 1e-30).astype(np.float32) / 7
     code = (np.rint(unit / scale[:, None]) + 8).astype(np.uint8)
     if code.shape[1] % 2:
         code = np.concatenate([code, np.full((len(code), 1), 8, np.uint8)], 1)
     packed = code[:, 0::2] << 4 | code[:, 1::2]
-    return [s.tobytes() + c.tobytes() for s, c in zip(scale, packed)]
+    return [c.tobytes() for c in packed]
 
 
-def _decode(codes) -> np.ndarray:
-    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    packed = raw[:, 4:]
-    out = np.empty((len(codes), 2 * packed.shape[1]), np.float32)
+def _decode(raw: np.ndarray) -> np.ndarray:
+    """Unit vectors from rows of code bytes."""
+    packed = raw
+    out = np.empty((len(raw), 2 * packed.shape[1]), np.float32)
     out[:, 0::2] = packed >> 4
     out[:, 1::2] = packed & 15
     out -= 8
-    out *= np.ascontiguousarray(raw[:, :4]).view(np.float32)
-    out /= np.maximum(np.linalg.norm(out, axis=1), 1e-30)[:, None]
+    out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-30)[:, None]
     return out
 
 
@@ -155,36 +153,63 @@ def _exact(batches):
         yield pa.RecordBatch.from_arrays([b.column("q"), b.column("n"), pa.array(sim)], ["q", "n", "sim"])
 
 
+def _best(h, hid, ask, ask_id, keep: int, min_sim: float):
+    """For each asking row its best ``keep`` of the residents with at least ``min_sim``."""
+    keep = min(keep, len(hid))
+    for at in range(0, len(ask_id), 1024):
+        qid = ask_id[at : at + 1024]
+        s = ask[at : at + 1024] @ h.T
+        if min_sim < -1:  # no threshold: one more than is kept, as the row itself may be among them
+            n = min(keep + 1, s.shape[1])
+            c = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
+            r = np.repeat(np.arange(len(qid)), n)
+        else:
+            r, c = np.nonzero(s >= min_sim)
+        other = qid[r] != hid[c]
+        r, c = r[other], c[other]
+        v = s[r, c]
+        n = np.bincount(r, minlength=len(qid))
+        if len(r) and n.max() > keep:
+            order = np.lexsort((-v, r))
+            r, c, v = r[order], c[order], v[order]
+            first = np.concatenate([[0], np.cumsum(n)[:-1]])
+            top = np.arange(len(r)) - first[r] < keep
+            r, c, v = r[top], c[top], v[top]
+        if len(r):
+            yield qid[r], hid[c], v
+
+
 def _match(k: int, min_sim: float, pad: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        home, ask = pdf[pdf["resident"]], pdf[pdf["visitor"]]
-        if not len(home) or not len(ask):
-            return pd.DataFrame({"q": np.array([], np.int64), "n": np.array([], np.int64), "s": np.array([], np.float32)})
-        h, hid = _decode(home["code"].tolist()), home["id"].to_numpy()
-        ask_code, ask_id = _decode(ask["code"].tolist()), ask["id"].to_numpy()
-        keep, out = min(k + pad, len(hid)), []
-        for at in range(0, len(ask_id), 1024):
-            qid = ask_id[at : at + 1024]
-            s = ask_code[at : at + 1024] @ h.T
-            if min_sim < -1:  # no threshold: one more than is kept, as the row itself may be among them
-                n = min(keep + 1, s.shape[1])
-                c = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
-                r = np.repeat(np.arange(len(qid)), n)
-            else:
-                r, c = np.nonzero(s >= min_sim)
-            other = qid[r] != hid[c]
-            r, c = r[other], c[other]
-            v = s[r, c]
-            n = np.bincount(r, minlength=len(qid))
-            if len(r) and n.max() > keep:  # the best of each row
-                order = np.lexsort((-v, r))
-                r, c, v = r[order], c[order], v[order]
-                first = np.concatenate([[0], np.cumsum(n)[:-1]])
-                top = np.arange(len(r)) - first[r] < keep
-                r, c, v = r[top], c[top], v[top]
-            out.append((qid[r], hid[c], v))
-        q, n, s = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"q": q, "n": n, "s": s})
+    """Of the rows of a partition those of a group meet; a group is a pair of blocks of one cell, so it is of bounded size."""
+
+    def run(batches):
+        cols: list[list] = [[], [], [], [], []]
+        for b in batches:
+            n = b.num_rows
+            if n:
+                for x, name in zip(cols, ("g", "id", "resident", "visitor")):
+                    x.append(b.column(name).to_numpy(zero_copy_only=False))
+                cols[4].append(np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(n, -1))
+        if not cols[0]:
+            return
+        g, ids, resident, visitor, code = (np.concatenate(x) for x in cols)
+        order = np.argsort(g, kind="stable")
+        cut = np.concatenate([[0], np.nonzero(np.diff(g[order]))[0] + 1, [len(g)]])
+        out, held = [], 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["q", "n", "s"])
+        for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            rows = order[a:z]
+            res, vis = rows[resident[rows]], rows[visitor[rows]]
+            if not len(res) or not len(vis) or (len(res) == 1 and len(vis) == 1 and res[0] == vis[0]):
+                continue
+            for found in _best(_decode(code[res]), ids[res], _decode(code[vis]), ids[vis], k + pad, min_sim):
+                out.append(found)
+                held += len(found[0])
+            if held > 500_000:
+                yield pack()
+                out, held = [], 0
+        if out:
+            yield pack()
 
     return run
 
@@ -221,10 +246,11 @@ def top_k(vectors: DataFrame, *, id_col="vec_id", vec_col="embeddings", dim=64,
     rows = rows.select(
         "t", "cell", "id", "code", "home", "asks", mine_r.alias("mr"), mine_v.alias("mv"), F.explode(blocks).alias("b")
     ).select(
-        "t", "cell", "b.i", "b.j", "id", "code",
+        F.xxhash64("t", "cell", "b.i", "b.j").alias("g"), "id", "code",
         (F.col("home") & (F.col("b.i") == F.col("mr"))).alias("resident"), (F.col("asks") & (F.col("b.j") == F.col("mv"))).alias("visitor"),
     ).where("resident or visitor")
-    found = rows.groupBy("t", "cell", "i", "j").applyInPandas(_match(k, min_sim - CODE_ERROR, pad), "q bigint, n bigint, s float")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(parts, "g").mapInArrow(_match(k, min_sim - CODE_ERROR, pad), "q bigint, n bigint, s float")
     # Of each question the best by code, then the exact cosine of those.
     best = found.groupBy("q", "n").agg(F.max("s").alias("s"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "n"))).where(F.col("r") <= k + pad).select("q", "n")

@@ -38,7 +38,7 @@ def test_clusters_and_unusable(spark, monkeypatch):
 def test_codes_keep_the_cosine():
     u = np.random.default_rng(1).normal(size=(500, 64))
     u = (u / np.linalg.norm(u, axis=1)[:, None]).astype(np.float32)
-    d = knn._decode(knn._codes(u))
+    d = knn._decode(np.stack([np.frombuffer(c, np.uint8) for c in knn._codes(u)]))
     assert np.abs(d @ d.T - u @ u.T).max() < knn.CODE_ERROR
 
 
