@@ -28,7 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 RESIDENTS, VISITORS = 4096, 16384
+#: Up to so many crowded cells are broadcast; more are joined by a shuffle.
+BROADCAST_CELLS = 100_000
 
 
 def _projections(seed: int, table: int, dim: int, m: int, width: float):
@@ -217,7 +221,7 @@ def _match(k: int, min_sim: float, pad: int):
 def shape_for(rows: int) -> dict:
     """Projections, tables and probes for so many rows: cells grow in number with the rows, tables and probes with the projections."""
     m = max(4, min(24, round(math.log2(max(rows, 1) / 2300))))
-    return {"projections": m, "tables": 3 if m <= 7 else 4 + (m - 8) // 2, "probes": 4 if m <= 6 else 6 + 2 * (m - 7)}
+    return {"projections": m, "tables": 4 if m <= 7 else 5 + (m - 8) // 2, "probes": 4 if m <= 6 else 6 + 2 * (m - 7)}
 
 
 def top_k(vectors: DataFrame, *, id_col="vec_id", vec_col="embeddings", dim=64, k=5, min_sim=-2.0, queries: DataFrame | None = None, projections=None, tables=None, probes=None, width=1.6, seed=11, pad=15) -> DataFrame:
@@ -239,6 +243,9 @@ def top_k(vectors: DataFrame, *, id_col="vec_id", vec_col="embeddings", dim=64,
     crowded = counts.where((F.col("residents") > RESIDENTS) | (F.col("visitors") > VISITORS)).select(
         "t", "cell", F.ceil(F.col("residents") / RESIDENTS).cast("int").alias("rb"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("vb")
     )
+    # A cell in some thousands of rows is crowded at most; written once, as its number decides how it is joined.
+    crowded = materialize(crowded, "crowded")
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_CELLS else crowded
     rows = asking.mapInArrow(_spread(*spec), "t int, cell bigint, id bigint, home boolean, asks boolean, code binary").join(crowded, ["t", "cell"], "left")
     rb, vb = F.greatest(F.coalesce("rb", F.lit(1)), F.lit(1)), F.greatest(F.coalesce("vb", F.lit(1)), F.lit(1))
     mine_r, mine_v = F.pmod(F.xxhash64("id"), rb).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), vb).cast("int")

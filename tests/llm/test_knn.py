@@ -52,4 +52,4 @@ def test_ties_and_empty(spark):
 @pytest.mark.parametrize("rows", [0, 1, 10**4, 10**6, 10**9])
 def test_shape(rows):
     s = knn.shape_for(rows)
-    assert 4 <= s["projections"] <= 24 and s["tables"] >= 3
+    assert 4 <= s["projections"] <= 24 and s["tables"] >= 4
