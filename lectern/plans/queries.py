@@ -490,3 +490,11 @@ def step_positions(spark, d):
     """Wanted steps clamped to those there are."""
     e = table(spark, d, "events")
     return e.select("event_id", T.clamp_step(F.floor("value").cast("int"), F.split("props", '"')).alias("step"))
+
+
+# -- quantities -------------------------------------------------------------------------------
+@query()
+def p2_found(spark, d):
+    """Readings of the listed quantities in text and summary chunks, in the common unit, as integers."""
+    c = table(spark, d, "store").where("chunk_type is null").select("chunk_id", "content")
+    return units.reading_integers(c, table(spark, d, "quantities"))
