@@ -498,3 +498,41 @@ def p2_found(spark, d):
     """Readings of the listed quantities in text and summary chunks, in the common unit, as integers."""
     c = table(spark, d, "store").where("chunk_type is null").select("chunk_id", "content")
     return units.reading_integers(c, table(spark, d, "quantities"))
+
+
+# -- more of the inventory ----------------------------------------------------------------------
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS content_id FROM documents WHERE text IS NOT NULL AND substr(sha256(text), 1, 16) NOT IN (SELECT doc_id FROM seen WHERE doc_id IS NOT NULL)")
+def unknown_contents(spark, d):
+    """Documents whose content hash the manifest doesn't have."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", T.content_id(F.encode("text", "UTF-8")).alias("content_id"))
+    return docs.join(table(spark, d, "seen").select(F.col("doc_id").alias("content_id")).where("content_id is not null").distinct(), "content_id", "left_anti").select("doc_id", "content_id")
+
+
+@query("SELECT text, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS text FROM documents WHERE text IS NOT NULL) WHERE text <> '' AND NOT starts_with(text, '#') GROUP BY 1")
+def question_lines(spark, d):
+    """Lines that are neither blank nor comments, as a question file has them."""
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("text"))
+    return lines.where("text <> '' and not startswith(text, '#')").groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query(_S + "SELECT chunk_id, row_number() OVER (PARTITION BY doc_id, page ORDER BY chunk_index DESC) - 1 AS img_idx FROM s WHERE chunk_type = 'image'")
+def image_numbers(spark, d):
+    """Images numbered within their page."""
+    i = chunks(spark, d).where("chunk_type = 'image'").select("chunk_id", "doc_id", "page", (-F.col("chunk_index")).alias("pos"), F.col("chunk_id").alias("ref"), F.lit(6000).alias("size"))
+    return chunking.number_images(i).select("chunk_id", "img_idx")
+
+
+@query("WITH r AS (SELECT user_id, median(value) AS ttft, median(value * 2) AS total, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS refusal FROM events GROUP BY 1) SELECT user_id, row_number() OVER (ORDER BY round(total, 6), user_id) AS place FROM r")
+def benchmark_report(spark, d):
+    """Groups of runs in the order of a report."""
+    e = table(spark, d, "events").select("user_id", F.col("value").alias("ttft"), (F.col("value") * 2).alias("total"), F.col("value").alias("tok_s"), (F.col("event_type") == "error").alias("refused"))
+    r = answers.run_statistics(e, ["user_id"])
+    # A report of one row for each group of runs.
+    return r.select("user_id", F.row_number().over(Window.orderBy(F.round("total", 6), "user_id")).alias("place"))
+
+
+@query("SELECT status, files, total_bytes, row_number() OVER (ORDER BY files DESC, status) AS place FROM (SELECT coalesce(status, 'none') AS status, count(*) AS files, sum(size)::BIGINT AS total_bytes FROM seen GROUP BY 1)")
+def job_progress(spark, d):
+    """Counters of a job by outcome."""
+    g = table(spark, d, "seen").groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("files"), F.sum("size").alias("total_bytes"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("files"), "status")))
