@@ -4,8 +4,13 @@ Each of ``tables`` hash tables cuts space into cells by floor((a.v + b) / width)
 random (2-stable) projections. A vector stands in its own cell and also visits the cells
 it reaches by the perturbations most likely to succeed: those whose boundaries lie
 nearest, in the order of the sum of squared distances to them. Cells are joined by Spark;
-inside a cell, block matrix products rank the visitors' candidates on four-bit
-codes, and what remains is reranked with the exact cosine of the full vectors.
+inside a cell, block matrix products rank the visitors' candidates on codes of four
+or eight bits a value, and what remains is reranked with the exact cosine of the full vectors.
+
+Nothing is cut by codes alone: each code comes with an upper bound of the angle between the
+vector and its code, so a pair's cosine lies between two proven bounds. A candidate is left
+out only if k others have lower bounds above its upper bound. Copies of one vector stand in
+the cells once, as a class, and are told apart by id at the end.
 
 Crowded cells are split: residents into blocks, visitors into blocks, and each pair of
 blocks is one group, so no task holds a whole cell however many rows share it. Nothing
@@ -92,8 +97,15 @@ def _raw(dim):
 CODE_ERROR = 0.12
 
 
-def _codes(unit: np.ndarray) -> list[bytes]:
-    """Four bits a value; the scale drops out, as decoded vectors are brought to unit length."""
+#: What float32 products of unit vectors may be off by.
+ROUNDING = 1e-5
+
+
+def _codes(unit: np.ndarray, bits: int = 4) -> list[bytes]:
+    """Four or eight bits a value; the scale drops out, as decoded vectors are brought to unit length."""
+    if bits == 8:
+        scale = np.maximum(np.abs(unit).max(1), 1e-30).astype(np.float32) / 127
+        return [c.tobytes() for c in np.rint(unit / scale[:, None]).astype(np.int8)]
     scale = np.maximum(np.abs(unit).max(1), 1e-30).astype(np.float32) / 7
     code = (np.rint(unit / scale[:, None]) + 8).astype(np.uint8)
     if code.shape[1] % 2:
@@ -113,6 +125,35 @@ def _decode(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def _decode8(raw: np.ndarray) -> np.ndarray:
+    out = raw.view(np.int8).astype(np.float32)
+    out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-30)[:, None]
+    return out
+
+
+def _bounded_codes(unit: np.ndarray, bits: int) -> list[bytes]:
+    """Codes with one more byte: the angle between vector and code, rounded up, in steps of 1/256 or 1/4096; 255 is no bound."""
+    codes = _codes(unit, bits)
+    rows = np.frombuffer(b"".join(codes), np.uint8).reshape(len(unit), -1)
+    d = (_decode(rows)[:, : unit.shape[1]] if bits == 4 else _decode8(rows)).astype(np.float64)
+    u = unit.astype(np.float64)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    dot = (u * d).sum(1)
+    angle = np.arctan2(np.sqrt(((u - dot[:, None] * d) ** 2).sum(1)), dot) + 1e-6
+    step = np.minimum(np.ceil(angle * (256 if bits == 4 else 4096)), 255).astype(np.uint8)
+    return [c + bytes([a]) for c, a in zip(codes, step.tolist())]
+
+
+def _opened(rows: list[bytes], dim: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and the bounds of their angles, of one group's codes or full vectors."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    if raw.shape[1] == 4 * dim:
+        return raw.view(np.float32), np.zeros(len(rows))
+    step = raw[:, -1].astype(np.float64)
+    codes = np.ascontiguousarray(raw[:, :-1])
+    return _decode(codes)[:, :dim] if bits == 4 else _decode8(codes), np.where(step == 255, np.pi, step / (256 if bits == 4 else 4096))
+
+
 def _count(dim, seed, tables, m, width, probes):
     def run(batches):
         for b in batches:
@@ -130,22 +171,27 @@ def _count(dim, seed, tables, m, width, probes):
     return run
 
 
-def _spread(dim, seed, tables, m, width, probes):
+def _spread(dim, seed, tables, m, width, probes, bits, dense):
+    """``dense``: by table the sorted cells whose rows carry the full vector beside the code; None is all cells."""
+
     def run(batches):
         for b in batches:
             ids, _, unit, at = _clean(b, dim)
             if not len(ids):
                 continue
             asks = np.asarray(b.column("asks"))[at]
-            codes = np.array(_codes(unit), dtype=object)
+            codes = np.array(_bounded_codes(unit, bits), dtype=object)
             for t in range(tables):
                 cells = _cells(unit, seed, t, m, width, probes)
                 for p in range(cells.shape[1]):
                     keep = np.ones(len(ids), bool) if p == 0 else asks
                     n = int(keep.sum())
                     if n:
-                        cols = [pa.array(np.full(n, t, np.int32)), pa.array(cells[keep, p]), pa.array(ids[keep]), pa.array(np.full(n, p == 0)), pa.array(asks[keep]), pa.array(codes[keep], pa.binary())]
-                        yield pa.RecordBatch.from_arrays(cols, ["t", "cell", "id", "home", "asks", "code"])
+                        full = np.full(n, None, object)
+                        here = np.ones(n, bool) if dense is None else np.isin(cells[keep, p], dense.get(t, ()))
+                        full[here] = [x.tobytes() for x in unit[keep][here]]
+                        cols = [pa.array(np.full(n, t, np.int32)), pa.array(cells[keep, p]), pa.array(ids[keep]), pa.array(np.full(n, p == 0)), pa.array(asks[keep]), pa.array(codes[keep], pa.binary()), pa.array(full, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(cols, ["t", "cell", "id", "home", "asks", "code", "full"])
 
     return run
 
@@ -157,56 +203,65 @@ def _exact(batches):
         yield pa.RecordBatch.from_arrays([b.column("q"), b.column("n"), pa.array(sim)], ["q", "n", "sim"])
 
 
-def _best(h, hid, ask, ask_id, keep: int, min_sim: float):
-    """For each asking row its best ``keep`` of the residents with at least ``min_sim``."""
-    keep = min(keep, len(hid))
+def _best(h, off, hid, ask, ask_off, ask_id, k: int, min_sim: float):
+    """For each asking row, with both bounds of the cosine, the residents that may be among its best ``k`` with at least ``min_sim``."""
+    widest = off.max()
+    least = math.acos(max(-1.0, min(1.0, min_sim))) if min_sim >= -1 else math.pi
     for at in range(0, len(ask_id), 1024):
-        qid = ask_id[at : at + 1024]
+        qid, qoff = ask_id[at : at + 1024], ask_off[at : at + 1024]
         s = ask[at : at + 1024] @ h.T
-        if min_sim < -1:  # no threshold: one more than is kept, as the row itself may be among them
-            n = min(keep + 1, s.shape[1])
-            c = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
-            r = np.repeat(np.arange(len(qid)), n)
-        else:
-            r, c = np.nonzero(s >= min_sim)
+        reach = np.full(len(qid), least)
+        if min_sim < -1 and len(hid) > k + 1:
+            # One more than k, as the row itself may be among them.
+            kth = np.partition(s, len(hid) - k - 1, axis=1)[:, len(hid) - k - 1]
+            reach = np.arccos(np.clip(kth.astype(np.float64) - ROUNDING, -1, 1)) + qoff + widest
+        r, c = np.nonzero(s >= (np.cos(np.minimum(reach + qoff + widest, np.pi)) - 2 * ROUNDING)[:, None].astype(np.float32))
         other = qid[r] != hid[c]
         r, c = r[other], c[other]
-        v = s[r, c]
+        v, slack = s[r, c].astype(np.float64), qoff[r] + off[c]
+        lo = np.cos(np.minimum(np.arccos(np.clip(v - ROUNDING, -1, 1)) + slack, np.pi)) - 1e-6
+        hi = np.cos(np.maximum(np.arccos(np.clip(v + ROUNDING, -1, 1)) - slack, 0)) + 1e-6
+        may = hi >= min_sim
         n = np.bincount(r, minlength=len(qid))
-        if len(r) and n.max() > keep:
-            order = np.lexsort((-v, r))
-            r, c, v = r[order], c[order], v[order]
+        if len(r) and n.max() > k:
+            order = np.lexsort((-lo, r))
             first = np.concatenate([[0], np.cumsum(n)[:-1]])
-            top = np.arange(len(r)) - first[r] < keep
-            r, c, v = r[top], c[top], v[top]
-        if len(r):
-            yield qid[r], hid[c], v
+            many = n > k
+            bar = np.full(len(qid), -2.0)
+            bar[many] = lo[order[first[many] + k - 1]]
+            may &= hi >= bar[r]
+        if may.any():
+            yield qid[r[may]], hid[c[may]], lo[may].astype(np.float32), hi[may].astype(np.float32)
 
 
-def _match(k: int, min_sim: float, pad: int):
+def _match(k: int, min_sim: float, dim: int, bits: int):
     """Of the rows of a partition those of a group meet; a group is a pair of blocks of one cell, so it is of bounded size."""
 
     def run(batches):
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], []]
+        code: list = []
         for b in batches:
             n = b.num_rows
             if n:
                 for x, name in zip(cols, ("g", "id", "resident", "visitor")):
                     x.append(b.column(name).to_numpy(zero_copy_only=False))
-                cols[4].append(np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(n, -1))
+                code += b.column("code").to_pylist()
         if not cols[0]:
             return
-        g, ids, resident, visitor, code = (np.concatenate(x) for x in cols)
+        g, ids, resident, visitor = (np.concatenate(x) for x in cols)
         order = np.argsort(g, kind="stable")
         cut = np.concatenate([[0], np.nonzero(np.diff(g[order]))[0] + 1, [len(g)]])
         out, held = [], 0
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["q", "n", "s"])
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["q", "n", "lo", "hi"])
         for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
             rows = order[a:z]
             res, vis = rows[resident[rows]], rows[visitor[rows]]
             if not len(res) or not len(vis) or (len(res) == 1 and len(vis) == 1 and res[0] == vis[0]):
                 continue
-            for found in _best(_decode(code[res]), ids[res], _decode(code[vis]), ids[vis], k + pad, min_sim):
+            res = res[np.unique(ids[res], return_index=True)[1]]  # a repeated row must not count twice among the best
+            vectors, off = _opened([code[i] for i in res], dim, bits)
+            ask, ask_off = _opened([code[i] for i in vis], dim, bits)
+            for found in _best(vectors, off, ids[res], ask, ask_off, ids[vis], k, min_sim):
                 out.append(found)
                 held += len(found[0])
             if held > 500_000:
@@ -224,20 +279,52 @@ def shape_for(rows: int) -> dict:
     return {"projections": m, "tables": 4 if m <= 7 else 5 + (m - 8) // 2, "probes": 4 if m <= 6 else 6 + 2 * (m - 7)}
 
 
-def top_k(vectors: DataFrame, *, id_col="vec_id", vec_col="embeddings", dim=64, k=5, min_sim=-2.0, queries: DataFrame | None = None, projections=None, tables=None, probes=None, width=1.6, seed=11, pad=15) -> DataFrame:
+def _one_per_id(vecs: DataFrame, dim: int) -> DataFrame:
+    """``vecs`` with each id once, of differing usable vectors the larger in byte order; nothing is done where no id is repeated."""
+    if vecs.groupBy("id").count().where("count > 1").isEmpty():
+        return vecs
+    raw = vecs.mapInArrow(_raw(dim), "id bigint, raw binary").groupBy("id").agg(F.max("raw").alias("raw"))
+    return materialize(raw.mapInArrow(_listed, "id bigint, v array<float>"), "vectors")
+
+
+def _listed(batches):
+    for b in batches:
+        rows = [np.frombuffer(x, np.float32) for x in b.column("raw").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.list_(pa.float32()))], ["id", "v"])
+
+
+def _copies(vecs: DataFrame) -> DataFrame | None:
+    """``(id, rep)`` of the vectors that stand more than once, ``rep`` the smallest id of the class; None if there are none."""
+    # 128 bits of hash decide whether two vectors are copies.
+    keyed = vecs.select("id", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    classes = keyed.groupBy("h", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = materialize(classes, "classes")
+    return None if classes.isEmpty() else materialize(keyed.join(classes, ["h", "h2"]).select("id", "rep"), "copies")
+
+
+def top_k(vectors: DataFrame, *, id_col="vec_id", vec_col="embeddings", dim=64, k=5, min_sim=-2.0, queries: DataFrame | None = None, projections=None, tables=None, probes=None, width=1.6, seed=11) -> DataFrame:
     """``(q, n, sim, rank)``: for each query its k most similar other vectors with at least ``min_sim``.
 
     ``queries`` (a column ``q``) names the rows that ask; all rows do without it.
-    ``pad`` more than k are kept in each cell by the codes, whose cosine is off by less
-    than ``CODE_ERROR``, before the exact rerank.
+    Every candidate that the codes' proven bounds leave open is reranked. Without a threshold
+    the codes have eight bits a value; with one they have four, and rows of crowded cells
+    bring their full vectors, so that a crowded topic leaves few candidates open.
     """
-    vecs = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id is not null and v is not null")
+    vecs = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id is not null and v is not null").where(F.size("v") == dim)
     chosen = shape_for(vectors.count())
     m, nt, np_ = projections or chosen["projections"], tables or chosen["tables"], probes or chosen["probes"]
-    asking = vecs.withColumn("asks", F.lit(True))
-    if queries is not None:
-        flags = queries.select(F.col("q").cast("bigint").alias("id")).distinct().withColumn("asks", F.lit(True))
-        asking = vecs.join(flags, "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    bits = 8 if min_sim < -1 else 4
+    vecs = _one_per_id(vecs, dim)
+    copies = _copies(vecs)
+    asked = queries.select(F.col("q").cast("bigint").alias("id")).distinct() if queries is not None else None
+    single, flags = vecs, asked
+    if copies is not None:
+        single = vecs.join(copies.where("id <> rep").select("id"), "id", "left_anti")
+        if asked is not None:
+            flags = asked.join(copies, "id", "left").select(F.coalesce("rep", "id").alias("id")).distinct()
+    asking = single.withColumn("asks", F.lit(True))
+    if flags is not None:
+        asking = single.join(flags.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     spec = (dim, seed, nt, m, width, np_)
     counts = asking.mapInArrow(_count(*spec), "t int, cell bigint, residents bigint, visitors bigint").groupBy("t", "cell").agg(F.sum("residents").alias("residents"), F.sum("visitors").alias("visitors"))
     crowded = counts.where((F.col("residents") > RESIDENTS) | (F.col("visitors") > VISITORS)).select(
@@ -245,26 +332,49 @@ def top_k(vectors: DataFrame, *, id_col="vec_id", vec_col="embeddings", dim=64,
     )
     # A cell in some thousands of rows is crowded at most; written once, as its number decides how it is joined.
     crowded = materialize(crowded, "crowded")
-    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_CELLS else crowded
-    rows = asking.mapInArrow(_spread(*spec), "t int, cell bigint, id bigint, home boolean, asks boolean, code binary").join(crowded, ["t", "cell"], "left")
+    dense: dict | None = {}
+    if crowded.count() <= BROADCAST_CELLS:
+        for t, cell in crowded.select("t", "cell").collect() if bits == 4 else ():
+            dense.setdefault(t, []).append(cell)
+        dense = {t: np.array(sorted(c), np.int64) for t, c in dense.items()}
+        crowded = F.broadcast(crowded)
+    elif bits == 4:
+        dense = None
+    rows = asking.mapInArrow(_spread(*spec, bits, dense), "t int, cell bigint, id bigint, home boolean, asks boolean, code binary, full binary").join(crowded, ["t", "cell"], "left")
+    full_code = F.col("rb").isNotNull() & F.col("full").isNotNull()
+    rows = rows.withColumn("code", F.when(full_code, F.col("full")).otherwise(F.col("code"))).drop("full")
     rb, vb = F.greatest(F.coalesce("rb", F.lit(1)), F.lit(1)), F.greatest(F.coalesce("vb", F.lit(1)), F.lit(1))
     mine_r, mine_v = F.pmod(F.xxhash64("id"), rb).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), vb).cast("int")
     blocks = F.flatten(F.transform(F.sequence(F.lit(0), rb - 1), lambda i: F.transform(F.sequence(F.lit(0), vb - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     rows = rows.select(
         "t", "cell", "id", "code", "home", "asks", mine_r.alias("mr"), mine_v.alias("mv"), F.explode(blocks).alias("b")
     ).select(
-        F.xxhash64("t", "cell", "b.i", "b.j").alias("g"), "id", "code",
+        # The last bit tells full vectors from codes, so a group never has both.
+        F.shiftleft(F.xxhash64("t", "cell", "b.i", "b.j"), 1).bitwiseOR((F.length("code") == 4 * dim).cast("bigint")).alias("g"), "id", "code",
         (F.col("home") & (F.col("b.i") == F.col("mr"))).alias("resident"), (F.col("asks") & (F.col("b.j") == F.col("mv"))).alias("visitor"),
     ).where("resident or visitor")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(parts, "g").mapInArrow(_match(k, min_sim - CODE_ERROR, pad), "q bigint, n bigint, s float")
-    # Of each question the best by code, then the exact cosine of those.
-    best = found.groupBy("q", "n").agg(F.max("s").alias("s"))
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "n"))).where(F.col("r") <= k + pad).select("q", "n")
-    full = vecs.mapInArrow(_raw(dim), "id bigint, raw binary").groupBy("id").agg(F.max("raw").alias("v"))
+    found = rows.repartition(parts, "g").mapInArrow(_match(k, min_sim, dim, bits), "q bigint, n bigint, lo float, hi float")
+    # Of each question all that may be among the best by the bounds, then the exact cosine of those.
+    best = found.groupBy("q", "n").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
+    order = Window.partitionBy("q").orderBy(F.desc("lo")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = best.withColumn("bar", F.nth_value("lo", k).over(order)).where(F.col("bar").isNull() | (F.col("hi") >= F.col("bar"))).select("q", "n")
+    full = single.mapInArrow(_raw(dim), "id bigint, raw binary").select("id", F.col("raw").alias("v")).repartition("id")
     pairs = best.join(full.select(F.col("id").alias("q"), F.col("v").alias("vq")), "q").join(full.select(F.col("id").alias("n"), F.col("v").alias("vn")), "n")
-    exact = pairs.mapInArrow(_exact, "q bigint, n bigint, sim double").where(F.col("sim") >= min_sim)
-    return exact.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "n"))).where(F.col("rank") <= k)
+    ranked = lambda df, most: df.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "n"))).where(F.col("rank") <= most)
+    exact = ranked(pairs.mapInArrow(_exact, "q bigint, n bigint, sim double").where(F.col("sim") >= min_sim), k)
+    if copies is None:
+        return exact
+    # Classes of copies: k + 1 members are enough as neighbours, as one may be the asking row.
+    near = copies.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("i") <= k + 1).select(F.col("rep").alias("n"), F.col("id").alias("member"))
+    own = single.join(copies.where("id = rep").select("id"), "id", "left_semi").mapInArrow(_raw(dim), "id bigint, raw binary")
+    own = own.select(F.col("id").alias("q"), F.col("id").alias("n"), F.col("raw").alias("vq"), F.col("raw").alias("vn")).mapInArrow(_exact, "q bigint, n bigint, sim double").where(F.col("sim") >= min_sim)
+    classed = exact.select("q", "n", "sim").unionByName(own).join(near, "n", "left").select("q", F.coalesce("member", "n").alias("n"), "sim")
+    classed = ranked(classed, k + 1).drop("rank")
+    members = classed.join(copies.select(F.col("rep").alias("q"), F.col("id").alias("asker")), "q", "left").select(F.coalesce("asker", "q").alias("q"), "n", "sim").where("q <> n")
+    if asked is not None:
+        members = members.join(asked.withColumnRenamed("id", "q"), "q", "left_semi")
+    return ranked(members, k)
 
 
 def similar_pairs(vectors: DataFrame, *, threshold=0.88, k=5, **kw) -> DataFrame:

@@ -49,6 +49,49 @@ def test_ties_and_empty(spark):
     assert knn.similar_pairs(same.limit(0)).count() == 0
 
 
+def exact_ties(ids, x, asked, k):
+    """{(q, n)} by brute force, and the k-th best cosine of each q."""
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    out, kth = set(), {}
+    for i in asked:
+        s = u @ u[i]
+        s[i] = -9
+        top = sorted(range(len(ids)), key=lambda j: (-round(s[j], 12), ids[j]))[:k]
+        out |= {(ids[i], ids[j]) for j in top}
+        kth[ids[i]] = s[top[-1]]
+    return out, kth
+
+
+@pytest.mark.parametrize("min_sim", [-2.0, 0.5])
+@pytest.mark.parametrize("residents", [4096, 500])
+def test_crowded_topic(spark, monkeypatch, min_sim, residents):
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=64)
+    x = (c + 0.15 * rng.normal(size=(3000, 64))).astype(np.float32)
+    x[1000:1040] = x[7]  # more copies than any fixed number of candidates
+    ids = list(range(len(x)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embeddings array<float>")
+    df = df.unionAll(df.where("vec_id < 3"))
+    monkeypatch.setattr(knn, "RESIDENTS", residents)
+    asked = [*range(0, 3000, 60), 7, 1001, 1039]
+    want, _ = exact_ties(ids, x, asked, 5)
+    # One cell for all, so that only the choice of candidates is tested.
+    got = knn.top_k(df, min_sim=min_sim, queries=spark.createDataFrame([(i,) for i in asked], "q long"), projections=1, tables=1, probes=1, width=1e6).collect()
+    assert {(r.q, r.n) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("bits", [4, 8])
+def test_bounds_hold(bits):
+    rng = np.random.default_rng(2)
+    u = np.concatenate([rng.normal(size=(200, 64)), rng.normal(size=64) + 0.1 * rng.normal(size=(200, 64)), np.eye(64) + 0.07]).astype(np.float32)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    ids = np.arange(len(u))
+    d, off = knn._opened(knn._bounded_codes(u, bits), 64, bits)
+    s = u.astype(float) @ u.T.astype(float)
+    for q, n, lo, hi in knn._best(d, off, ids, d, off, ids, len(u), -2.0):
+        assert (lo <= s[q, n]).all() and (s[q, n] <= hi).all() and len(q) == len(u) * (len(u) - 1)
+
+
 @pytest.mark.parametrize("rows", [0, 1, 10**4, 10**6, 10**9])
 def test_shape(rows):
     s = knn.shape_for(rows)
