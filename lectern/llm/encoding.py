@@ -10,6 +10,9 @@ itself tells. For these the unit is the blank-separated word: all words with cha
 beyond ASCII are counted over all documents, each one's possible originals come from the
 precomputed character maps, and a word is garbled if an original is far more frequent in
 the documents than it. Such words are joined back to their documents by Spark.
+Frequencies shrink with the garbled share, so documents that tell by themselves are set
+aside first: those whose words fit no one language's spelling, while their originals, all
+known, fit one. The frequencies are those of the other documents.
 
 Defined results: null and empty texts are no findings; a text with the replacement
 character, or with the beginning of a garbled sequence whose rest is missing, has lost
@@ -26,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 #: One-byte encodings in which UTF-8 bytes are misread.
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859-2", "iso8859-15", "koi8-r", "cp866", "cp852", "cp1254", "cp1257", "mac_cyrillic")
 #: (true, wrong) pairs of one-byte encodings.
@@ -133,6 +138,51 @@ def _single_maps() -> list[dict[int, str]]:
     return maps
 
 
+#: Letters beyond ASCII of languages, in lower case.
+ALPHABETS = (
+    "àâæçéèêëîïôœùûüÿ", "äöüß", "áéíñóúü", "ąćęłńóśźż", "".join(chr(c) for c in range(0x430, 0x450)) + "ё", "".join(chr(c) for c in range(0x430, 0x450)) + "ґєіїў", "áàâãçéêíóôõúü", "àèéìíîòóù", "áčďéěíňóřšťúůýž",
+    "áäčďéíĺľňóôŕšťúýž", "áéíóöőúüű", "ăâîșțşţ", "åäöé", "æøåé", "čćđšž", "ëïéèêöüáíóú", "çğıöşüâîû", "".join(chr(c) for c in range(0x3AC, 0x3CF)),
+)
+#: Letters that stand in technical texts of any language as signs.
+_SIGNS = frozenset("µμΩΩΔ∆Σπφλ")
+_ALL = (1 << len(ALPHABETS)) - 1
+_MARKS = frozenset("‘’“”„‚«»‹›–—―…·•")
+
+
+@lru_cache(200_000)
+def _fits(word: str) -> int:
+    """A bit for each language whose spelling the word's characters beyond ASCII fit; 0 where it is odd in any."""
+    mask, run = _ALL, 0
+    for i, c in enumerate(word):
+        before, after = word[i - 1] if i else "", word[i + 1 : i + 2]
+        if c in _SIGNS or before in _SIGNS:
+            run = 0
+            if c in _SIGNS or c.isascii():
+                continue
+        if "\u2500" <= c <= "\u25cf" and (before.isalnum() or after.isalnum()):
+            return 0
+        if before.islower() and c.isupper() and not (before.isascii() and c.isascii()):
+            return 0
+        if c.isascii():
+            run = 0
+            if c.isalpha() and before and "\u0370" <= before <= "\u04ff" and before.isalpha():
+                return 0
+            continue
+        if "\x80" <= c <= "\x9f":
+            return 0
+        if not c.isalpha() or c in "ªº":
+            run = 0
+            if c not in _MARKS and before.isalpha() and after and (after.isalpha() or not after.isascii()) and after not in _MARKS:
+                return 0
+            continue
+        script = "\u0370" <= c <= "\u04ff"
+        run += 1
+        if (not script and run > 3) or (script and before.isascii() and before.isalpha()):
+            return 0
+        mask &= sum(1 << k for k, a in enumerate(ALPHABETS) if c in a or c.lower() in a)
+    return mask
+
+
 def _multi(batches):
     for pdf in batches:
         got = [repair(t) for t in pdf["text"]]
@@ -146,8 +196,8 @@ def _originals(batches):
             for k, m in enumerate(_single_maps()):
                 o = w.translate(m)
                 if o != w and not any("\x80" <= c <= "\x9f" for c in o):
-                    rows.append((w, n, k, o))
-        yield pd.DataFrame(rows, columns=["word", "n", "pair", "original"]).astype({"n": "int64", "pair": "int32"})
+                    rows.append((w, n, k, o, _fits(w), _fits(o)))
+        yield pd.DataFrame(rows, columns=["word", "n", "pair", "original", "fits", "fits_original"]).astype({"n": "int64", "pair": "int32", "fits": "int32", "fits_original": "int32"})
 
 
 def _core(word):
@@ -158,23 +208,39 @@ def _core(word):
 def restored(docs: DataFrame, *, id_col="doc_id", text_col="text", ratio=4, least=3) -> DataFrame:
     """``(id, fixed, lost)`` of the documents that hold wrongly decoded characters.
 
-    ``ratio``: so many times as often as a garbled word its original must occur in all
-    documents, and ``least`` times at least.
+    ``ratio``: so many times as often as a garbled word its original must occur in the
+    documents that don't tell by themselves, and ``least`` times at least.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").where(F.col("text").rlike(r"[^\x00-\x7f]")).dropDuplicates(["id"])
-    multi = src.mapInPandas(_multi, "id bigint, fixed string, spans int, lost boolean")
+    multi = materialize(src.mapInPandas(_multi, "id bigint, fixed string, spans int, lost boolean"), "multi")
 
     # Words of all documents, as they read after the first repair.
     parts = multi.select("id", "spans", F.explode(F.array_distinct(F.regexp_extract_all("fixed", F.lit(r"\S*[^\x00-\x7f\s]\S*"), F.lit(0)))).alias("w")).select("id", _core(F.col("w")).alias("word")).where("word <> ''")
+    parts = materialize(parts, "parts")
     counts = parts.groupBy("word").agg(F.count("*").alias("n"))
-    pairs = counts.mapInPandas(_originals, "word string, n bigint, pair int, original string")
+    pairs = counts.mapInPandas(_originals, "word string, n bigint, pair int, original string, fits int, fits_original int")
     known = counts.select(F.col("word").alias("original"), F.col("n").alias("known"))
-    bad = pairs.join(known, "original", "left").withColumn("known", F.coalesce("known", F.lit(0)))
+    bad = materialize(pairs.join(known, "original", "left").withColumn("known", F.coalesce("known", F.lit(0))), "originals")
+    # Documents that tell by themselves, whatever the garbled share: no language fits all words that a pair has
+    # known originals for, but one fits all of these originals.
+    plain = bad.where(F.col("word").rlike(r"[\p{L}\p{N}]")).select("word", "pair", ((F.col("known") >= least) & (F.col("fits_original") != _ALL)).alias("has"), "fits", "fits_original")
+    rows = parts.join(plain, "word")
+    told = rows.where("has").groupBy("id", "pair").agg(F.bit_and("fits").alias("fits"), F.bit_and("fits_original").alias("fo")).where("fits = 0 and fo <> 0").select("id", "pair")
+    told = materialize(told, "told")
+    # And documents that share garbled words with those, if most of what the pair changes in them has known originals.
+    shared = rows.where("has").join(told, ["id", "pair"]).groupBy("word", "pair").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("word", "pair", F.lit(True).alias("shared"))
+    more = rows.join(shared, ["word", "pair"], "left").groupBy("id", "pair").agg(F.count_if("shared").alias("shared"), F.count_if("has").alias("has"), F.count("*").alias("all"), F.bit_and(F.when(F.col("has"), F.col("fits_original"))).alias("fo"))
+    more = more.where("shared > 0 and 2 * has > all and fo <> 0").select("id", "pair")
+    told = materialize(told.union(more).distinct().withColumn("told", F.lit(True)), "told")
+    clear = parts.join(told.select("id").distinct(), "id", "left_anti").groupBy("word").agg(F.count("*").alias("c"))
+    bad = bad.join(clear.select("word", F.col("c").alias("cn")), "word", "left").join(clear.select(F.col("word").alias("original"), F.col("c").alias("ck")), "original", "left")
+    bad = bad.select("word", "pair", "original", F.col("known").alias("all"), F.coalesce("cn", F.lit(0)).alias("n"), F.coalesce("ck", F.lit(0)).alias("known"))
     bad = bad.withColumn("sure", (F.col("known") >= least) & (F.col("known") >= ratio * F.col("n")))
     # Of a text's pairs of encodings the one that most of its words speak for. A mark alone (no letter, no digit) doesn't.
-    seen = parts.join(bad.where(F.col("sure") | (F.col("n") < least)), "word")
+    seen = parts.join(bad.where(F.col("sure") | (F.col("n") < least) | (F.col("all") >= least)), "word").join(told, ["id", "pair"], "left")
+    seen = seen.withColumn("sure", F.col("sure") | (F.coalesce("told", F.lit(False)) & (F.col("all") >= least))).where(F.col("sure") | (F.col("n") < least))
     speaks = F.col("sure") & F.col("word").rlike(r"[\p{L}\p{N}]")
-    votes = seen.groupBy("id", "pair").agg(F.count_if(speaks).alias("votes"), F.sum(F.when(F.col("sure"), F.col("known")).otherwise(0)).alias("weight")).where("votes > 0")
+    votes = seen.groupBy("id", "pair").agg(F.count_if(speaks).alias("votes"), F.sum(F.when(F.col("sure"), F.greatest("known", F.lit(1))).otherwise(0)).alias("weight")).where("votes > 0")
     votes = votes.groupBy("id").agg(F.max(F.struct("votes", "weight", (-F.col("pair")).alias("p"))).alias("v")).select("id", (-F.col("v.p")).alias("pair"), "v.votes")
     mine = seen.join(votes, ["id", "pair"]).where(F.col("sure") | (F.col("votes") >= 3))
     hits = mine.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "original"))).alias("words"))
