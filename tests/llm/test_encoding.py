@@ -31,24 +31,6 @@ def test_documents(spark):
     assert E.found(df.limit(0)).count() == 0
 
 
-PARTS = {
-    "cp1250>cp1252": ["Głowica została przepłukana", "żółty wąż wymieniono po próbie", "łożysko było gorące", "część zużyta, wymieniać dłużej"],
-    "cp1252>cp1250": ["L’écrou près de la bride à côté", "très usé, remplacé à l’atelier", "pièce contrôlée à la tête", "le piston gêne à l’arrêt, très bruyant"],
-    "cp1251>cp1252": ["Техник отметил течь", "насос протекал снова", "клапан заменён вчера"],
-    "cp1251>koi8-r": ["Техник отметил течь", "Насос протекал снова", "Клапан заменён вчера"],
-}
-
-
-@pytest.mark.parametrize("pair", PARTS)
-@pytest.mark.parametrize("share", [3, 2])
-def test_large_share_of_a_source(spark, pair, share):
-    true, wrong = pair.split(">")
-    texts = {i: PARTS[pair][i // share % len(PARTS[pair])] for i in range(60)}
-    docs = [(i, E._decode(t.encode(true, "replace"), wrong) if i % share == 0 else t) for i, t in texts.items()]
-    got = {r.id: r.fixed for r in E.restored(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {i: t for i, t in texts.items() if i % share == 0}
-
-
 def test_very_long():
     t = ("naïve – " * 40_000)
     assert E.repair(E._decode(t.encode(), "cp1252"))[0] == t
