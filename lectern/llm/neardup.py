@@ -3,17 +3,29 @@
 A text is the bag of its words: the n-th occurrence of a word is an element of its own,
 so a bag is a sparse bit string and the similarity of two bags (sum of smaller counts by
 sum of larger counts) is that of two sets. Bags at least ``threshold`` similar differ in
-at most H = (1 - t) / (1 + t) * (|x| + |y|) bits. The bits are cut by their hash into
-m = H // 2 + 1 segments, so one segment differs by at most one bit. Of each segment the
+at most H = (1 - t) / (1 + t) * (|x| + |y|) bits. The bits are cut into m = H // 2 + 2
+segments, so at least two segments differ by at most one bit each. Of each segment the
 variants with one wildcard are indexed: the segment's bits fall into a few slots, and
 the variant leaves one slot out. Whatever bit differs, the variant that leaves its slot
 out is equal, so an equality join of the variants finds every pair; nothing is lost.
 
-H grows with the texts, so pairs are classed by H on a grid, and a text stands in each
-class that a partner of a size in question could share. Joined rows carry a parity
-sketch of the bag (112 bits) and its size: differing bits of two sketches never exceed
-those of the bags, so the sketch rejects nearly all false candidates inside the join;
-what is left is verified on the elements.
+Which m holds for a pair depends on both sizes, so a text stands in the segments of every
+m that a partner could bring. Segments are nested (one more segment cuts one in two), so
+these are few more than those of one m.
+
+A variant is weak if what it keeps is so common that more than ``crowd`` texts are expected
+to share it (by the frequencies of elements in all texts). Weak variants are not indexed
+alone: as two segments of every pair agree, either a variant that isn't weak agrees or two
+weak ones do, so each two weak variants of a text are one index entry. Entries that come
+out crowded all the same are not compared: their texts are cut anew by another hash, and
+the entry together with the new variants is indexed once more; groups that are crowded
+even then are compared in blocks.
+
+Index entries are shuffled as packed arrays by partition: for each text its key and four
+bytes for each entry. The key is a parity sketch of the bag (56 bits) and its size (8
+bits): differing bits of two sketches never exceed those of the bags, so keys alone reject
+nearly all false candidates; what is left is verified on the elements. Texts that share a
+key are verified with each other, so a key need not be unique.
 
 Exact copies are one row from the start (combined before the shuffle), and a group of
 copies is a class with members: of a class only its representative is linked.
@@ -27,6 +39,7 @@ Elements are 32 bits of the hash of a word and its number.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -38,6 +51,13 @@ _WORD = re.compile(r"[a-z0-9]+")
 _TITLE = re.compile(r"^\[[^\]\n]*\] ")
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+#: So many of the most frequent elements are told to every task: they are dealt evenly over segments, and weigh what is weak.
+FREQUENT = 4096
+#: Segments finer than this have no weak variants: a long text would have too many pairs of them.
+WEAK_WIDTH = 64
+#: Bytes of elements and of index entries in a partition.
+PART_BYTES = 16 << 20
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
@@ -58,133 +78,318 @@ def most_bits(total: np.ndarray, threshold: float) -> np.ndarray:
     return np.asarray(total, np.int64) * (den - num) // (den + num)
 
 
-def _grid(upto: int) -> np.ndarray:
-    """Odd bounds, each a quarter above the one before (and two at least)."""
-    out = [1]
-    while out[-1] < upto:
-        g = max(out[-1] + 2, out[-1] * 5 // 4)
-        out.append(g if g % 2 else g + 1)
-    return np.array(out, np.int64)
+# -- bags -------------------------------------------------------------------------
+class _Words(dict):
+    """Numbers of words in the order in which a task meets them, and the words' hashes."""
 
-
-class _Hashes(dict):
-    """Hash of a word, looked up once."""
+    def __init__(self):
+        self.hashes: list[int] = []
 
     def __missing__(self, w):
         import xxhash
 
-        if len(self) > 500_000:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w)
-        return h
+        n = self[w] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(w))
+        return n
 
 
-def _elements(texts: list[str], memo: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+def _elements(texts: list[str], words: _Words) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of the texts' bags, and the hashes of all their elements, text by text: the n-th occurrence of a word is an element of its own."""
-    words = [_WORD.findall(_TITLE.sub("", t, count=1).lower()) for t in texts]
-    size = np.array([len(w) for w in words], np.int64)
-    h = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.uint64, int(size.sum()))
-    doc = np.repeat(np.arange(len(texts)), size)
-    order = np.lexsort((h, doc))
-    h, d = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    at = np.arange(len(h))
+    if len(words) > 500_000:
+        words.clear()
+        words.hashes.clear()
+    found = [_WORD.findall(_TITLE.sub("", t, count=1).lower()) for t in texts]
+    size = np.array([len(w) for w in found], np.int64)
+    number = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.uint64, int(size.sum()))
+    key = np.repeat(np.arange(len(texts), dtype=np.uint64) << np.uint64(32), size) | number
+    key.sort()
+    at = np.arange(len(key))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    h = np.array(words.hashes, np.uint64)[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)] if len(key) else np.zeros(0, np.uint64)
     return size, _mix(h + nth.astype(np.uint64) * _C1)
 
 
-def _bags(batches):
-    """Rows (bag, item): the number of element hashes (32 bits each), the hashes sorted, and the ids.
+_SIZES = np.concatenate([np.arange(201), np.ceil(200 * 1.1 ** np.arange(1, 55)).astype(np.int64)])
 
-    Copies within a batch are one row here, before the shuffle.
-    """
-    memo = _Hashes()
-    for b in batches:
-        rows: dict[tuple, list[str]] = {}
-        ids = b.column("id").to_pylist()
-        size, e = _elements(b.column("text").to_pylist(), memo)
-        if len(e):
-            end = np.cumsum(size)
-            start = end - size
-            full = np.nonzero(size)[0]
-            sums = np.zeros(len(size), np.uint64)
-            sums[full] = np.add.reduceat(e, start[full])
-            short = (e >> np.uint64(32)).astype(np.uint32)
-            short = short[np.lexsort((short, np.repeat(np.arange(len(size)), size)))]
-            for k, g in zip(full.tolist(), sums[full].view(np.int64).tolist()):
-                rows.setdefault((g, int(size[k]).to_bytes(4, "little") + short[start[k] : end[k]].tobytes()), []).append(ids[k])
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.int64()), pa.array([k[1] + "\0".join(v).encode() for k, v in rows.items()], pa.binary())], ["bag", "item"])
 
+def _size_code(size: np.ndarray) -> np.ndarray:
+    """Eight bits for a size: exact up to 200, then steps of a tenth; the last one is open."""
+    return (np.searchsorted(_SIZES, size, side="right") - 1).astype(np.uint64)
 
-def _unpack(items) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and all elements."""
-    size = np.array([int.from_bytes(x[:4], "little") for x in items], np.int64)
-    return size, np.frombuffer(b"".join(x[4 : 4 + 4 * n] for x, n in zip(items, size.tolist())), np.uint32)
 
+def _keys(size: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Parity sketches of the bags (56 bits) and codes of their sizes (8 bits)."""
+    n = len(size)
+    bit = (_mix(short.astype(np.uint64) * _C3 + _C1) >> np.uint64(40)) % np.uint64(56)
+    odd = (np.bincount(np.repeat(np.arange(n), size) * 56 + bit.astype(np.int64), minlength=n * 56) & 1).reshape(n, 56).astype(np.uint64)
+    return (odd << np.arange(8, 64, dtype=np.uint64)).sum(1, dtype=np.uint64) | _size_code(size)
 
-def _ids(batches):
-    for b in batches:
-        rows = [(g, i) for g, x in zip(b.column("bag").to_pylist(), b.column("item").to_pylist()) for i in x[4 + 4 * int.from_bytes(x[:4], "little") :].decode().split("\0")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["bag", "id"])
 
+def _bags(batches):
+    """Rows (key, bag, els, ids): copies within a batch are one row here, before the shuffle."""
+    words = _Words()
+    for b in batches:
+        ids = b.column("id").to_pylist()
+        size, e = _elements(b.column("text").to_pylist(), words)
+        full = np.nonzero(size)[0]
+        rows: dict[tuple[int, bytes], list[str]] = {}
+        keys = np.zeros(0, np.uint64)
+        if len(full):
+            end = np.cumsum(size)
+            start = end - size
+            sums = np.add.reduceat(e, start[full])
+            # Each bag's elements in their own order, so that copies are equal arrays.
+            packed = np.repeat(np.arange(len(size), dtype=np.uint64) << np.uint64(32), size) | (e >> np.uint64(32))
+            packed.sort()
+            short = packed.astype(np.uint32)
+            keys = _keys(size[full], short)
+            for at, (k, g) in enumerate(zip(full.tolist(), sums.view(np.int64).tolist())):
+                rows.setdefault((g, int(size[k])), [at, short[start[k] : end[k]].view(np.int32), []])[2].append(ids[k])
+        at = np.array([v[0] for v in rows.values()], np.int64)
+        els = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(v[1]) for v in rows.values())]), pa.int32()), pa.array(np.concatenate([v[1] for v in rows.values()]) if rows else np.zeros(0, np.int32)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[at].view(np.int64)), pa.array([k[0] for k in rows], pa.int64()), els, pa.array([v[2] for v in rows.values()], pa.list_(pa.string()))], ["key", "bag", "els", "ids"]
+        )
+
+
+def _counts(batches):
+    """(element, n): in how many texts each element stands; -1 is the number of texts."""
+    words, held, texts, total = _Words(), [], 0, 0
+
+    def merged():
+        v, inv = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        return v, np.bincount(inv, np.concatenate([x[1] for x in held])).astype(np.int64)
+
+    def given(v, n):
+        return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(n.astype(np.int64))], ["element", "n"])
 
-def _signatures(threshold: float, slots: int):
-    num, den = _ratio(threshold)
-    odd = _mix(np.arange(1, slots + 1, dtype=np.uint64) * _C1) | np.uint64(1)
+    for b in batches:
+        size, e = _elements(b.column("text").to_pylist(), words)
+        texts += int((size > 0).sum())
+        total += len(e)
+        short = (e >> np.uint64(32)).astype(np.uint32)
+        short.sort()
+        held.append(np.unique(short, return_counts=True))
+        if sum(len(x[0]) for x in held) > 2_000_000:
+            held[:] = [merged()]
+            if len(held[0][0]) > 1_000_000:
+                yield given(*held.pop())
+    if held:
+        yield given(*merged())
+    yield given(np.array([-1, -2]), np.array([texts, total]))
+
+
+# -- segments -----------------------------------------------------------------------
+def _whole(x):
+    """Weights in steps of 1/1024, as sums must not depend on their order: what is weak in one text is so in all."""
+    return np.rint(np.asarray(x) * 1024)
+
+
+@dataclass
+class Plan:
+    """What every task knows: the threshold, the slots of a segment, and the most frequent elements with their shares."""
+
+    threshold: float
+    slots: int
+    texts: int
+    crowd: float
+    elements: np.ndarray
+    shares: np.ndarray
+
+    def __post_init__(self):
+        rank = np.arange(len(self.elements))
+        order = np.argsort(self.elements)
+        self.elements, self.shares, self.rank = self.elements[order], self.shares[order], rank[order]
+
+    def weigh(self, els: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, slot and weight of each element; frequent ones are dealt in the order of their frequency."""
+        h = _mix(els.astype(np.uint64) * _C1 + _C3 + np.uint64(level))
+        place = (h >> np.uint64(8)).astype(np.int64) & 0xFFFFFF
+        slot = ((h >> np.uint64(33)) % np.uint64(self.slots)).astype(np.int64)
+        rare = max(1.0, self.texts * (self.shares.min() if len(self.shares) else 1.0))
+        weight = np.full(len(els), _whole(np.log(max(1, self.texts) / rare)))
+        if len(self.elements):
+            at = np.minimum(np.searchsorted(self.elements, els), len(self.elements) - 1)
+            often = self.elements[at] == els
+            p = self.shares[at[often]]
+            weight[often] = _whole(np.log((1 - p) / p))
+            if level == 0:
+                place[often] = (place[often] & ~63) | self._dealt(self.rank[at[often]])
+                slot[often] = self.rank[at[often]] // 8 % self.slots
+        return place, slot, weight
+
+    @staticmethod
+    def _dealt(rank):
+        return np.where(rank // 64 % 2 == 0, rank % 64, 63 - rank % 64)
+
+    def absent(self, level: int) -> np.ndarray:
+        """By place (64) and slot: minus the logarithm of the chance that none of the frequent elements there stands in a text."""
+        place, slot, _ = self.weigh(self.elements, level)
+        return np.bincount((place & 63) * self.slots + slot, _whole(-np.log1p(-self.shares)), minlength=64 * self.slots).reshape(64, self.slots)
+
+
+def _segments(low: int, high: int) -> np.ndarray:
+    """All (width, number) that segmentations of ``low`` to ``high`` segments have.
+
+    With m segments, those below m - k and from k on (k the power of two up to m) have the
+    places equal modulo 2 k, the others those modulo k: one more segment cuts one in two.
+    """
+    out, width = [], 1
+    while width // 2 < high:
+        i = np.arange(width)
+        half = max(width // 2, 1)
+        there = (width // 2 + i % half + (width > 1) <= high) & (width + i >= low)
+        out.append(np.stack([np.full(there.sum(), width), i[there]], 1))
+        width *= 2
+    return np.concatenate(out)
+
+
+def _entries(plan: Plan, level: int, size: np.ndarray, els: np.ndarray, salt: np.ndarray | None):
+    """(row, entry): the index entries of texts, given by their sizes and elements one after the other."""
+    num, den = _ratio(plan.threshold)
+    low = most_bits(size + -(-size * num // den), plan.threshold) // 2 + 2
+    top = most_bits(size + size * den // num, plan.threshold)
+    high = top // 2 + 2
+    place, slot, weight = plan.weigh(els, level)
+    value = _mix(els.astype(np.uint64) + _C1 + np.uint64(level))
+    lo32, hi32 = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
+    absent = plan.absent(level)
+    end = np.cumsum(size)
+    odd = _mix(np.arange(1, plan.slots + 1, dtype=np.uint64) * _C1) | np.uint64(1)
+    bar = _whole(np.log(max(1, plan.texts) / plan.crowd))
+
+    def known(code):
+        segs = _segments(code >> 32, code & 0xFFFFFFFF)
+        return segs, np.stack([absent[i::width].sum(0) if width <= WEAK_WIDTH else np.zeros(plan.slots) for width, i in segs.tolist()])
+
+    # A bag in which no bit may differ has copies only.
+    groups, group = np.unique(np.where(top > 0, low << 32 | high, -1), return_inverse=True)
+    for g, code in enumerate(groups.tolist()):
+        if code < 0:
+            continue
+        segs, none = known(code)
+        every = np.nonzero(group == g)[0]
+        for part in np.array_split(every, max(1, len(every) * len(segs) // 400_000)):
+            n, m = len(part), len(segs)
+            own = np.concatenate([np.arange(end[r] - size[r], end[r]) for r in part])
+            row = np.repeat(np.arange(n), size[part])
+            cells, at = [], []
+            for width in np.unique(segs[:, 0]).tolist():
+                number = np.full(width, -1)
+                here = segs[:, 0] == width
+                number[segs[here, 1]] = np.nonzero(here)[0]
+                s = number[place[own] & (width - 1)]
+                inside = s >= 0
+                cells.append((row[inside] * m + s[inside]) * plan.slots + slot[own[inside]])
+                at.append(own[inside])
+            cells, at = np.concatenate(cells), np.concatenate(at)
+            shape = (n, m, plan.slots)
+            # Whole numbers below 2**53 add up exactly; sums of 64 bits are put together from halves.
+            sums = np.bincount(cells, lo32[at], minlength=n * m * plan.slots).astype(np.uint64) + (np.bincount(cells, hi32[at], minlength=n * m * plan.slots).astype(np.uint64) << np.uint64(32))
+            sums = sums.reshape(shape) * odd
+            kept = sums.sum(2, dtype=np.uint64, keepdims=True) - sums
+            where = _mix((segs[:, 0].astype(np.uint64) << np.uint64(32) | segs[:, 1].astype(np.uint64))[:, None] * np.uint64(plan.slots) + np.arange(plan.slots, dtype=np.uint64) + _C2)
+            entry = _mix(kept ^ where)
+            if salt is not None:
+                entry = _mix(entry + salt[part][:, None, None] * _C1)
+            w = np.bincount(cells, weight[at], minlength=n * m * plan.slots).reshape(shape)
+            told = w.sum(2, keepdims=True) - w + none.sum(1, keepdims=True) - none
+            weak = (told < bar) & (segs[:, 0] <= WEAK_WIDTH)[:, None]
+            r = np.nonzero(~weak)
+            yield part[r[0]], entry[r]
+            # Each two weak variants of segments that have no place in common.
+            flat = weak.reshape(n, -1)
+            count = flat.sum(1)
+            r, c = np.nonzero(flat)
+            first = np.cumsum(count) - count
+            codes = entry.reshape(n, -1)
+            for k in range(1, int(count.max(initial=0))):
+                a = np.nonzero(np.arange(len(r)) - first[r] + k < count[r])[0]
+                x, y = segs[c[a] // plan.slots], segs[c[a + k] // plan.slots]
+                narrow = np.minimum(x[:, 0], y[:, 0])
+                apart = x[:, 1] % narrow != y[:, 1] % narrow
+                a = a[apart]
+                p, q = codes[r[a], c[a]], codes[r[a], c[a + k]]
+                yield part[r[a]], _mix(np.minimum(p, q) * _C1 + np.maximum(p, q))
+
+
+def _index(plan: Plan, level: int, parts: int):
+    """Rows (p, packed): for each partition the number of texts, their keys, numbers of entries, and the entries."""
+
+    def packed(keys, entries):
+        p = (entries % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(p, kind="stable")
+        p, keys, entries = p[order], keys[order], (entries[order] >> np.uint64(32)).astype(np.uint32)
+        cut = np.concatenate([[0], np.nonzero(np.diff(p))[0] + 1, [len(p)]])
+        out = []
+        for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            k = keys[a:z]
+            new = np.concatenate([[0], np.nonzero(k[1:] != k[:-1])[0] + 1, [len(k)]])
+            run = np.diff(new)
+            # A number of entries is one byte; a text with more of them in a partition stands there several times.
+            times = -(-run // 255)
+            lens = np.full(int(times.sum()), 255, np.uint8)
+            lens[np.cumsum(times) - 1] = (run - 1) % 255 + 1
+            out.append(len(lens).to_bytes(4, "little") + np.repeat(k[new[:-1]], times).tobytes() + lens.tobytes() + entries[a:z].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(p[cut[:-1]].astype(np.int32)), pa.array(out, pa.binary())], ["p", "packed"])
 
     def run(batches):
+        ks, es, held = [], [], 0
         for b in batches:
-            n = b.num_rows
-            if not n:
+            key = b.column("key").to_numpy().view(np.uint64)
+            lists = b.column("els")
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            els = lists.flatten().to_numpy().view(np.uint32)
+            salt = b.column("salt").to_numpy().view(np.uint64) if level else None
+            rows, found = [], []
+            for r, e in _entries(plan, level, size, els, salt):
+                rows.append(r)
+                found.append(e)
+            if not rows:
                 continue
-            size, els = _unpack(b.column("item").to_pylist())
-            h = _mix(els.astype(np.uint64) * _C1 + _C3)
-            doc = np.repeat(np.arange(n), size)
-            # Parity sketch: 112 bits, and the size in the other 16 (the largest value stands for larger ones too).
-            bit = ((h >> np.uint64(40)) % np.uint64(112)).astype(np.int64)
-            parity = (np.bincount(doc * 112 + bit, minlength=n * 112) & 1).reshape(n, 112).astype(np.uint64)
-            sk1 = (parity[:, :64] << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
-            sk2 = (parity[:, 64:] << np.arange(16, 64, dtype=np.uint64)).sum(1, dtype=np.uint64) | np.minimum(size, 65535).astype(np.uint64)
-            bag = b.column("bag").to_numpy()
-            low = most_bits(size + -(-size * num // den), threshold)
-            high = most_bits(size + size * den // num, threshold)
-            grid = _grid(int(high.max()))
-            first, last = np.searchsorted(grid, low), np.searchsorted(grid, high)
-            for c in range(int(first.min()), int(last.max()) + 1):
-                mine = np.nonzero((first <= c) & (c <= last))[0]
-                if not len(mine):
-                    continue
-                m = int(grid[c]) // 2 + 1
-                at = np.full(n, -1)
-                at[mine] = np.arange(len(mine))
-                own = at[doc]
-                e, o = h[own >= 0], own[own >= 0]
-                seg = ((e >> np.uint64(8)) % np.uint64(m)).astype(np.int64)
-                slot = ((e >> np.uint64(33)) % np.uint64(slots)).astype(np.int64)
-                cell = (o * m + seg) * slots + slot
-                order = np.argsort(cell, kind="stable")
-                cells, starts = np.unique(cell[order], return_index=True)
-                sums = np.zeros(len(mine) * m * slots, np.uint64)
-                sums[cells] = np.add.reduceat(_mix(e[order] + _C1), starts)
-                sums = sums.reshape(len(mine), m, slots) * odd
-                whole = sums.sum(2, dtype=np.uint64, keepdims=True)
-                place = (np.arange(m, dtype=np.uint64)[:, None] * np.uint64(slots) + np.arange(slots, dtype=np.uint64)) + np.uint64(c) * np.uint64(1 << 40)
-                sig = _mix((whole - sums) ^ _mix(place * _C1 + _C2)).reshape(-1)
-                rep = np.repeat(mine, m * slots)
-                for a in range(0, len(sig), 200_000):
-                    part = slice(a, a + 200_000)
-                    r = rep[part]
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[part].view(np.int64)), pa.array(bag[r]), pa.array(sk1[r].view(np.int64)), pa.array(sk2[r].view(np.int64))], ["sig", "bag", "sk1", "sk2"])
+            rows, found = np.concatenate(rows), np.concatenate(found)
+            order = np.argsort(rows, kind="stable")
+            ks.append(key[rows[order]])
+            es.append(found[order])
+            held += len(rows)
+            if held > 4_000_000:
+                yield packed(np.concatenate(ks), np.concatenate(es))
+                ks, es, held = [], [], 0
+        if held:
+            yield packed(np.concatenate(ks), np.concatenate(es))
 
     return run
 
 
+def _opened(batches) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of one partition and the keys of their texts, in the order of the entries."""
+    ks, es = [], []
+    for b in batches:
+        for x in b.column("packed"):
+            x = x.as_buffer()
+            n = int.from_bytes(x[:4].to_pybytes(), "little")
+            raw = np.frombuffer(x, np.uint8)
+            ks.append(np.repeat(np.frombuffer(raw[4 : 4 + 8 * n].tobytes(), np.uint64), raw[4 + 8 * n : 4 + 9 * n]))
+            es.append(np.frombuffer(raw[4 + 9 * n :].tobytes(), np.uint32))
+    if not ks:
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint64)
+    keys, entries = np.concatenate(ks), np.concatenate(es)
+    order = np.argsort(entries)
+    return entries[order], keys[order]
+
+
+def _runs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.concatenate([[0], np.nonzero(entries[1:] != entries[:-1])[0] + 1])
+    return start, np.diff(np.concatenate([start, [len(entries)]]))
+
+
 def _pairs_of_runs(start: np.ndarray, length: np.ndarray, block: int):
-    """Index pairs (i, j), i < j, within runs of equal signatures, in blocks of bounded size."""
+    """Index pairs (i, j), i < j, within runs of equal entries, in blocks of bounded size."""
     for n in np.unique(length[length > 1]):
         s = start[length == n]
-        if n <= 2048:
+        if n <= 512:
             i, j = (x.astype(np.int32) for x in np.triu_indices(int(n), 1))
             step = max(1, block // len(i))
             for a in range(0, len(s), step):
@@ -192,116 +397,170 @@ def _pairs_of_runs(start: np.ndarray, length: np.ndarray, block: int):
                 yield (x + i).ravel(), (x + j).ravel()
         else:
             for x in s:
-                for a in range(0, int(n), 2048):
-                    i = np.arange(a, min(a + 2048, int(n)))
-                    for c in range(a, int(n), 2048):
-                        j = np.arange(c, min(c + 2048, int(n)))
+                for a in range(0, int(n), 512):
+                    i = np.arange(a, min(a + 512, int(n)), dtype=np.int32)
+                    for c in range(a, int(n), 512):
+                        j = np.arange(c, min(c + 512, int(n)), dtype=np.int32)
                         p, q = np.meshgrid(i, j, indexing="ij")
                         keep = p < q
                         yield x + p[keep], x + q[keep]
 
 
-def _candidates(threshold: float):
+def _candidates(threshold: float, most: int | None):
+    """Pairs of keys that share an entry and that the keys' bounds leave open; entries of more than ``most`` texts are left to the next level."""
     num, den = _ratio(threshold)
+    last = len(_SIZES) - 1
+    upto = np.concatenate([_SIZES[1:] - 1, [1 << 40]])
+    fits = (upto[:, None] * den >= _SIZES[None, :] * num) & (upto[None, :] * den >= _SIZES[:, None] * num)
+    bound = np.where(fits, np.minimum(most_bits(upto[:, None] + upto[None, :], threshold), 56), -1).astype(np.int16)
+    widest = bound.max(1)
 
     def run(batches):
-        cols = [[], [], [], []]
-        for b in batches:
-            for k, c in enumerate(("sig", "bag", "sk1", "sk2")):
-                cols[k].append(b.column(c).to_numpy())
-        if not cols[0]:
+        entries, keys = _opened(batches)
+        if not len(entries):
             return
-        sig, bag, sk1, sk2 = (np.concatenate(c) for c in cols)
-        order = np.argsort(sig)
-        sig, bag, sk1, sk2 = sig[order], bag[order], sk1[order].view(np.uint64), sk2[order].view(np.uint64)
-        size = (sk2 & np.uint64(65535)).astype(np.int64)
-        bits = sk2 >> np.uint64(16)
-        cut = np.nonzero(np.diff(sig))[0] + 1
-        start = np.concatenate([[0], cut])
-        length = np.diff(np.concatenate([start, [len(sig)]]))
+        start, length = _runs(entries)
+        if most is not None:
+            start, length = start[length <= most], length[length <= most]
+        code = np.minimum(keys & np.uint64(255), np.uint64(last)).astype(np.int16)
+        bits = keys >> np.uint64(8)
+        limit = widest[code]
         xs, ys, held = [], [], 0
-        # Each row's own bound holds for its largest partner; half of the sketch rejects most pairs by it.
-        most = np.where(size == 65535, 10**6, most_bits(size + size * den // num, threshold)).astype(np.int32)
-        for i, j in _pairs_of_runs(start.astype(np.int32), length.astype(np.int32), 100_000):
-            near = np.bitwise_count(sk1[i] ^ sk1[j]) <= most[i]
-            i, j = i[near], j[near]
-            differ = np.bitwise_count(sk1[i] ^ sk1[j]).astype(np.int64) + np.bitwise_count(bits[i] ^ bits[j])
-            a, b = size[i], size[j]
-            fits = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (differ <= most_bits(a + b, threshold)) | (a == 65535) | (b == 65535)
-            i, j = i[fits], j[fits]
-            a, b = bag[i], bag[j]
+
+        def given():
+            u = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(u[:, 0].view(np.int64)), pa.array(u[:, 1].view(np.int64))], ["a", "b"])
+
+        for i, j in _pairs_of_runs(start.astype(np.int32), length, 100_000):
+            differ = np.bitwise_count(bits[i] ^ bits[j])
+            near = differ <= limit[i]
+            i, j, differ = i[near], j[near], differ[near]
+            near = differ <= bound[code[i], code[j]]
+            a, b = keys[i[near]], keys[j[near]]
             other = a != b
-            xs.append(np.minimum(a, b)[other])
-            ys.append(np.maximum(a, b)[other])
-            held += len(xs[-1])
-            if held > 4_000_000:
-                u = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
+            a, b = a[other], b[other]
+            xs.append(np.minimum(a, b))
+            ys.append(np.maximum(a, b))
+            held += len(a)
+            if held > 2_000_000:
+                yield given()
                 xs, ys, held = [], [], 0
         if held:
-            u = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
+            yield given()
 
     return run
 
 
-def _verify(threshold: float):
-    num, den = _ratio(threshold)
+def _crowded(most: int, parts: int):
+    """(key, salt): the texts of entries with more than ``most`` of them; the salt tells the entry."""
+    from pyspark import TaskContext
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                (nx, x), (ny, y) = (_unpack(part.column(c).to_pylist()) for c in ("ia", "ib"))
-                n = part.num_rows
-                # One sort key for each (pair, element); elements of a bag differ, so what occurs twice is shared.
-                k = np.concatenate([np.repeat(np.arange(n, dtype=np.uint64), nx) << np.uint64(32) | x, np.repeat(np.arange(n, dtype=np.uint64), ny) << np.uint64(32) | y])
-                k.sort()
-                shared = np.bincount((k[1:][k[1:] == k[:-1]] >> np.uint64(32)).astype(np.int64), minlength=n) if len(k) else np.zeros(n, np.int64)
-                union = nx + ny - shared
-                ok = shared * den >= union * num
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok)), pa.array((shared / np.maximum(union, 1))[ok])], ["a", "b", "similarity"])
+        entries, keys = _opened(batches)
+        if not len(entries):
+            return
+        start, length = _runs(entries)
+        p = np.uint64(TaskContext.get().partitionId())
+        for s, n in zip(start[length > most].tolist(), length[length > most].tolist()):
+            k = np.unique(keys[s : s + n])
+            salt = _mix(np.full(len(k), entries[s], np.uint64) * np.uint64(parts) + p)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(salt.view(np.int64))], ["key", "salt"])
 
     return run
 
 
-def bags(texts: DataFrame, id_col: str, text_col: str, partitions: int | None = None) -> DataFrame:
-    """``(bag, item)``: the bag of each text's words, rows of equal bags together.
+# -- the operator -----------------------------------------------------------------
+def _source(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+
+
+def plan_for(texts: DataFrame, *, text_col="content", id_col="chunk_id", threshold=0.8, slots=3, crowd=300.0) -> tuple[Plan, int]:
+    """The plan by the frequencies of elements in all texts, and the number of all elements."""
+    counted = _source(texts, id_col, text_col).select("text").mapInArrow(_counts, "element bigint, n bigint").groupBy("element").agg(F.sum("n").alias("n"))
+    # The report's two totals and a table of fixed length.
+    rows = counted.orderBy(F.col("element") >= 0, F.desc("n"), "element").limit(FREQUENT + 2).collect()
+    said = {r.element: r.n for r in rows}
+    n, total = said.pop(-1, 0), said.pop(-2, 0)
+    # Whoever stands in all texts (or in all but one) tells nothing.
+    share = np.array([min(v / max(n, 1), 1 - 0.5 / max(n, 1)) for v in said.values()])
+    return Plan(threshold, slots, n, crowd, np.array(list(said), np.uint32), share), total
 
-    All that follows reads these two columns only, so Spark makes this exchange once.
+
+def bags(texts: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
+    """``(key, bag, els, ids)``: bags of words, rows of equal keys together.
+
+    All that follows reads these columns, so Spark makes this exchange once.
     """
-    n = partitions or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    src = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return src.mapInArrow(_bags, "bag bigint, item binary").where("bag is not null and item is not null").repartition(n, "bag")
+    return _source(texts, id_col, text_col).mapInArrow(_bags, "key bigint, bag bigint, els array<int>, ids array<string>").where("key is not null and bag is not null").repartition(partitions, "key")
+
 
+def _alike(x: str, y: str, threshold: float):
+    """Similarity of two arrays of elements, and whether it is enough, in whole numbers."""
+    num, den = _ratio(threshold)
+    shared = F.size(F.array_intersect(x, y)).cast("bigint")
+    union = F.size(x) + F.size(y) - shared
+    return shared / union, shared * den >= union * num
 
-def links(members: DataFrame, *, threshold: float = 0.8, slots: int = 3, partitions: int | None = None) -> DataFrame:
-    """``(a, b, similarity)``: linked pairs of different bags, a < b, from the rows of ``bags``."""
-    n = partitions or int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    reps = members.groupBy("bag").agg(F.min("item").alias("item"))
-    sigs = reps.mapInArrow(_signatures(threshold, slots), "sig bigint, bag bigint, sk1 bigint, sk2 bigint").repartition(n, "sig")
-    cand = sigs.mapInArrow(_candidates(threshold), "a bigint, b bigint").distinct()
-    pairs = cand.join(reps.select(F.col("bag").alias("a"), F.col("item").alias("ia")), "a").join(reps.select(F.col("bag").alias("b"), F.col("item").alias("ib")), "b")
-    return pairs.mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double")
 
+def links(members: DataFrame, plan: Plan, total: int, *, most: int = 2048) -> DataFrame:
+    """``(ka, ba, kb, bb, similarity)``: linked pairs of different bags (by key and bag) from the rows of ``bags``, rows of equal ``kb`` together."""
+    n = partitions_for(members, total)
+    parts = max(n, total * 6 // PART_BYTES)
+    reps = members.groupBy("key", "bag").agg(F.first("els").alias("els"))
+    entries = reps.select("key", "els").mapInArrow(_index(plan, 0, parts), "p int, packed binary").repartitionById(parts, "p").select("packed")
+    near = entries.mapInArrow(_candidates(plan.threshold, most), "a bigint, b bigint")
+    again = entries.mapInArrow(_crowded(most, parts), "key bigint, salt bigint").join(reps.select("key", "els"), "key").select("key", "els", "salt")
+    again = again.mapInArrow(_index(plan, 1, parts), "p int, packed binary").repartitionById(parts, "p").select("packed")
+    near = near.unionAll(again.mapInArrow(_candidates(plan.threshold, None), "a bigint, b bigint"))
+    near = near.repartition(n, "a").dropDuplicates(["a", "b"])
+    similarity, enough = _alike("ea", "eb", plan.threshold)
+    side = lambda k, b, e: reps.select(F.col("key").alias(k), F.col("bag").alias(b), F.col("els").alias(e))
+    found = near.join(side("a", "ba", "ea"), "a").join(side("b", "bb", "eb"), "b").where(enough).select(F.col("a").alias("ka"), "ba", F.col("b").alias("kb"), "bb", similarity.alias("similarity"))
+    # Bags that share a key are compared as they are; those so short that no bit may differ are left out.
+    x, y = side("ka", "ba", "ea"), side("kb", "bb", "eb")
+    num, den = _ratio(plan.threshold)
+    some = lambda e: F.size(e) + F.floor(F.size(e) * den / num) >= -(-(den + num) // (den - num))
+    same = x.where(some("ea")).join(y.where(some("eb")), (F.col("ka") == F.col("kb")) & (F.col("ba") < F.col("bb"))).where(enough)
+    return found.unionAll(same.select("ka", "ba", "kb", "bb", similarity.alias("similarity")))
 
-def pairs(texts: DataFrame, *, id_col="chunk_id", text_col="content", threshold=0.8, **kw) -> DataFrame:
-    """``(chunk_a, chunk_b)``, smaller first in byte order: all pairs, those of copies included."""
-    members = bags(texts, id_col, text_col)
-    near = links(members, threshold=threshold, **kw).select("a", "b")
-    ids = members.mapInArrow(_ids, "bag bigint, id string").distinct()
-    x, y = ids.select(F.col("bag").alias("a"), F.col("id").alias("x")), ids.select(F.col("bag").alias("b"), F.col("id").alias("y"))
-    linked = near.join(x, "a").join(y, "b").select("x", "y")
-    copied = ids.groupBy("bag").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bag").alias("a"), F.col("bag").alias("b"))
-    copies = copied.join(x, "a").join(y, "b").where("x < y").select("x", "y")
-    return linked.unionAll(copies).select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b"))
+
+def partitions_for(df: DataFrame, total: int) -> int:
+    """As many as the session has, or more if the elements are many."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * 4 // PART_BYTES)
 
 
-def classes(texts: DataFrame, *, id_col="chunk_id", text_col="content", threshold=0.8, **kw) -> DataFrame:
+def _ids(members: DataFrame) -> DataFrame:
+    return members.select("key", "bag", F.explode("ids").alias("id")).distinct()
+
+
+#: Members of a class of copies meet in blocks of about so many.
+BLOCK = 2048
+
+
+def pairs(texts: DataFrame, *, id_col="chunk_id", text_col="content", threshold=0.8, most=2048, **kw) -> DataFrame:
+    """``(chunk_a, chunk_b)``, smaller first in byte order: all pairs, those of copies included."""
+    plan, total = plan_for(texts, id_col=id_col, text_col=text_col, threshold=threshold, **kw)
+    members = bags(texts, id_col, text_col, partitions_for(texts, total))
+    ids = _ids(members)
+    x, y = ids.select("key", "bag", F.col("id").alias("x")), ids.select("key", "bag", F.col("id").alias("y"))
+    near = links(members, plan, total, most=most)
+    # Ids lie by key; the number of the bag is compared beside it, so that they stay where they are.
+    same = lambda a, b: F.col(a).bitwiseXOR(F.col(b)) == 0
+    linked = near.join(y, (F.col("kb") == F.col("key")) & same("bb", "bag")).select("ka", "ba", "y").join(x, (F.col("ka") == F.col("key")) & same("ba", "bag")).select("x", "y")
+    many = ids.groupBy("key", "bag").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), F.col("bag").alias("b"), F.ceil(F.col("n") / BLOCK).cast("int").alias("n"))
+    copied = ids.join(many, (F.col("key") == F.col("k")) & same("bag", "b"))
+    copied = copied.withColumn("i", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    copies = copied.select("key", "bag", "i", "j", F.col("id").alias("x")).join(copied.select("key", "bag", F.col("i").alias("j"), F.col("j").alias("i"), F.col("id").alias("y")), ["key", "bag", "i", "j"]).where("x < y").select("x", "y")
+    return linked.where("x <> y").unionAll(copies).select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b"))
+
+
+def classes(texts: DataFrame, *, id_col="chunk_id", text_col="content", threshold=0.8, most=2048, **kw) -> DataFrame:
     """``(id, class_id, copies, links)``: one row for each text: its class of equal bags, their number, and how many other classes are linked to it."""
-    members = bags(texts, id_col, text_col)
-    near = links(members, threshold=threshold, **kw)
-    degree = near.select(F.explode(F.array("a", "b")).alias("bag")).groupBy("bag").agg(F.count("*").alias("links"))
-    ids = members.mapInArrow(_ids, "bag bigint, id string").distinct()
-    size = ids.groupBy("bag").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
-    return ids.join(size, "bag").join(degree, "bag", "left").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    plan, total = plan_for(texts, id_col=id_col, text_col=text_col, threshold=threshold, **kw)
+    members = bags(texts, id_col, text_col, partitions_for(texts, total))
+    near = links(members, plan, total, most=most)
+    ends = F.explode(F.array(F.struct(F.col("ka").alias("key"), F.col("ba").alias("bag")), F.struct(F.col("kb").alias("key"), F.col("bb").alias("bag"))))
+    degree = near.select(ends.alias("e")).groupBy("e.key", "e.bag").agg(F.count("*").alias("links"))
+    size = _ids(members).groupBy("key", "bag").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).join(degree, ["key", "bag"], "left")
+    size = size.select(F.col("key").alias("k"), F.col("bag").alias("b"), "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return _ids(members).join(size, (F.col("key") == F.col("k")) & (F.col("bag").bitwiseXOR(F.col("b")) == 0)).select("id", "class_id", "copies", "links")
