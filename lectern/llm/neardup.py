@@ -21,11 +21,11 @@ out crowded all the same are not compared: their texts are cut anew by another h
 the entry together with the new variants is indexed once more; groups that are crowded
 even then are compared in blocks.
 
-Index entries are shuffled as packed arrays by partition: for each text its key and four
-bytes for each entry. The key is a parity sketch of the bag (56 bits) and its size (8
-bits): differing bits of two sketches never exceed those of the bags, so keys alone reject
-nearly all false candidates; what is left is verified on the elements. Texts that share a
-key are verified with each other, so a key need not be unique.
+Index entries are shuffled as packed arrays by partition: for each text its sketch and four
+bytes for each entry. The sketch is the parity of 88 groups of bits, and the size's code: differing bits of two
+sketches never exceed those of the bags, so sketches alone reject nearly all false
+candidates; what is left is verified on the elements. 64 bits of the sketch are the text's
+key. Texts that share a key are verified with each other, so a key need not be unique.
 
 Exact copies are one row from the start (combined before the shuffle), and a group of
 copies is a class with members: of a class only its representative is linked.
@@ -55,6 +55,8 @@ _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 FREQUENT = 4096
 #: Segments finer than this have no weak variants: a long text would have too many pairs of them.
 WEAK_WIDTH = 64
+#: Bits of a sketch.
+SKETCH = 88
 #: Bytes of elements and of index entries in a partition.
 PART_BYTES = 16 << 20
 
@@ -119,23 +121,24 @@ def _size_code(size: np.ndarray) -> np.ndarray:
     return (np.searchsorted(_SIZES, size, side="right") - 1).astype(np.uint64)
 
 
-def _keys(size: np.ndarray, short: np.ndarray) -> np.ndarray:
-    """Parity sketches of the bags (56 bits) and codes of their sizes (8 bits)."""
+def _keys(size: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of the bags: 56 bits with codes of their sizes (8 bits), and the other 32."""
     n = len(size)
-    bit = (_mix(short.astype(np.uint64) * _C3 + _C1) >> np.uint64(40)) % np.uint64(56)
-    odd = (np.bincount(np.repeat(np.arange(n), size) * 56 + bit.astype(np.int64), minlength=n * 56) & 1).reshape(n, 56).astype(np.uint64)
-    return (odd << np.arange(8, 64, dtype=np.uint64)).sum(1, dtype=np.uint64) | _size_code(size)
+    bit = (_mix(short.astype(np.uint64) * _C3 + _C1) >> np.uint64(40)) % np.uint64(SKETCH)
+    odd = (np.bincount(np.repeat(np.arange(n), size) * SKETCH + bit.astype(np.int64), minlength=n * SKETCH) & 1).reshape(n, SKETCH).astype(np.uint64)
+    key = (odd[:, :56] << np.arange(8, 64, dtype=np.uint64)).sum(1, dtype=np.uint64) | _size_code(size)
+    return key, (odd[:, 56:] << np.arange(SKETCH - 56, dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.uint32)
 
 
 def _bags(batches):
-    """Rows (key, bag, els, ids): copies within a batch are one row here, before the shuffle."""
+    """Rows (key, more, bag, els, ids): copies within a batch are one row here, before the shuffle."""
     words = _Words()
     for b in batches:
         ids = b.column("id").to_pylist()
         size, e = _elements(b.column("text").to_pylist(), words)
         full = np.nonzero(size)[0]
         rows: dict[tuple[int, bytes], list[str]] = {}
-        keys = np.zeros(0, np.uint64)
+        keys, more = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         if len(full):
             end = np.cumsum(size)
             start = end - size
@@ -144,13 +147,14 @@ def _bags(batches):
             packed = np.repeat(np.arange(len(size), dtype=np.uint64) << np.uint64(32), size) | (e >> np.uint64(32))
             packed.sort()
             short = packed.astype(np.uint32)
-            keys = _keys(size[full], short)
+            keys, more = _keys(size[full], short)
             for at, (k, g) in enumerate(zip(full.tolist(), sums.view(np.int64).tolist())):
                 rows.setdefault((g, int(size[k])), [at, short[start[k] : end[k]].view(np.int32), []])[2].append(ids[k])
         at = np.array([v[0] for v in rows.values()], np.int64)
         els = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(v[1]) for v in rows.values())]), pa.int32()), pa.array(np.concatenate([v[1] for v in rows.values()]) if rows else np.zeros(0, np.int32)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[at].view(np.int64)), pa.array([k[0] for k in rows], pa.int64()), els, pa.array([v[2] for v in rows.values()], pa.list_(pa.string()))], ["key", "bag", "els", "ids"]
+            [pa.array(keys[at].view(np.int64)), pa.array(more[at].view(np.int32)), pa.array([k[0] for k in rows], pa.int64()), els, pa.array([v[2] for v in rows.values()], pa.list_(pa.string()))],
+            ["key", "more", "bag", "els", "ids"],
         )
 
 
@@ -316,68 +320,71 @@ def _entries(plan: Plan, level: int, size: np.ndarray, els: np.ndarray, salt: np
 
 
 def _index(plan: Plan, level: int, parts: int):
-    """Rows (p, packed): for each partition the number of texts, their keys, numbers of entries, and the entries."""
+    """Rows (p, packed): for each partition the number of texts, their sketches, numbers of entries, and the entries."""
 
-    def packed(keys, entries):
+    def packed(key, more, texts, entries):
         p = (entries % np.uint64(parts)).astype(np.int64)
         order = np.argsort(p, kind="stable")
-        p, keys, entries = p[order], keys[order], (entries[order] >> np.uint64(32)).astype(np.uint32)
+        p, texts, entries = p[order], texts[order], (entries[order] >> np.uint64(32)).astype(np.uint32)
         cut = np.concatenate([[0], np.nonzero(np.diff(p))[0] + 1, [len(p)]])
         out = []
         for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            k = keys[a:z]
-            new = np.concatenate([[0], np.nonzero(k[1:] != k[:-1])[0] + 1, [len(k)]])
+            t = texts[a:z]
+            new = np.concatenate([[0], np.nonzero(np.diff(t))[0] + 1, [len(t)]])
             run = np.diff(new)
             # A number of entries is one byte; a text with more of them in a partition stands there several times.
             times = -(-run // 255)
             lens = np.full(int(times.sum()), 255, np.uint8)
             lens[np.cumsum(times) - 1] = (run - 1) % 255 + 1
-            out.append(len(lens).to_bytes(4, "little") + np.repeat(k[new[:-1]], times).tobytes() + lens.tobytes() + entries[a:z].tobytes())
+            who = np.repeat(t[new[:-1]], times)
+            out.append(len(lens).to_bytes(4, "little") + key[who].tobytes() + more[who].tobytes() + lens.tobytes() + entries[a:z].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(p[cut[:-1]].astype(np.int32)), pa.array(out, pa.binary())], ["p", "packed"])
 
     def run(batches):
-        ks, es, held = [], [], 0
+        key, more, texts, entries, known, held = [], [], [], [], 0, 0
+
+        def given():
+            return packed(*(np.concatenate(x) for x in (key, more, texts, entries)))
+
         for b in batches:
-            key = b.column("key").to_numpy().view(np.uint64)
             lists = b.column("els")
             size = lists.value_lengths().to_numpy().astype(np.int64)
-            els = lists.flatten().to_numpy().view(np.uint32)
             salt = b.column("salt").to_numpy().view(np.uint64) if level else None
-            rows, found = [], []
-            for r, e in _entries(plan, level, size, els, salt):
-                rows.append(r)
-                found.append(e)
-            if not rows:
-                continue
-            rows, found = np.concatenate(rows), np.concatenate(found)
-            order = np.argsort(rows, kind="stable")
-            ks.append(key[rows[order]])
-            es.append(found[order])
-            held += len(rows)
+            got = list(_entries(plan, level, size, lists.flatten().to_numpy().view(np.uint32), salt))
+            key.append(b.column("key").to_numpy().view(np.uint64))
+            more.append(b.column("more").to_numpy().view(np.uint32))
+            if got:
+                rows, found = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+                order = np.argsort(rows, kind="stable")
+                texts.append(rows[order] + known)
+                entries.append(found[order])
+                held += len(rows)
+            known += b.num_rows
             if held > 4_000_000:
-                yield packed(np.concatenate(ks), np.concatenate(es))
-                ks, es, held = [], [], 0
+                yield given()
+                key, more, texts, entries, known, held = [], [], [], [], 0, 0
         if held:
-            yield packed(np.concatenate(ks), np.concatenate(es))
+            yield given()
 
     return run
 
 
-def _opened(batches) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of one partition and the keys of their texts, in the order of the entries."""
-    ks, es = [], []
+def _opened(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of one partition and the sketches of their texts, in the order of the entries."""
+    ks, ms, es = [], [], []
     for b in batches:
         for x in b.column("packed"):
-            x = x.as_buffer()
-            n = int.from_bytes(x[:4].to_pybytes(), "little")
-            raw = np.frombuffer(x, np.uint8)
-            ks.append(np.repeat(np.frombuffer(raw[4 : 4 + 8 * n].tobytes(), np.uint64), raw[4 + 8 * n : 4 + 9 * n]))
-            es.append(np.frombuffer(raw[4 + 9 * n :].tobytes(), np.uint32))
+            raw = np.frombuffer(x.as_buffer(), np.uint8)
+            n = int(raw[:4].view(np.uint32)[0])
+            lens = raw[4 + 12 * n : 4 + 13 * n]
+            ks.append(np.repeat(np.frombuffer(raw[4 : 4 + 8 * n].tobytes(), np.uint64), lens))
+            ms.append(np.repeat(np.frombuffer(raw[4 + 8 * n : 4 + 12 * n].tobytes(), np.uint32), lens))
+            es.append(np.frombuffer(raw[4 + 13 * n :].tobytes(), np.uint32))
     if not ks:
-        return np.zeros(0, np.uint32), np.zeros(0, np.uint64)
-    keys, entries = np.concatenate(ks), np.concatenate(es)
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    keys, more, entries = np.concatenate(ks), np.concatenate(ms), np.concatenate(es)
     order = np.argsort(entries)
-    return entries[order], keys[order]
+    return entries[order], keys[order], more[order]
 
 
 def _runs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -412,11 +419,11 @@ def _candidates(threshold: float, most: int | None):
     last = len(_SIZES) - 1
     upto = np.concatenate([_SIZES[1:] - 1, [1 << 40]])
     fits = (upto[:, None] * den >= _SIZES[None, :] * num) & (upto[None, :] * den >= _SIZES[:, None] * num)
-    bound = np.where(fits, np.minimum(most_bits(upto[:, None] + upto[None, :], threshold), 56), -1).astype(np.int16)
+    bound = np.where(fits, np.minimum(most_bits(upto[:, None] + upto[None, :], threshold), SKETCH), -1).astype(np.int16)
     widest = bound.max(1)
 
     def run(batches):
-        entries, keys = _opened(batches)
+        entries, keys, more = _opened(batches)
         if not len(entries):
             return
         start, length = _runs(entries)
@@ -435,7 +442,7 @@ def _candidates(threshold: float, most: int | None):
             differ = np.bitwise_count(bits[i] ^ bits[j])
             near = differ <= limit[i]
             i, j, differ = i[near], j[near], differ[near]
-            near = differ <= bound[code[i], code[j]]
+            near = differ + np.bitwise_count(more[i] ^ more[j]) <= bound[code[i], code[j]]
             a, b = keys[i[near]], keys[j[near]]
             other = a != b
             a, b = a[other], b[other]
@@ -456,7 +463,7 @@ def _crowded(most: int, parts: int):
     from pyspark import TaskContext
 
     def run(batches):
-        entries, keys = _opened(batches)
+        entries, keys, _ = _opened(batches)
         if not len(entries):
             return
         start, length = _runs(entries)
@@ -487,11 +494,11 @@ def plan_for(texts: DataFrame, *, text_col="content", id_col="chunk_id", thresho
 
 
 def bags(texts: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
-    """``(key, bag, els, ids)``: bags of words, rows of equal keys together.
+    """``(key, more, bag, els, ids)``: bags of words, rows of equal keys together.
 
     All that follows reads these columns, so Spark makes this exchange once.
     """
-    return _source(texts, id_col, text_col).mapInArrow(_bags, "key bigint, bag bigint, els array<int>, ids array<string>").where("key is not null and bag is not null").repartition(partitions, "key")
+    return _source(texts, id_col, text_col).mapInArrow(_bags, "key bigint, more int, bag bigint, els array<int>, ids array<string>").where("key is not null and bag is not null").repartition(partitions, "key")
 
 
 def _alike(x: str, y: str, threshold: float):
@@ -506,10 +513,11 @@ def links(members: DataFrame, plan: Plan, total: int, *, most: int = 2048) -> Da
     """``(ka, ba, kb, bb, similarity)``: linked pairs of different bags (by key and bag) from the rows of ``bags``, rows of equal ``kb`` together."""
     n = partitions_for(members, total)
     parts = max(n, total * 6 // PART_BYTES)
-    reps = members.groupBy("key", "bag").agg(F.first("els").alias("els"))
-    entries = reps.select("key", "els").mapInArrow(_index(plan, 0, parts), "p int, packed binary").repartitionById(parts, "p").select("packed")
+    # What is read with it (here the ids, at the ids the elements) is the same everywhere, so there is one exchange of the bags.
+    reps = members.groupBy("key", "bag").agg(F.first("els").alias("els"), F.first("more").alias("more"), F.first(F.size("ids")).alias("n")).where("n > 0").drop("n")
+    entries = reps.select("key", "more", "els").mapInArrow(_index(plan, 0, parts), "p int, packed binary").repartitionById(parts, "p").select("packed")
     near = entries.mapInArrow(_candidates(plan.threshold, most), "a bigint, b bigint")
-    again = entries.mapInArrow(_crowded(most, parts), "key bigint, salt bigint").join(reps.select("key", "els"), "key").select("key", "els", "salt")
+    again = entries.mapInArrow(_crowded(most, parts), "key bigint, salt bigint").join(reps.select("key", "more", "els"), "key").select("key", "more", "els", "salt")
     again = again.mapInArrow(_index(plan, 1, parts), "p int, packed binary").repartitionById(parts, "p").select("packed")
     near = near.unionAll(again.mapInArrow(_candidates(plan.threshold, None), "a bigint, b bigint"))
     near = near.repartition(n, "a").dropDuplicates(["a", "b"])
@@ -530,7 +538,8 @@ def partitions_for(df: DataFrame, total: int) -> int:
 
 
 def _ids(members: DataFrame) -> DataFrame:
-    return members.select("key", "bag", F.explode("ids").alias("id")).distinct()
+    one = members.select("key", "more", "bag", "els", F.explode("ids").alias("id")).groupBy("key", "bag", "id")
+    return one.agg(F.first(F.size("els") + F.abs(F.signum("more"))).alias("n")).where("n > 0").select("key", "bag", "id")
 
 
 #: Members of a class of copies meet in blocks of about so many.
