@@ -131,7 +131,10 @@ def _keys(size: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bags(batches):
-    """Rows (key, more, bag, els, ids): copies within a batch are one row here, before the shuffle."""
+    """Rows (key, bag, item): copies within a batch are one row here, before the shuffle.
+
+    An item is the number of elements, the rest of the sketch, the elements and the ids.
+    """
     words = _Words()
     for b in batches:
         ids = b.column("id").to_pylist()
@@ -149,13 +152,19 @@ def _bags(batches):
             short = packed.astype(np.uint32)
             keys, more = _keys(size[full], short)
             for at, (k, g) in enumerate(zip(full.tolist(), sums.view(np.int64).tolist())):
-                rows.setdefault((g, int(size[k])), [at, short[start[k] : end[k]].view(np.int32), []])[2].append(ids[k])
+                head = int(size[k]).to_bytes(4, "big") + more[at].tobytes() + short[start[k] : end[k]].tobytes()
+                rows.setdefault((g, head), (at, []))[1].append(ids[k])
         at = np.array([v[0] for v in rows.values()], np.int64)
-        els = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(v[1]) for v in rows.values())]), pa.int32()), pa.array(np.concatenate([v[1] for v in rows.values()]) if rows else np.zeros(0, np.int32)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[at].view(np.int64)), pa.array(more[at].view(np.int32)), pa.array([k[0] for k in rows], pa.int64()), els, pa.array([v[2] for v in rows.values()], pa.list_(pa.string()))],
-            ["key", "more", "bag", "els", "ids"],
-        )
+        items = [k[1] + "\0".join(v[1]).encode() for k, v in rows.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array([k[0] for k in rows], pa.int64()), pa.array(items, pa.binary())], ["key", "bag", "item"])
+
+
+def _unpack(items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, the rests of the sketches, and all elements one text after the other."""
+    items = items.to_pylist()
+    head = np.frombuffer(b"".join(x[:8] for x in items), np.uint32).reshape(-1, 2)
+    size = head[:, 0].byteswap().astype(np.int64)
+    return size, head[:, 1], np.frombuffer(b"".join(x[8 : 8 + 4 * n] for x, n in zip(items, size.tolist())), np.uint32)
 
 
 def _counts(batches):
@@ -347,12 +356,11 @@ def _index(plan: Plan, level: int, parts: int):
             return packed(*(np.concatenate(x) for x in (key, more, texts, entries)))
 
         for b in batches:
-            lists = b.column("els")
-            size = lists.value_lengths().to_numpy().astype(np.int64)
+            size, rest, els = _unpack(b.column("item"))
             salt = b.column("salt").to_numpy().view(np.uint64) if level else None
-            got = list(_entries(plan, level, size, lists.flatten().to_numpy().view(np.uint32), salt))
+            got = list(_entries(plan, level, size, els, salt))
             key.append(b.column("key").to_numpy().view(np.uint64))
-            more.append(b.column("more").to_numpy().view(np.uint32))
+            more.append(rest)
             if got:
                 rows, found = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
                 order = np.argsort(rows, kind="stable")
@@ -494,42 +502,57 @@ def plan_for(texts: DataFrame, *, text_col="content", id_col="chunk_id", thresho
 
 
 def bags(texts: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
-    """``(key, more, bag, els, ids)``: bags of words, rows of equal keys together.
+    """``(key, bag, item)``: bags of words, rows of equal keys together.
 
-    All that follows reads these columns, so Spark makes this exchange once.
+    All that follows reads these three columns, so Spark makes this exchange once.
     """
-    return _source(texts, id_col, text_col).mapInArrow(_bags, "key bigint, more int, bag bigint, els array<int>, ids array<string>").where("key is not null and bag is not null").repartition(partitions, "key")
+    return _source(texts, id_col, text_col).mapInArrow(_bags, "key bigint, bag bigint, item binary").where("key is not null and bag is not null and item is not null").repartition(partitions, "key")
 
 
-def _alike(x: str, y: str, threshold: float):
-    """Similarity of two arrays of elements, and whether it is enough, in whole numbers."""
+def _verify(threshold: float):
     num, den = _ratio(threshold)
-    shared = F.size(F.array_intersect(x, y)).cast("bigint")
-    union = F.size(x) + F.size(y) - shared
-    return shared / union, shared * den >= union * num
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                (nx, _, x), (ny, _, y) = (_unpack(part.column(c)) for c in ("ia", "ib"))
+                n = part.num_rows
+                # One sort key for each (pair, element); elements of a bag differ, so what occurs twice is shared.
+                k = np.concatenate([np.repeat(np.arange(n, dtype=np.uint64), size) << np.uint64(32) | e for size, e in ((nx, x), (ny, y))])
+                k.sort()
+                shared = np.bincount((k[1:][k[1:] == k[:-1]] >> np.uint64(32)).astype(np.int64), minlength=n) if len(k) else np.zeros(n, np.int64)
+                union = nx + ny - shared
+                ok = pa.array(shared * den >= union * num)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(ok) for c in ("ka", "ba", "kb", "bb")), pa.array(shared / np.maximum(union, 1)).filter(ok)], ["ka", "ba", "kb", "bb", "similarity"])
+
+    return run
+
+
+def _size_of(item: str):
+    return F.conv(F.hex(F.substring(item, 1, 4)), 16, 10).cast("bigint")
 
 
 def links(members: DataFrame, plan: Plan, total: int, *, most: int = 2048) -> DataFrame:
-    """``(ka, ba, kb, bb, similarity)``: linked pairs of different bags (by key and bag) from the rows of ``bags``, rows of equal ``kb`` together."""
+    """``(ka, ba, kb, bb, similarity)``: linked pairs of different bags (by key and bag) from the rows of ``bags``."""
     n = partitions_for(members, total)
     parts = max(n, total * 6 // PART_BYTES)
-    # What is read with it (here the ids, at the ids the elements) is the same everywhere, so there is one exchange of the bags.
-    reps = members.groupBy("key", "bag").agg(F.first("els").alias("els"), F.first("more").alias("more"), F.first(F.size("ids")).alias("n")).where("n > 0").drop("n")
-    entries = reps.select("key", "more", "els").mapInArrow(_index(plan, 0, parts), "p int, packed binary").repartitionById(parts, "p").select("packed")
+    reps = members.groupBy("key", "bag").agg(F.min("item").alias("item"))
+    entries = reps.select("key", "item").mapInArrow(_index(plan, 0, parts), "p int, packed binary").repartitionById(parts, "p").select("packed")
     near = entries.mapInArrow(_candidates(plan.threshold, most), "a bigint, b bigint")
-    again = entries.mapInArrow(_crowded(most, parts), "key bigint, salt bigint").join(reps.select("key", "more", "els"), "key").select("key", "more", "els", "salt")
+    again = entries.mapInArrow(_crowded(most, parts), "key bigint, salt bigint").join(reps.select("key", "item"), "key").select("key", "item", "salt")
     again = again.mapInArrow(_index(plan, 1, parts), "p int, packed binary").repartitionById(parts, "p").select("packed")
     near = near.unionAll(again.mapInArrow(_candidates(plan.threshold, None), "a bigint, b bigint"))
     near = near.repartition(n, "a").dropDuplicates(["a", "b"])
-    similarity, enough = _alike("ea", "eb", plan.threshold)
-    side = lambda k, b, e: reps.select(F.col("key").alias(k), F.col("bag").alias(b), F.col("els").alias(e))
-    found = near.join(side("a", "ba", "ea"), "a").join(side("b", "bb", "eb"), "b").where(enough).select(F.col("a").alias("ka"), "ba", F.col("b").alias("kb"), "bb", similarity.alias("similarity"))
+    side = lambda k, b, i: reps.select(F.col("key").alias(k), F.col("bag").alias(b), F.col("item").alias(i))
+    columns = ["ka", "ba", "ia", "kb", "bb", "ib"]
+    found = near.join(side("a", "ba", "ia"), "a").join(side("b", "bb", "ib"), "b").withColumnsRenamed({"a": "ka", "b": "kb"}).select(columns)
     # Bags that share a key are compared as they are; those so short that no bit may differ are left out.
-    x, y = side("ka", "ba", "ea"), side("kb", "bb", "eb")
     num, den = _ratio(plan.threshold)
-    some = lambda e: F.size(e) + F.floor(F.size(e) * den / num) >= -(-(den + num) // (den - num))
-    same = x.where(some("ea")).join(y.where(some("eb")), (F.col("ka") == F.col("kb")) & (F.col("ba") < F.col("bb"))).where(enough)
-    return found.unionAll(same.select("ka", "ba", "kb", "bb", similarity.alias("similarity")))
+    some = lambda i: _size_of(i) + F.floor(_size_of(i) * den / num) >= -(-(den + num) // (den - num))
+    x, y = side("ka", "ba", "ia").where(some("ia")), side("kb", "bb", "ib").where(some("ib"))
+    same = x.join(y, (F.col("ka") == F.col("kb")) & (F.col("ba") < F.col("bb"))).select(columns)
+    return found.unionAll(same).mapInArrow(_verify(plan.threshold), "ka bigint, ba bigint, kb bigint, bb bigint, similarity double")
 
 
 def partitions_for(df: DataFrame, total: int) -> int:
@@ -538,8 +561,8 @@ def partitions_for(df: DataFrame, total: int) -> int:
 
 
 def _ids(members: DataFrame) -> DataFrame:
-    one = members.select("key", "more", "bag", "els", F.explode("ids").alias("id")).groupBy("key", "bag", "id")
-    return one.agg(F.first(F.size("els") + F.abs(F.signum("more"))).alias("n")).where("n > 0").select("key", "bag", "id")
+    ids = F.split(F.decode(F.substring("item", _size_of("item") * 4 + 9, F.length("item")), "UTF-8"), "\0")
+    return members.select("key", "bag", F.explode(ids).alias("id")).distinct()
 
 
 #: Members of a class of copies meet in blocks of about so many.
