@@ -2,8 +2,8 @@
 
 A result that is read more than once is written as a table into the folder that
 ``spark.checkpoint.dir`` names, which all executors share, so a lost executor costs a
-read, not the lineage. Only where the session has no such setting (tests, a laptop)
-is a folder of our own set.
+read, not the lineage. Only where a local session has no such setting (tests, a laptop)
+is a folder of our own set; on a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -57,7 +59,12 @@ def ship_package(spark: SparkSession) -> None:
         sc._lectern_shipped = sc.applicationId
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system; one that isn't there is no error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_intermediate(spark: SparkSession) -> None:
     """Delete all tables that ``materialize`` wrote for this session's shared folder; results that still read them fail afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lectern")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(spark, f"{shared_dir(spark)}/lectern")
