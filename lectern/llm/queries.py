@@ -7,10 +7,11 @@ from . import encoding, history, knn, mixing, neardup, packing, scans
 
 
 def p1_found(spark, d):
-    """Rows of incoming that repeat a row of seen or an earlier row of incoming."""
-    old, new = table(spark, d, "seen"), table(spark, d, "incoming")
-    past = history.History(spark).accept(old)
-    return past.repeats(new, "scan_id").select(history.F.col("pos").alias("scan_id"))
+    """Rows of incoming that repeat a row of seen or an earlier row of incoming, batch by batch."""
+    past = history.History(spark, kinds=("files",)).accept(table(spark, d, "seen"))
+    found = history.in_batches(past, table(spark, d, "incoming"), "scan_id", "batch_no")
+    past.drop()
+    return found.withColumnRenamed("pos", "scan_id")
 
 
 def p1_coverage(spark, d):
