@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 #: One-byte encodings in which UTF-8 bytes are misread.
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859-2", "iso8859-15", "koi8-r", "cp866", "cp852", "cp1254", "cp1257", "mac_cyrillic")
 #: (true, wrong) pairs of one-byte encodings.
@@ -77,24 +79,35 @@ def _patterns() -> dict[str, tuple[str, bool]]:
 def _automaton():
     import ahocorasick
 
-    a = ahocorasick.Automaton()
-    for seq, (orig, weak) in _patterns().items():
+    a, patterns = ahocorasick.Automaton(), _patterns()
+    # Beginnings of sequences whose rest is missing; a single character is none, as it is often right.
+    for seq in patterns:
+        for n in range(2, len(seq)):
+            if seq[:n] not in patterns:
+                a.add_word(seq[:n], (n, None, False))
+    for seq, (orig, weak) in patterns.items():
         a.add_word(seq, (len(seq), orig, weak))
     a.make_automaton()
     return a
 
 
+def _hits(text: str, beginnings: bool) -> list[tuple[int, int, str | None, bool]]:
+    """Sequences (start, end, original, weak) from left to right, of several at one place the longest."""
+    hits = [(end - n + 1, end + 1, orig, weak) for end, (n, orig, weak) in _automaton().iter(text) if beginnings or orig is not None]
+    hits.sort(key=lambda h: (h[0], -h[1]))
+    out, at = [], 0
+    for h in hits:
+        if h[0] >= at:
+            out.append(h)
+            at = h[1]
+    return out
+
+
 def repair(text: str) -> tuple[str, int, bool]:
     """The text with garbled spans replaced, how many there were, and whether one had lost its end."""
     if text.isascii():
         return text, 0, False
-    hits = [(end - n + 1, end + 1, orig, weak) for end, (n, orig, weak) in _automaton().iter(text)]
-    hits.sort(key=lambda h: (h[0], -h[1]))
-    spans, at = [], 0
-    for h in hits:  # leftmost, longest
-        if h[0] >= at:
-            spans.append(h)
-            at = h[1]
+    spans = _hits(text, False)
     if any(h[3] for h in spans):
         # Sequences that could be ordinary letters count only where the whole run of characters
         # beyond ASCII is made of sequences; Cyrillic ones not alone, unless the text has many.
@@ -111,8 +124,8 @@ def repair(text: str) -> tuple[str, int, bool]:
         at = end
     out.append(text[at:])
     fixed = "".join(out)
-    # The first characters of sequences that stand alone where garbled ones stand beside: their rest was dropped.
-    lost = bool(spans) and any(x in fixed for x in ("â€", "Ã¢", "Ãƒ", "ÔÇ", "‚Ä", "в„", "вЂ"))
+    # A beginning that is left beside garbled sequences had lost its rest; one of letters only where none follows.
+    lost = bool(spans) and any(orig is None and (fixed[end : end + 1] in ("", "\ufffd") or fixed[end].isascii() or not fixed[start:end].isalpha()) for start, end, orig, _ in _hits(fixed, True))
     return fixed, len(spans), lost
 
 
@@ -162,10 +175,12 @@ def restored(docs: DataFrame, *, id_col="doc_id", text_col="text", ratio=4, leas
     documents, and ``least`` times at least.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").where(F.col("text").rlike(r"[^\x00-\x7f]")).dropDuplicates(["id"])
-    multi = src.mapInPandas(_multi, "id bigint, fixed string, spans int, lost boolean")
+    # Written once, as its words are read several times.
+    multi = materialize(src.mapInPandas(_multi, "id bigint, fixed string, spans int, lost boolean"), "multi")
 
     # Words of all documents, as they read after the first repair.
     parts = multi.select("id", "spans", F.explode(F.array_distinct(F.regexp_extract_all("fixed", F.lit(r"\S*[^\x00-\x7f\s]\S*"), F.lit(0)))).alias("w")).select("id", _core(F.col("w")).alias("word")).where("word <> ''")
+    parts = materialize(parts, "words")
     counts = parts.groupBy("word").agg(F.count("*").alias("n"))
     pairs = counts.mapInPandas(_originals, "word string, n bigint, pair int, original string")
     known = counts.select(F.col("word").alias("original"), F.col("n").alias("known"))

@@ -34,3 +34,10 @@ def test_documents(spark):
 def test_very_long():
     t = ("naïve – " * 40_000)
     assert E.repair(E._decode(t.encode(), "cp1252"))[0] == t
+
+
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "cp1250", "cp437", "cp850", "mac_roman", "cp1251"])
+def test_lost_rest(wrong):
+    bad = E._decode("L’étrier – «fermé» était à côté…".encode(), wrong)
+    cut = E._decode("…".encode(), wrong)[:2]
+    assert not E.repair(bad)[2] and E.repair(bad + " et " + cut + " fin")[2]
