@@ -28,6 +28,10 @@ from ..runtime import materialize
 from . import tokens
 
 
+#: Up to so many listed sources are broadcast; more are joined by a shuffle.
+MOST_TARGETS = 10_000
+
+
 def _plan(sized: DataFrame, targets: DataFrame, tilt: float) -> DataFrame:
     """A row for each mix and source: available tokens, demand and slope. Sources are few: the targets list them."""
     name = F.lower(F.trim("source"))
@@ -63,7 +67,9 @@ def sizes(docs: DataFrame, path: str = tokens.DEFAULT) -> DataFrame:
 def mix(docs: DataFrame, targets: DataFrame, *, path: str = tokens.DEFAULT, tilt: float = 0.5, buckets: int = 1024, sized: DataFrame | None = None) -> DataFrame:
     """``(mix_id, position, doc_id, source, repeat, tokens)``, sorted by mix and training position (in tokens)."""
     sized = sizes(docs, path) if sized is None else sized
-    plan = F.broadcast(_plan(sized, targets, tilt).where("demand > 0"))  # a row for each listed mix and source
+    plan = _plan(sized, targets, tilt).where("demand > 0")  # a row for each listed mix and source
+    if targets.limit(MOST_TARGETS + 1).count() <= MOST_TARGETS:
+        plan = F.broadcast(plan)
     rows = _ordered(sized, buckets).join(plan.select("mix_id", "source", "available", "repeats", "demand", "total", "slope"), "source")
     copies = F.sequence(F.lit(0), F.greatest(F.least(F.col("repeats") - 1, F.floor(F.col("demand") / F.col("available")).cast("int")), F.lit(0)))
     rows = rows.withColumn("repeat", F.explode(copies)).withColumn("middle", F.col("repeat") * F.col("available") + F.col("before") + F.col("size") / 2).where("middle <= demand")

@@ -128,21 +128,21 @@ def _pack(window: int, keep: int):
         def flush(c):
             # Of neighbours the longest first; the id decides between equals.
             rows, box = [], bins[c]
-            for size, doc in sorted(held.pop(c), key=lambda x: (-x[0], x[1])):
+            for size, doc, key in sorted(held.pop(c), key=lambda x: (-x[0], x[1])):
                 piece = 0
                 while size > box.capacity:
-                    rows.append((c, (part << 33) + box.next, doc, piece, box.capacity))
+                    rows.append((c, (part << 33) + box.next, doc, piece, box.capacity, key))
                     box.next += 1
                     size -= box.capacity
                     piece += 1
-                rows.append((c, (part << 33) + box.place(size), doc, piece, size))
-            return pd.DataFrame(rows, columns=["container_id", "bin_id", "doc_id", "piece", "tokens"])
+                rows.append((c, (part << 33) + box.place(size), doc, piece, size, key))
+            return pd.DataFrame(rows, columns=["container_id", "bin_id", "doc_id", "piece", "tokens", "key"])
 
         for pdf in batches:
-            for c, cap, doc, size in zip(pdf["container_id"].tolist(), pdf["capacity"].tolist(), pdf["doc_id"].tolist(), pdf["size"].tolist()):
+            for c, cap, doc, size, key in zip(*(pdf[x].tolist() for x in ("container_id", "capacity", "doc_id", "size", "key"))):
                 if c not in bins:
                     bins[c] = _Open(cap, keep)
-                held.setdefault(c, []).append((size, doc))
+                held.setdefault(c, []).append((size, doc, key))
                 if len(held[c]) >= window:
                     yield flush(c)
         for c in list(held):
@@ -151,8 +151,8 @@ def _pack(window: int, keep: int):
     return run
 
 
-def pack(docs: DataFrame, containers: DataFrame, *, path: str = tokens.DEFAULT, dims: int = 3, bits: int = 16, window: int = 2048, keep_open: int = 4096) -> DataFrame:
-    """``(container_id, bin_id, doc_id, piece, tokens)``: where each document, or piece of a long one, goes for each capacity."""
+def pack(docs: DataFrame, containers: DataFrame, *, path: str = tokens.DEFAULT, dims: int = 3, bits: int = 16, window: int = 2048, keep_open: int = 4096, keys: bool = False) -> DataFrame:
+    """``(container_id, bin_id, doc_id, piece, tokens)``: where each document, or piece of a long one, goes for each capacity; with ``keys`` the documents' ``key`` along the curve too."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null").dropDuplicates(["doc_id"])
     # Written once: range-sorting reads its input twice.
     sized = materialize(src.mapInPandas(_sizes(dims, bits, path), "doc_id bigint, size bigint, key bigint"), "sizes")
@@ -161,16 +161,24 @@ def pack(docs: DataFrame, containers: DataFrame, *, path: str = tokens.DEFAULT,
     todo = caps.select(F.collect_list(F.struct("container_id", "capacity")).alias("c"))
     listed = [tuple(x) for x in todo.first().c]
     if not listed:
-        return sized.select(F.lit(0).alias("container_id"), F.lit(0).cast("bigint").alias("bin_id"), "doc_id", F.lit(0).alias("piece"), F.col("size").alias("tokens")).limit(0)
+        return sized.select(F.lit(0).alias("container_id"), F.lit(0).cast("bigint").alias("bin_id"), "doc_id", F.lit(0).alias("piece"), F.col("size").alias("tokens"), *(["key"] if keys else [])).limit(0)
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("container_id"), F.lit(c).cast("bigint").alias("capacity")) for i, c in listed]))
     rows = sized.select("doc_id", "size", "key", each.alias("c")).select("c.container_id", "c.capacity", "doc_id", "size", "key")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(n, "container_id", "key", "doc_id").sortWithinPartitions("container_id", "key", "doc_id")
-    return ordered.mapInPandas(_pack(window, keep_open), "container_id int, bin_id bigint, doc_id bigint, piece int, tokens bigint")
+    packed = ordered.mapInPandas(_pack(window, keep_open), "container_id int, bin_id bigint, doc_id bigint, piece int, tokens bigint, key bigint")
+    return packed if keys else packed.drop("key")
 
 
 def report(packed: DataFrame, containers: DataFrame) -> DataFrame:
-    """``(container_id, capacity_tokens, bins, items, tokens, fill)`` for each capacity."""
-    by_bin = packed.groupBy("container_id", "bin_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
-    total = by_bin.groupBy("container_id").agg(F.count("*").alias("bins"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"))
-    return total.join(containers.select("container_id", "capacity_tokens"), "container_id").withColumn("fill", F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")))
+    """``(container_id, capacity_tokens, bins, items, tokens, fill, spread)`` for each capacity, from ``pack`` with its keys.
+
+    ``spread`` is how far apart along the curve the documents of a container lie: the mean
+    deviation of their keys inside containers by that of all keys, 1 for containers that
+    take no heed of the curve, 0 for copies only.
+    """
+    by_bin = packed.groupBy("container_id", "bin_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"), F.var_pop("key").alias("v"))
+    total = by_bin.groupBy("container_id").agg(F.count("*").alias("bins"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), (F.sum(F.when(F.col("items") > 1, F.col("v") * F.col("items"))) / F.sum(F.when(F.col("items") > 1, F.col("items")))).alias("inside"))
+    total = total.join(packed.groupBy("container_id").agg(F.var_pop("key").alias("all")), "container_id")
+    total = total.join(containers.select("container_id", "capacity_tokens"), "container_id").withColumn("fill", F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")))
+    return total.withColumn("spread", F.when(F.col("all") > 0, F.sqrt(F.col("inside") / F.col("all")))).drop("inside", "all")

@@ -62,9 +62,9 @@ def p6_packing(spark, d):
 
 
 def p6_report(spark, d):
-    """Containers used and their fill, for each capacity."""
+    """Containers used, their fill and how near their documents are, for each capacity."""
     boxes = table(spark, d, "containers")
-    return packing.report(packing.pack(table(spark, d, "documents"), boxes), boxes)
+    return packing.report(packing.pack(table(spark, d, "documents"), boxes, keys=True), boxes)
 
 
 def p7_mix(spark, d):

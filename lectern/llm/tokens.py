@@ -8,6 +8,7 @@ empty ones have 0 tokens.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 DEFAULT = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary's tokenizer cuts text before merging.
 CUT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts are cut at these many characters into pieces that are encoded one after the other; a cut falls on a line end or blank if there is one nearby.
-PIECE = 200_000
+#: Blanks of so long a run are encoded by themselves: the library's pattern search can't take back that many.
+RUN = 5_000
+_BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 @lru_cache(4)
@@ -31,15 +33,17 @@ def encoder(path: str):
 
 
 def length(text: str, path: str = DEFAULT) -> int:
+    """Tokens of the whole text.
+
+    A text is cut beside very long runs of blanks only, where the tokenizer cuts it too:
+    before the run, and before its last blank, which belongs to what follows.
+    """
     enc, total, at = encoder(path), 0, 0
-    while at < len(text):
-        end = min(at + PIECE, len(text))
-        if end < len(text):
-            back = max(text.rfind("\n", at + PIECE // 2, end), text.rfind(" ", at + PIECE // 2, end))
-            end = back if back > at else end
-        total += len(enc.encode_ordinary(text[at:end]))
+    for m in re.finditer(_BLANK + "{%d,}" % RUN, text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(enc.encode_ordinary(text[at : m.start()])) + len(enc._encode_single_piece(text[m.start() : end]))
         at = end
-    return total
+    return total + len(enc.encode_ordinary(text[at:]))
 
 
 def count(text: Column, path: str = DEFAULT) -> Column:
