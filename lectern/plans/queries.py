@@ -324,8 +324,8 @@ def chunk_ids(spark, d):
 
 # -- files and manifest ------------------------------------------------------------------
 _JUNK = files.JUNK_FILES.replace("'", "''")
-_VERDICT = f"""CASE WHEN list_bool_or([x IN ('@eaDir', '@Recycle', '#recycle', '$RECYCLE.BIN', 'System Volume Information') OR starts_with(x, '.') FOR x IN string_split(relpath, '/')[:-2]]) OR regexp_matches(string_split(relpath, '/')[-1], '{_JUNK}') THEN 'excluded'
- WHEN lower(regexp_extract(relpath, '\\.([^./\\\\]+)$', 1)) NOT IN ('pdf', 'docx', 'pptx', 'txt', 'md', 'csv') THEN 'unsupported' WHEN size > 104857600 THEN 'oversized' ELSE 'ok' END"""
+_VERDICT = f"""CASE WHEN list_bool_or([x IN ('@eaDir', '@Recycle', '#recycle', '$RECYCLE.BIN', 'System Volume Information', '@Recently-Snapshot', '@Snapshot') OR starts_with(x, '.') FOR x IN string_split(relpath, '/')[:-2]]) OR regexp_matches(string_split(relpath, '/')[-1], '{_JUNK}') THEN 'excluded'
+ WHEN lower(regexp_extract(relpath, '\\.([^./\\\\]+)$', 1)) NOT IN ('pdf', 'docx', 'pptx', 'txt', 'csv') THEN 'unsupported' WHEN size > 104857600 THEN 'oversized' ELSE 'ok' END"""
 _VERDICT = _VERDICT.replace("[x IN (", "[(x IN (").replace("starts_with(x, '.') FOR", "starts_with(x, '.')) FOR")
 
 
@@ -336,11 +336,11 @@ def scan_counts(spark, d):
     return files.scan_counts(files.classify(both))
 
 
-@query("SELECT doc_id, CASE WHEN coalesce(n_chars, 0) = 0 THEN 'empty' WHEN n_chars > 10000 THEN 'too large' WHEN coalesce(lower(regexp_extract(filename, '\\.([^./\\\\]+)$', 1)), '') NOT IN ('pdf', 'docx', 'pptx', 'txt', 'md', 'csv') THEN 'unsupported' END AS reject_reason FROM documents")
+@query("SELECT doc_id, CASE WHEN coalesce(n_chars, 0) = 0 THEN 'empty' WHEN n_chars > 104857600 THEN 'too large' WHEN coalesce(lower(regexp_extract(filename, '\\.([^./\\\\]+)$', 1)), '') NOT IN ('pdf', 'docx', 'pptx', 'txt', 'csv') THEN 'unsupported' END AS reject_reason FROM documents")
 def upload_check(spark, d):
     """Uploads with the reason for a rejection."""
     f = table(spark, d, "documents").select("doc_id", "filename", F.col("n_chars").alias("size"))
-    return files.upload_check(f, most_bytes=10_000).select("doc_id", "reject_reason")
+    return files.upload_check(f).select("doc_id", "reject_reason")
 
 
 @query("SELECT relpath, coalesce(nullif(substr(regexp_extract(relpath, '^(.*)/[^/]*$', 1), 1, 64), ''), 'General') AS folder, string_split(relpath, '/')[-1] AS name FROM (SELECT DISTINCT relpath FROM incoming)")
@@ -390,10 +390,14 @@ def document_titles(spark, d):
     return table(spark, d, "documents").select("doc_id", T.title(F.col("text"), F.col("filename")).alias("title"))
 
 
-@query("SELECT doc_id, md5(array_to_string([x FOR x IN string_split(text, chr(10)) IF NOT regexp_matches(x, '^\\s*\\d{4}-\\d{2}-\\d{2}[\\sT]\\d{2}:\\d{2}:\\d{2}')], chr(10))) AS text_md5 FROM (SELECT doc_id, regexp_replace(text, '\\n$', '') AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\r\\v\\f\\x85\\x{2028}\\x{2029}]'))")
+#: Lines as splitlines gives them, in SQL.
+_LINES = "(SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\v\\f\\x{85}\\x{2028}\\x{2029}]') AS l FROM documents WHERE text IS NOT NULL))"
+
+
+@query(f"SELECT doc_id, md5(array_to_string([x FOR x IN l IF NOT regexp_matches(x, '^\\s*\\d{{4}}-\\d{{2}}-\\d{{2}}[\\sT]\\d{{2}}:\\d{{2}}:\\d{{2}}')], chr(10))) AS text_md5 FROM {_LINES}")
 def telemetry_filtered(spark, d):
     """Texts without time-stamped lines."""
-    src = table(spark, d, "documents").where("text is not null").where(~F.col("text").rlike("[\\r\\x0b\\f\\x85\\u2028\\u2029]"))
+    src = table(spark, d, "documents").where("text is not null")
     return src.select("doc_id", F.md5(T.without_telemetry(F.col("text"))).alias("text_md5"))
 
 
@@ -409,12 +413,12 @@ def summary_chunks(spark, d):
     return docs.select("doc_id", T.summary_text(T.title(F.col("text"), F.col("filename")), F.col("text")).alias("text")).where("text is not null")
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '{_VALUE}') AS for_value, regexp_matches(text, '{T.COMPARISON_RE}') AS comparison, regexp_matches(text, '{T.CATALOG_RE}') AS catalog, list_distinct(regexp_extract_all(text, '{T.SUBSYSTEM}', 1)) IS NOT NULL AND len(regexp_extract_all(text, '{T.SUBSYSTEM}', 1)) > 0 AS names_subsystem FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents WHERE text IS NOT NULL)")
+@query(f"SELECT doc_id, n, regexp_matches(text, '{_VALUE}') AS for_value, regexp_matches(text, '{T.COMPARISON_RE}') AS comparison, regexp_matches(text, '{T.CATALOG_RE}') AS catalog, list_distinct(regexp_extract_all(text, '{T.SUBSYSTEM}', 1)) IS NOT NULL AND len(regexp_extract_all(text, '{T.SUBSYSTEM}', 1)) > 0 AS names_subsystem FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS n FROM {_LINES})")
 def question_intents(spark, d):
-    """What kind of question each document's first line would be."""
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.substring_index("text", "\n", 1).alias("text"))
+    """What kind of question each line of each document would be."""
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("n", "text"))
     q = F.col("text")
-    return t.select("doc_id", T.is_value_question(q).alias("for_value"), T.is_comparison(q).alias("comparison"), T.is_catalog_question(q).alias("catalog"), (F.size(T.subsystem_names(q)) > 0).alias("names_subsystem"))
+    return t.select("doc_id", F.col("n").cast("bigint").alias("n"), T.is_value_question(q).alias("for_value"), T.is_comparison(q).alias("comparison"), T.is_catalog_question(q).alias("catalog"), (F.size(T.subsystem_names(q)) > 0).alias("names_subsystem"))
 
 
 @query()
@@ -432,12 +436,13 @@ def markdown_tables(spark, d):
     return g.select("l_orderkey", T.markdown_table(F.concat(F.array(F.array(F.lit("line"), F.lit("part"), F.lit("quantity"))), F.col("c"))).alias("markdown"))
 
 
-@query("SELECT vec_id, chunk_id, CASE WHEN len([w FOR w IN regexp_split_to_array(trim(caption), '\\s+') IF w <> '']) >= 10 THEN 'ocr' ELSE 'pending' END AS status FROM ingest WHERE caption_status IS NOT NULL")
+@query("SELECT vec_id, CASE WHEN len([w FOR w IN regexp_split_to_array(trim(caption), '\\s+') IF w <> '']) >= 10 THEN 'ocr' ELSE 'pending' END AS status FROM ingest WHERE caption_status IS NOT NULL")
 def caption_records(spark, d):
     """Captions of at least ten words; others are pending."""
     i = table(spark, d, "ingest").where("caption_status is not null").select("vec_id", "chunk_id", "page", "caption", F.col("doc_id"), F.coalesce("img_idx", F.lit(0)).alias("img_idx"))
-    words = F.size(F.filter(F.split(F.trim("caption"), r"\s+"), lambda x: x != ""))
-    return i.select("vec_id", "chunk_id", F.when(words >= 10, "ocr").otherwise("pending").alias("status"))
+    # Rows of one page and figure stand for different figures here, so the row's own id is the document.
+    r = chunking.image_chunks(i.select(F.col("vec_id").alias("doc_id"), "page", "img_idx", "caption"))
+    return r.select(F.col("doc_id").alias("vec_id"), F.col("caption_status").alias("status"))
 
 
 # -- conversations and answers -------------------------------------------------------------------

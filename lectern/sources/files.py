@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 #: What a scan takes and leaves.
-SUPPORTED = ("pdf", "docx", "pptx", "txt", "md", "csv")
-JUNK_FOLDERS = ("@eaDir", "@Recycle", "#recycle", "$RECYCLE.BIN", "System Volume Information")
+SUPPORTED = ("pdf", "docx", "pptx", "txt", "csv")
+JUNK_FOLDERS = ("@eaDir", "@Recycle", "#recycle", "$RECYCLE.BIN", "System Volume Information", "@Recently-Snapshot", "@Snapshot")
 JUNK_FILES = r"^(?:Thumbs\.db|desktop\.ini|\.DS_Store|~\$.*|\..*)$"
 MOST_BYTES = 100 * 1024 * 1024
 
@@ -122,7 +122,7 @@ _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 
 
 def _docx(data: bytes):
-    """Paragraphs, each behind the heading above it, then tables; one page."""
+    """Paragraphs, each behind the heading above it, then tables, each behind its label; one page."""
     body = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(f"{_W}body")
     said = lambda p: "".join(t.text or "" for t in p.iter(f"{_W}t")).strip()
     out, heading, used = [], None, True
@@ -140,8 +140,9 @@ def _docx(data: bytes):
             used = True
     if not used:
         out.append(heading)
-    for t in body.findall(f"{_W}tbl"):
-        out.append(markdown([["\n".join(said(p) for p in c.findall(f"{_W}p")) for c in r.findall(f"{_W}tc")] for r in t.findall(f"{_W}tr")]))
+    for n, t in enumerate(body.findall(f"{_W}tbl")):
+        if table := markdown([["\n".join(said(p) for p in c.findall(f"{_W}p")) for c in r.findall(f"{_W}tc")] for r in t.findall(f"{_W}tr")]):
+            out.append(f"Table {n}\n{table}")
     return [(1, "\n\n".join(x for x in out if x))]
 
 

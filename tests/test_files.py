@@ -16,9 +16,9 @@ def tree(root, names):
 
 
 def test_listing(spark, tmp_path):
-    tree(tmp_path, {"Manuals/alpha.txt": b"a", "gamma.txt": b"g", "_kept.txt": b"k", "sheet.xlsx": b"x", "@eaDir/t.txt": b"", ".hidden/x.txt": b"", "Thumbs.db": b"", "~$draft.docx": b"", "Manuals/.DS_Store": b""})
+    tree(tmp_path, {"Manuals/alpha.txt": b"a", "gamma.txt": b"g", "_kept.txt": b"k", "sheet.xlsx": b"x", "notes.md": b"x", "@eaDir/t.txt": b"", "@Recently-Snapshot/GMT_1/Manuals/alpha.txt": b"a", "x/@Snapshot/b.txt": b"", ".hidden/x.txt": b"", "Thumbs.db": b"", "~$draft.docx": b"", "Manuals/.DS_Store": b""})
     r = {x.relpath: (x.verdict, x.folder) for x in files.listing(spark, str(tmp_path)).collect()}
-    assert {k for k, v in r.items() if v[0] == "ok"} == {"Manuals/alpha.txt", "gamma.txt", "_kept.txt"} and r["sheet.xlsx"][0] == "unsupported"
+    assert {k for k, v in r.items() if v[0] == "ok"} == {"Manuals/alpha.txt", "gamma.txt", "_kept.txt"} and r["sheet.xlsx"][0] == r["notes.md"][0] == "unsupported"
     assert r["gamma.txt"][1] == "General" and r["Manuals/alpha.txt"][1] == "Manuals"
     for bad in ("..", "../etc", "Manuals/../..", "/etc"):
         with pytest.raises(ValueError):
@@ -39,7 +39,7 @@ def test_extract(spark):
     f = spark.createDataFrame([("a.csv", b"name,grade\n\nx|y,1\n"), ("e.csv", b""), ("t.log", b"2024-01-02 03:04:05 z\nkeep \xff"), ("d.docx", _docx()), ("bad.docx", b"no zip"), ("noext", b"n")], "filename string, content binary")
     r = {x.filename: x for x in files.extract(f).collect()}
     assert r["a.csv"].text == "| name | grade |\n| --- | --- |\n| x\\|y | 1 |" and r["e.csv"].text == "" and r["t.log"].text == "keep �"
-    assert r["d.docx"].text == "Head\ntext\n\nTail\n\n| a | b |\n| --- | --- |" and r["bad.docx"].error and r["bad.docx"].text is None and r["noext"].text == "n"
+    assert r["d.docx"].text == "Head\ntext\n\nTail\n\nTable 0\n| a | b |\n| --- | --- |" and r["bad.docx"].error and r["bad.docx"].text is None and r["noext"].text == "n"
 
 
 def test_manifest(spark):
