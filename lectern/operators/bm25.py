@@ -1,8 +1,10 @@
 """Keyword index as tables, and BM25 top-k for whole batches of questions.
 
-``postings(term, chunk_id, tf)``, ``doclen(chunk_id, folder, dl)`` and ``terms(term, n,
+``postings(term, chunk_id, tf, dl)``, ``doclen(chunk_id, folder, dl)`` and ``terms(term, n,
 idf)`` are plain DataFrames. Scores inner-join a batch's terms to the postings, so rows
-without a common term are never scored. A term's inverse frequency that would be
+without a common term are never scored; a posting has its chunk's length, so nothing else
+is joined. A stored index lies by chunk, so that sums by chunk are made before the shuffle,
+and each version is a folder of its own: a pointer, set last, names the one to read. A term's inverse frequency that would be
 negative is a quarter of the mean one.
 
 Defined results: null texts have no tokens; a question without tokens finds nothing;
@@ -11,6 +13,7 @@ equal scores are ranked by chunk id; repeated chunk ids are one chunk.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,7 +23,7 @@ from ..functions import stem, text
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: A stored index of another version is built anew.
-VERSION = 1
+VERSION = 2
 
 
 @dataclass
@@ -42,8 +45,8 @@ class Index:
         return raw.crossJoin(F.broadcast(mean)).select("term", "n", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
-def _terms_of(df: DataFrame, keys: list[str], column: str, use_stem: bool) -> DataFrame:
-    t = df.select(*keys, F.explode(text.tokens(F.col(column))).alias("token"))
+def _terms_of(df: DataFrame, keys: list[str], tokens: Column, use_stem: bool) -> DataFrame:
+    t = df.select(*keys, F.explode(tokens).alias("token"))
     if not use_stem:
         return t.withColumnRenamed("token", "term")
     counted = t.groupBy(*keys, "token").agg(F.count("*").alias("c"))
@@ -54,8 +57,9 @@ def _terms_of(df: DataFrame, keys: list[str], column: str, use_stem: bool) -> Da
 def build(chunks: DataFrame, *, use_stem: bool = True) -> Index:
     """The index of ``chunks(chunk_id, filename, folder, content)``; the file name is part of a chunk's text."""
     src = chunks.where("chunk_id is not null").dropDuplicates(["chunk_id"]).select("chunk_id", "folder", F.concat(F.lit("["), F.coalesce("filename", F.lit("")), F.lit("] "), F.coalesce("content", F.lit(""))).alias("t"))
-    postings = _terms_of(src, ["chunk_id"], "t", use_stem).groupBy("term", "chunk_id").agg(F.count("*").cast("int").alias("tf"))
-    return Index(postings, src.select("chunk_id", "folder", F.size(text.tokens(F.col("t"))).alias("dl")), use_stem)
+    src = src.select("chunk_id", "folder", text.tokens(F.col("t")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    postings = _terms_of(src, ["chunk_id", "dl"], F.col("tokens"), use_stem).groupBy("term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
+    return Index(postings.select("term", "chunk_id", "tf", "dl"), src.select("chunk_id", "folder", "dl"), use_stem)
 
 
 #: Question terms (with their question) up to this number are broadcast; more are joined by a shuffle.
@@ -63,34 +67,35 @@ BROADCAST_TERMS = 200_000
 
 
 def score(index: Index, questions: DataFrame) -> DataFrame:
-    """``(q_id, chunk_id, folder, bm25)`` of all chunks that share a term with the question; a term counts as often as the question has it.
+    """``(q_id, chunk_id, bm25)`` of all chunks that share a term with the question; a term counts as often as the question has it.
 
-    What a posting gives doesn't depend on the question, so it is worked out beside the
-    chunk's length. These rows stay with their chunk: with the questions' terms
-    broadcast, sums by question and chunk need no further shuffle.
+    What a posting gives doesn't depend on the question, so it is worked out beside it.
+    ``questions`` may hold ``folder_filter``: then only chunks of that folder count.
     """
-    q = _terms_of(questions, ["q_id"], "text", index.stemmed).groupBy("q_id", "term").agg(F.count("*").alias("qtf"))
+    q = _terms_of(questions, ["q_id"], text.tokens(F.col("text")), index.stemmed).groupBy("q_id", "term").agg(F.count("*").alias("qtf"))
     few = q.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     wanted = q.join(index.terms().select("term", "idf"), "term").select("q_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     # A semi-join first, as most terms are in no question.
     p = index.postings.join(F.broadcast(q.select("term").distinct()) if few else q.select("term").distinct(), "term", "left_semi")
-    p = p.join(index.doclen, "chunk_id").crossJoin(F.broadcast(index.statistics()))  # one row
-    p = p.select("term", "chunk_id", "folder", (tf * (K1 + 1) / (tf + norm)).alias("part"))
+    p = p.crossJoin(F.broadcast(index.statistics()))  # one row
+    p = p.select("term", "chunk_id", (tf * (K1 + 1) / (tf + norm)).alias("part"))
     hit = p.join(F.broadcast(wanted) if few else wanted, "term")
-    return hit.groupBy("q_id", "chunk_id").agg(F.first("folder").alias("folder"), F.sum(F.col("weight") * F.col("part")).alias("bm25"))
+    scored = hit.groupBy("q_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("part")).alias("bm25"))
+    return scored if "folder_filter" not in questions.columns else in_folder(scored, questions, index.doclen)
 
 
-def top_k(scores: DataFrame, k: int | Column = 15, *, most: int = 30, questions: DataFrame | None = None) -> DataFrame:
-    """Positive scores ranked within the question: at most ``k`` (a number or a column of ``questions``) and never more than ``most``.
+def in_folder(rows: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows ``(q_id, chunk_id, ...)`` whose chunk lies in the question's folder, all rows of questions without one."""
+    r = rows.join(questions.select("q_id", F.col("folder_filter").alias("_want")), "q_id").join(chunks.select("chunk_id", F.col("folder").alias("_has")), "chunk_id")
+    return r.where(F.col("_want").isNull() | (F.col("_want") == F.col("_has"))).select(*rows.columns)
 
-    ``questions`` may hold ``folder_filter``: then only chunks of that folder count.
-    """
+
+def top_k(scores: DataFrame, k: int | Column = 15, *, most: int = 30, questions: DataFrame | None = None) -> DataFrame:
+    """Positive scores ranked within the question: at most ``k`` (a number or a column of ``questions``) and never more than ``most``."""
     s = scores.where("bm25 > 0")
     if questions is not None:
         s = s.join(questions.drop("text"), "q_id")
-        if "folder_filter" in questions.columns:
-            s = s.where(F.col("folder_filter").isNull() | (F.col("folder") == F.col("folder_filter")))
     r = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id"))
     # The constant bound lets Spark prune ranks before the shuffle; the other may differ by question.
     return s.withColumn("bm25_rank", r).where(F.col("bm25_rank") <= most).where(F.col("bm25_rank") <= k).select("q_id", "chunk_id", "bm25", "bm25_rank")
@@ -120,30 +125,56 @@ def move(index: Index, updates: DataFrame) -> Index:
     return Index(index.postings, d.select("chunk_id", F.coalesce("to", "folder").alias("folder"), "dl"), index.stemmed)
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def save(index: Index, path: str) -> None:
-    """Write the index below ``path``; the version row is written last, so half an index is never read."""
+    """Write the index into a folder of its own below ``path``, then set the pointer to it and delete the version before.
+
+    Whoever reads meanwhile finds the old index or the new one, never half of one.
+    """
     spark = index.postings.sparkSession
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
-    index.doclen.write.mode("overwrite").parquet(f"{path}/doclen")
-    spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(index.stemmed).alias("stemmed")).write.mode("overwrite").parquet(f"{path}/meta")
+    name = f"v{VERSION}-{uuid.uuid4().hex[:12]}"
+    index.postings.repartition("chunk_id").sortWithinPartitions("term").write.parquet(f"{path}/{name}/postings")
+    index.doclen.write.parquet(f"{path}/{name}/doclen")
+    spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(index.stemmed).alias("stemmed"), F.lit(name).alias("name")).coalesce(1).write.parquet(f"{path}/{name}/meta")
+    # Names of versions that are whole; the largest number is the current one.
+    number = 1 + max([n for n, _ in _versions(spark, path)], default=0)
+    target, fs = _file(spark, f"{path}/current/{number:012d}-{name}")
+    fs.mkdirs(target)
+    for gone in _versions(spark, path):
+        if gone[1] != name:
+            for sub in (f"current/{gone[0]:012d}-{gone[1]}", gone[1]):
+                p, fs = _file(spark, f"{path}/{sub}")
+                fs.delete(p, True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    p, fs = _file(spark, f"{path}/current")
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted((int(n[:12]), n[13:]) for n in names)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    found = _versions(spark, path)
+    return found[-1][1] if found else None
 
 
 def load(spark: SparkSession, path: str) -> Index | None:
     """The stored index, or None if there is none of this version."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        meta = spark.read.parquet(f"{path}/meta").first()
-        if meta is None or meta.version != VERSION:
-            return None
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doclen"), meta.stemmed)
-    except AnalysisException:
+    name = _current(spark, path)
+    if name is None or not name.startswith(f"v{VERSION}-"):
         return None
+    at = f"{path}/{name}"
+    meta = spark.read.parquet(f"{at}/meta").first()
+    return Index(spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/doclen"), meta.stemmed)
 
 
 def load_or_build(spark: SparkSession, path: str, chunks: DataFrame, *, use_stem: bool = True) -> Index:
     found = load(spark, path)
-    if found is None:
+    if found is None or found.stemmed != use_stem:
         save(build(chunks, use_stem=use_stem), path)
         found = load(spark, path)
     return found

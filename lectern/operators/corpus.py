@@ -68,6 +68,26 @@ def front_matter(chunks: DataFrame, *, most: int = 3, otherwise: int = 2) -> Dat
     return c.where(keep).select("doc_id", "chunk_id", "r")
 
 
+def catalog_context(questions: DataFrame, chunks: DataFrame, most: int = 15) -> DataFrame:
+    """``(q_id, pos, chunk_id, doc_id, filename, page, neighbours, block)``: for questions about the catalogue the front matter of the first ``most`` documents (of the question's folder), by file name.
+
+    ``questions(q_id, folder_filter)``. The number of documents is what a reader can take in.
+    """
+    from pyspark.sql import Window
+
+    docs = chunks.where("chunk_index in (-1, 0)").groupBy("doc_id").agg(F.min_by(F.struct("filename", "folder"), F.struct("page", "chunk_index", "chunk_id")).alias("h"))
+    docs = docs.select("doc_id", "h.filename", F.coalesce("h.folder", F.lit("General")).alias("folder"), F.lower("h.filename").alias("k"))
+    first = docs.withColumn("r", F.row_number().over(Window.partitionBy("folder").orderBy("k", "doc_id"))).where(F.col("r") <= most)
+    # The first of all documents are among the first of their folders.
+    whole = first.orderBy("k", "doc_id").limit(most).select("doc_id", F.lit(None).cast("string").alias("want"), F.row_number().over(Window.orderBy("k", "doc_id")).alias("r"))
+    listed = first.select("doc_id", F.col("folder").alias("want"), "r").unionByName(whole)
+    q = questions.select("q_id", F.col("folder_filter").alias("want"))
+    front = front_matter(chunks).withColumnRenamed("r", "n").drop("doc_id").join(chunks.select("chunk_id", "doc_id", "filename", "page", "content"), "chunk_id")
+    rows = q.join(listed, q.want.eqNullSafe(listed.want)).select("q_id", "doc_id", "r").join(front, "doc_id")
+    pos = F.row_number().over(Window.partitionBy("q_id").orderBy("r", "n"))
+    return rows.select("q_id", pos.alias("pos"), "chunk_id", "doc_id", "filename", "page", F.array("chunk_id").alias("neighbours"), text.context_block(F.col("filename"), F.col("page"), F.col("content")).alias("block"))
+
+
 # -- changes ----------------------------------------------------------------------
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``old`` with the rows of ``new`` in place of those of the same key."""

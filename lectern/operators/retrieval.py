@@ -87,9 +87,10 @@ def slots_of_named(named: DataFrame, context_k: int = CONTEXT_K) -> DataFrame:
     return named.distinct().select("q_id", "filename", F.greatest(F.lit(2), F.floor(F.lit(8) / n)).cast("int").alias("slots"), F.least(F.lit(context_k), F.greatest(F.lit(4), F.floor(F.lit(context_k) / n))).cast("int").alias("diversity_limit"))
 
 
-def inject_named(named: DataFrame, chunks: DataFrame, bm25: DataFrame) -> DataFrame:
-    """``(q_id, chunk_id, floor, origin)``: the best chunks of named documents by keyword score, and their summaries."""
-    of = slots_of_named(named).join(chunks.select("filename", "chunk_id", "page", "chunk_index"), "filename")
+def inject_named(named: DataFrame, chunks: DataFrame, bm25: DataFrame, questions: DataFrame) -> DataFrame:
+    """``(q_id, chunk_id, floor, origin)``: the best chunks of named documents (in the question's folder) by keyword score, and their summaries."""
+    of = slots_of_named(named).join(chunks.select("filename", "chunk_id", "page", "chunk_index", "folder"), "filename").join(questions.select("q_id", "folder_filter"), "q_id")
+    of = of.where(F.col("folder_filter").isNull() | (F.col("folder") == F.col("folder_filter")))
     of = of.join(bm25.select("q_id", "chunk_id", "bm25"), ["q_id", "chunk_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     r = F.row_number().over(Window.partitionBy("q_id", "filename").orderBy(F.desc(F.round("bm25", 9)), "chunk_id"))
     of = of.withColumn("r", r)
@@ -99,9 +100,9 @@ def inject_named(named: DataFrame, chunks: DataFrame, bm25: DataFrame) -> DataFr
 
 
 def inject_subsystems(questions: DataFrame, chunks: DataFrame, search) -> DataFrame:
-    """Summary chunks on the page of the best keyword hit of each subsystem that a question names. ``search(names)`` scores ``(q_id, text)`` rows."""
-    names = questions.select("q_id", F.explode(F.array_distinct(text.subsystem_names(F.col("text")))).alias("text")).withColumn("n_id", F.xxhash64("q_id", "text"))
-    top = search(names.select(F.col("n_id").alias("q_id"), "text")).where("bm25_rank = 1").select(F.col("q_id").alias("n_id"), "chunk_id")
+    """Summary chunks on the page of the best keyword hit of each subsystem that a question names. ``search(names)`` ranks ``(q_id, text, folder_filter)`` rows."""
+    names = questions.select("q_id", "folder_filter", F.explode(F.array_distinct(text.subsystem_names(F.col("text")))).alias("text")).withColumn("n_id", F.xxhash64("q_id", "text"))
+    top = search(names.select(F.col("n_id").alias("q_id"), "text", "folder_filter")).where("bm25_rank = 1").select(F.col("q_id").alias("n_id"), "chunk_id")
     place = chunks.select("chunk_id", "doc_id", "page")
     goal = names.join(top, "n_id").join(place, "chunk_id").select("q_id", "doc_id", "page")
     there = chunks.where("chunk_index = -1").select("doc_id", "page", "chunk_id")
@@ -238,21 +239,42 @@ def variants(questions: DataFrame, expand=None, most: int = 3) -> DataFrame:
 
 
 # -- the whole ----------------------------------------------------------------
-def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *, k: int = 15, dim: int = 64, reranker=None, originals: DataFrame | None = None, until: str = "prompts") -> dict[str, DataFrame]:
-    """The stages from candidates to prompts for all questions, as far as ``until`` (rrf, boosted, top, context or all).
-
-    ``questions(q_id, text, vec, self_id)``, ``chunks`` as stored, ``vectors(chunk_id, vec)``.
+def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *, k: int = 15, dim: int = 64, reranker=None, originals: DataFrame | None = None, conversation: DataFrame | None = None, until: str = "prompts") -> dict[str, DataFrame]:
+    """The stages from candidates to prompts for all questions, as far as ``until`` (rrf, floors, boosted, context or all).
+
+    ``questions(q_id, text, vec, self_id [, folder_filter])``, ``chunks`` as stored,
+    ``vectors(chunk_id, vec [, folder])``. With a ``folder_filter`` every list, floor and
+    context chunk is of that folder. Questions about the catalogue get the catalogue's
+    context instead of ranked chunks, unless it is empty. ``conversation`` puts the user's
+    turn before in front of what keywords are sought for.
     """
-    from . import bm25, dense
-
+    from . import bm25, corpus, dense
+
+    if "folder_filter" not in questions.columns:
+        questions = questions.withColumn("folder_filter", F.lit(None).cast("string"))
+    if conversation is not None:
+        questions = augmented(questions, conversation)
+    questions_text = questions.select("q_id", "text")
+    # Catalogue questions leave the ranked lists if there is anything to show for them.
+    listed = materialize(corpus.catalog_context(questions.where(text.is_catalog_question(F.col("text"))), chunks), "catalog")
+    questions = questions.join(listed.select("q_id").distinct(), "q_id", "left_anti")
     # Stages that several later ones read are written once; each has a bounded number of rows a question.
     sem = materialize(dense.top_k(questions, vectors, k=k, dim=dim), "dense")
     named = named_documents(questions, chunks)
     q = questions.join(open_questions(sem, named), "q_id", "left_semi")
-    q = q.select("q_id", "text").withColumn("for_value", text.is_value_question(F.col("text")))
+    q = q.select("q_id", "text", "folder_filter").withColumn("for_value", text.is_value_question(F.col("text")))
     q, named = materialize(q, "questions"), materialize(named.join(q.select("q_id"), "q_id", "left_semi"), "named")
-    every = materialize(bm25.score(index, q.select("q_id", "text")), "scores")
-    lexical = materialize(bm25.top_k(every, F.when(F.col("for_value"), 2 * k).otherwise(k), most=2 * k, questions=q), "lexical")
+    # Keyword scores: the best of each question, and those of chunks of documents that it names.
+    mine = bm25.in_folder(named.join(chunks.select("filename", "chunk_id"), "filename").select("q_id", "chunk_id"), q, chunks).withColumn("of_named", F.lit(True))
+    scored = bm25.score(index, q.select("q_id", "text", "folder_filter"))
+    r = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id"))
+    every = scored.where("bm25 > 0").withColumn("bm25_rank", r).where(F.col("bm25_rank") <= 2 * k).select("q_id", "chunk_id", "bm25", "bm25_rank")
+    if until not in ("rrf",):
+        theirs = scored.join(mine, ["q_id", "chunk_id"], "left_semi").select("q_id", "chunk_id", "bm25", F.lit(None).cast("int").alias("bm25_rank"))
+        every = every.unionByName(theirs)
+    every = materialize(every, "scores")
+    best = every.where("bm25_rank is not null").join(q.select("q_id", "for_value"), "q_id")
+    lexical = best.where(F.col("bm25_rank") <= F.when(F.col("for_value"), 2 * k).otherwise(k)).select("q_id", "chunk_id", "bm25", "bm25_rank")
     # Keyword hits that the dense list lacks stand behind it, in their own order.
     near = sem.join(q.select("q_id"), "q_id", "left_semi").select("q_id", "chunk_id", "sem_rank", F.lit(None).cast("int").alias("bm25_rank"))
     only = lexical.join(near.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "left_anti").select("q_id", "chunk_id", F.lit(None).cast("int").alias("sem_rank"), "bm25_rank")
@@ -260,13 +282,13 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     lists = near.unionByName(only).select("q_id", "chunk_id", place.alias("rank"), F.lit(False).alias("lexical"))
     lists = lists.unionByName(lexical.select("q_id", "chunk_id", F.col("bm25_rank").alias("rank"), F.lit(True).alias("lexical"))).join(q.select("q_id", "for_value"), "q_id")
     scores = rrf(lists, weight=F.when(F.col("lexical") & F.col("for_value"), 2.0).otherwise(1.0))
-    out = {"dense": sem, "named": named, "lexical": lexical, "rrf": scores}
+    out = {"dense": sem, "named": named, "lexical": lexical, "rrf": scores, "catalog": listed}
     if until == "rrf":
         return out
-    floors = inject_named(named, chunks, every).unionByName(inject_subsystems(q, chunks, lambda n: bm25.top_k(bm25.score(index, n), 1, most=1)))
-    digest = q.where(text.is_comparison(F.col("text"))).select("q_id", F.concat(F.lit("domain performance digest top performer "), "text").alias("text"))
+    floors = inject_named(named, chunks, every.where("bm25_rank is null"), q).unionByName(inject_subsystems(q, chunks, lambda n: bm25.top_k(bm25.score(index, n), 1, most=1)))
+    digest = q.where(text.is_comparison(F.col("text"))).select("q_id", F.concat(F.lit("domain performance digest top performer "), "text").alias("text"), "folder_filter")
     floors = floors.unionByName(inject_comparison(bm25.top_k(bm25.score(index, digest), k).select("q_id", "chunk_id", F.col("bm25_rank").alias("rank"))))
-    out["floors"] = floors
+    out["floors"] = floors = bm25.in_folder(floors, q, chunks)
     if until == "floors":
         return out
     boosted = materialize(boost(raise_scores(scores, floors), chunks, q), "boosted")
@@ -275,12 +297,14 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     if until == "boosted":
         return out
     top = materialize(diverse(ordered, chunks, named), "top")
-    whole = materialize(with_tables(materialize(with_summaries(top, chunks), "identity"), chunks), "context")
+    whole = with_tables(with_summaries(top, chunks), chunks)
+    whole = materialize(bm25.in_folder(whole, q, chunks), "context")
     out |= {"top": top, "context": whole}
     if until == "context":
         return out
-    given = blocks(whole, chunks)
-    return out | {"blocks": given, "citations": citations(given, chunks, originals), "prompts": prompts(given, q)}
+    given = blocks(whole, chunks).unionByName(listed)
+    asked = q.select("q_id", "text").unionByName(listed.select("q_id").distinct().join(questions_text, "q_id"))
+    return out | {"blocks": given, "citations": citations(given, chunks, originals), "prompts": prompts(given, asked)}
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, **kw) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Questions are the chunks whose vector id is divisible by 50: the chunk's title (with a
 quantity it speaks of, and for every other one its file name) is the question's text, the
-chunk's vector the question's vector. Floats are rounded where two engines may sum in
+chunk's vector the question's vector. Some questions compare, some name a subsystem (the
+title's code and the word before it). Floats are rounded where two engines may sum in
 another order.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, bm25, chunking, corpus, dense, manifest, retrieval, units
-from ..runtime import materialize, table
+from ..runtime import materialize, shared_dir, table, table_state
 from ..sources import files
 
 QUERIES, SQL = {}, {}
@@ -40,11 +41,18 @@ def questions(spark, d):
     said = F.regexp_extract("content", r"^\[([^\]]*)\]", 1)
     about = F.regexp_extract(F.lower("content"), "[a-z]+ (pressure|temperature|mass|torque|flow)", 0)
     name = F.when(F.col("vec_id") % 100 == 0, F.concat(F.lit(" "), "filename")).otherwise("")
-    return i.join(s, "chunk_id").select(F.col("vec_id").alias("q_id"), F.trim(F.concat(said, F.lit(" "), about, name)).alias("text"), "folder", F.col("embeddings").alias("vec"), F.col("chunk_id").alias("self_id"))
+    more = F.when(F.col("vec_id") % 250 == 0, " which is highest").when(F.col("vec_id") % 150 == 50, F.concat(F.lit(" "), F.regexp_replace(said, r"^(?:.* )?([A-Z][a-z]+) ([A-Z]+-\d+)$", "$2 $1"))).otherwise("")
+    return i.join(s, "chunk_id").select(F.col("vec_id").alias("q_id"), F.trim(F.concat(said, F.lit(" "), about, name, more)).alias("text"), "folder", F.col("embeddings").alias("vec"), F.col("chunk_id").alias("self_id"))
+
+
+def questions_in_folders(spark, d):
+    """The questions, half of them with their own folder as filter."""
+    return questions(spark, d).withColumn("folder_filter", F.when(F.col("q_id") % 100 == 50, F.col("folder")))
 
 
 def vectors(spark, d):
-    return table(spark, d, "ingest").select("chunk_id", F.col("embeddings").alias("vec"))
+    v = table(spark, d, "ingest").select("chunk_id", F.col("embeddings").alias("vec"))
+    return v.join(chunks(spark, d).select("chunk_id", "folder"), "chunk_id", "left")
 
 
 def overlap(q, t):
@@ -53,29 +61,29 @@ def overlap(q, t):
 
 
 def _index(spark, d):
-    """The unstemmed index, written once: queries read it several times in one plan."""
-    index = bm25.build(chunks(spark, d), use_stem=False)
-    return bm25.Index(materialize(index.postings, "postings"), materialize(index.doclen, "doclen"), False)
+    """The unstemmed index, stored in the shared folder under the state of the table's files: built where that state has none yet."""
+    return bm25.load_or_build(spark, f"{shared_dir(spark)}/lectern/index-{table_state(spark, d, 'store')}", chunks(spark, d), use_stem=False)
 
 
-def _stages(spark, d, until="prompts"):
-    return retrieval.stages(materialize(questions(spark, d), "asked"), materialize(chunks(spark, d), "chunks"), _index(spark, d), vectors(spark, d), reranker=overlap, originals=table(spark, d, "seen"), until=until)
+def _stages(spark, d, until="prompts", asked=questions):
+    return retrieval.stages(materialize(asked(spark, d), "asked"), materialize(chunks(spark, d), "chunks"), _index(spark, d), vectors(spark, d), reranker=overlap, originals=table(spark, d, "seen"), until=until)
 
 
 WORD = r"'[0-9]+\.[0-9]+|[\p{L}\p{N}\p{M}_]+'"
 _VALUE = T.VALUE_RE.replace("'", "''")
+_COMPARES = T.COMPARISON_RE.replace("'", "''")
 CHAIN = rf"""
 WITH s AS (SELECT DISTINCT * FROM store),
-q AS (SELECT i.vec_id AS q_id, trim(regexp_extract(s.content, '^\[([^\]]*)\]', 1) || ' ' || regexp_extract(lower(s.content), '[a-z]+ (pressure|temperature|mass|torque|flow)', 0) || CASE WHEN i.vec_id % 100 = 0 THEN ' ' || s.filename ELSE '' END) AS text, s.folder AS folder, i.chunk_id AS self_id, i.embeddings AS vec
+q AS (SELECT i.vec_id AS q_id, trim(regexp_extract(s.content, '^\[([^\]]*)\]', 1) || ' ' || regexp_extract(lower(s.content), '[a-z]+ (pressure|temperature|mass|torque|flow)', 0) || CASE WHEN i.vec_id % 100 = 0 THEN ' ' || s.filename ELSE '' END || CASE WHEN i.vec_id % 250 = 0 THEN ' which is highest' WHEN i.vec_id % 150 = 50 THEN ' ' || regexp_replace(regexp_extract(s.content, '^\[([^\]]*)\]', 1), '^(?:.* )?([A-Z][a-z]+) ([A-Z]+-\d+)$', '\2 \1') ELSE '' END) AS text, s.folder AS folder, NULL::VARCHAR AS ff, i.chunk_id AS self_id, i.embeddings AS vec
       FROM ingest i JOIN s ON i.chunk_id = s.chunk_id WHERE i.vec_id % 50 = 0),
 u AS (SELECT vec_id, chunk_id, embeddings::DOUBLE[] AS v, list_dot_product(embeddings::DOUBLE[], embeddings::DOUBLE[]) AS ss FROM ingest
       WHERE embeddings IS NOT NULL AND len(embeddings) = 64 AND list_bool_and([isfinite(x) for x in embeddings]) AND list_dot_product(embeddings::DOUBLE[], embeddings::DOUBLE[]) > 0),
-sim AS (SELECT a.vec_id AS q_id, u.chunk_id, round(list_dot_product(a.v, u.v) / sqrt(a.ss * u.ss), 9) AS sim FROM u a JOIN q ON q.q_id = a.vec_id JOIN u ON u.chunk_id <> a.chunk_id),
+sim AS (SELECT a.vec_id AS q_id, u.chunk_id, round(list_dot_product(a.v, u.v) / sqrt(a.ss * u.ss), 9) AS sim FROM u a JOIN q ON q.q_id = a.vec_id JOIN u ON u.chunk_id <> a.chunk_id LEFT JOIN s ON s.chunk_id = u.chunk_id WHERE q.ff IS NULL OR s.folder = q.ff),
 sem AS (SELECT q_id, chunk_id, 1 - sim AS distance, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, chunk_id) AS sem_rank FROM sim QUALIFY sem_rank <= 15),
 fn AS (SELECT DISTINCT filename, lower(filename) AS f, regexp_replace(lower(filename), '\.[^.]*$', '') AS st FROM s WHERE filename <> ''),
 nm0 AS (SELECT DISTINCT q_id, filename FROM q, fn WHERE contains(lower(text), f) OR (length(st) >= 6 AND regexp_matches(' ' || lower(text) || ' ', '[^\p{{L}}\p{{N}}_]' || regexp_escape(st) || '[^\p{{L}}\p{{N}}_]'))),
 oq AS (SELECT q_id FROM sem GROUP BY 1 HAVING bool_or(distance <= 1.3) UNION SELECT q_id FROM nm0),
-qq AS (SELECT q_id, text, regexp_matches(text, '{_VALUE}') AS for_value FROM q WHERE q_id IN (FROM oq)),
+qq AS (SELECT q_id, text, ff, regexp_matches(text, '{_VALUE}') AS for_value FROM q WHERE q_id IN (FROM oq)),
 nm AS (SELECT q_id, filename, greatest(2, 8 // count(*) OVER (PARTITION BY q_id)) AS slots, least(8, greatest(4, 8 // count(*) OVER (PARTITION BY q_id))) AS dlimit FROM nm0 WHERE q_id IN (FROM oq)),
 tok AS (SELECT chunk_id, folder, unnest(regexp_extract_all(lower('[' || coalesce(filename, '') || '] ' || coalesce(content, '')), {WORD})) AS term FROM s),
 post AS (SELECT term, chunk_id, count(*) AS tf FROM tok GROUP BY ALL),
@@ -85,12 +93,21 @@ df0 AS (SELECT term, count(*) AS n, ln((SELECT n_docs FROM stat) - count(*) + 0.
 tm AS (SELECT term, n, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df0) ELSE raw END AS idf FROM df0),
 qt AS (SELECT q_id, term, count(*) AS qtf FROM (SELECT q_id, unnest(regexp_extract_all(lower(text), {WORD})) AS term FROM q) GROUP BY ALL),
 sc AS (SELECT q_id, chunk_id, any_value(dl.folder) AS folder, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM qt JOIN tm USING (term) JOIN post USING (term) JOIN dl USING (chunk_id), stat GROUP BY 1, 2),
-lex AS (SELECT sc.q_id, chunk_id, bm25, row_number() OVER (PARTITION BY sc.q_id ORDER BY round(bm25, 9) DESC, chunk_id) AS bm25_rank FROM sc JOIN qq ON qq.q_id = sc.q_id WHERE bm25 > 0 QUALIFY bm25_rank <= CASE WHEN for_value THEN 30 ELSE 15 END),
+lex AS (SELECT sc.q_id, chunk_id, bm25, row_number() OVER (PARTITION BY sc.q_id ORDER BY round(bm25, 9) DESC, chunk_id) AS bm25_rank FROM sc JOIN qq ON qq.q_id = sc.q_id WHERE bm25 > 0 AND (ff IS NULL OR sc.folder = ff) QUALIFY bm25_rank <= CASE WHEN for_value THEN 30 ELSE 15 END),
 dlist AS (SELECT q_id, chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY sem_rank NULLS LAST, bm25_rank) AS rank FROM (
   SELECT q_id, chunk_id, sem_rank, NULL AS bm25_rank FROM sem WHERE q_id IN (FROM oq) UNION ALL SELECT q_id, chunk_id, NULL, bm25_rank FROM lex WHERE (q_id, chunk_id) NOT IN (SELECT (q_id, chunk_id) FROM sem))),
 rrf AS (SELECT q_id, chunk_id, sum(w / (60 + rank)) AS score FROM (SELECT q_id, chunk_id, rank, 1.0::DOUBLE AS w FROM dlist UNION ALL SELECT lex.q_id, chunk_id, bm25_rank, CASE WHEN for_value THEN 2.0 ELSE 1.0 END::DOUBLE FROM lex JOIN qq ON qq.q_id = lex.q_id) GROUP BY 1, 2),
-nch AS (SELECT nm.q_id, nm.filename, slots, s.chunk_id, page, chunk_index, row_number() OVER (PARTITION BY nm.q_id, nm.filename ORDER BY round(coalesce(bm25, 0), 9) DESC, s.chunk_id) AS r FROM nm JOIN s ON s.filename = nm.filename LEFT JOIN sc ON sc.q_id = nm.q_id AND sc.chunk_id = s.chunk_id),
-fl AS (SELECT q_id, chunk_id, 2.0::DOUBLE / (60 + r) AS floor, 'named' AS origin FROM nch WHERE r <= slots UNION ALL SELECT q_id, chunk_id, 3.0::DOUBLE / 61, 'summary_of_named' FROM nch WHERE page = 1 AND chunk_index = -1),
+nch AS (SELECT nm.q_id, nm.filename, slots, s.chunk_id, page, chunk_index, row_number() OVER (PARTITION BY nm.q_id, nm.filename ORDER BY round(coalesce(bm25, 0), 9) DESC, s.chunk_id) AS r FROM nm JOIN qq ON qq.q_id = nm.q_id JOIN s ON s.filename = nm.filename AND (ff IS NULL OR s.folder = ff) LEFT JOIN sc ON sc.q_id = nm.q_id AND sc.chunk_id = s.chunk_id),
+sub AS (SELECT DISTINCT q_id, ff, unnest(regexp_extract_all(text, '{T.SUBSYSTEM}', 1)) AS name FROM qq),
+subt AS (SELECT q_id, name, term, count(*) AS qtf FROM (SELECT q_id, name, unnest(regexp_extract_all(lower(name), {WORD})) AS term FROM sub) GROUP BY ALL),
+subsc AS (SELECT q_id, name, chunk_id, any_value(dl.folder) AS folder, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM subt JOIN tm USING (term) JOIN post USING (term) JOIN dl USING (chunk_id), stat GROUP BY 1, 2, 3),
+subtop AS (SELECT x.q_id, x.name, chunk_id, ff FROM subsc x JOIN sub ON sub.q_id = x.q_id AND sub.name = x.name WHERE bm25 > 0 AND (ff IS NULL OR folder = ff) QUALIFY row_number() OVER (PARTITION BY x.q_id, x.name ORDER BY round(bm25, 9) DESC, chunk_id) = 1),
+cmpt AS (SELECT q_id, ff, term, count(*) AS qtf FROM (SELECT q_id, ff, unnest(regexp_extract_all(lower('domain performance digest top performer ' || text), {WORD})) AS term FROM qq WHERE regexp_matches(text, '{_COMPARES}')) GROUP BY ALL),
+cmpsc AS (SELECT q_id, any_value(ff) AS ff, chunk_id, any_value(dl.folder) AS folder, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM cmpt JOIN tm USING (term) JOIN post USING (term) JOIN dl USING (chunk_id), stat GROUP BY q_id, chunk_id),
+cmp AS (SELECT q_id, chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY round(bm25, 9) DESC, chunk_id) AS r FROM cmpsc WHERE bm25 > 0 AND (ff IS NULL OR folder = ff) QUALIFY r <= 15),
+fl AS (SELECT q_id, chunk_id, 2.0::DOUBLE / (60 + r) AS floor, 'named' AS origin FROM nch WHERE r <= slots UNION ALL SELECT q_id, chunk_id, 3.0::DOUBLE / 61, 'summary_of_named' FROM nch WHERE page = 1 AND chunk_index = -1
+  UNION ALL SELECT DISTINCT t.q_id, z.chunk_id, 2.0::DOUBLE / 61, 'subsystem' FROM subtop t JOIN s ON s.chunk_id = t.chunk_id JOIN s z ON z.doc_id = s.doc_id AND z.page = s.page AND z.chunk_index = -1 WHERE ff IS NULL OR z.folder = ff
+  UNION ALL SELECT q_id, chunk_id, 3.0::DOUBLE / (60 + r), 'comparison' FROM cmp),
 raised AS (SELECT coalesce(a.q_id, b.q_id) AS q_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, greatest(coalesce(score, 0), coalesce(floor, 0)) AS score, coalesce(origin, 'ranked') AS origin FROM rrf a FULL JOIN (SELECT q_id, chunk_id, max(floor) AS floor, min(origin) AS origin FROM fl GROUP BY 1, 2) b ON a.q_id = b.q_id AND a.chunk_id = b.chunk_id),
 boosted AS (SELECT r.q_id, r.chunk_id, score * CASE WHEN s.page = 1 AND s.chunk_index = -1 THEN 3.0 ELSE 1.0 END * CASE WHEN for_value AND coalesce(table_id, '') <> '' THEN 1.5 ELSE 1.0 END AS score, origin FROM raised r JOIN s ON s.chunk_id = r.chunk_id JOIN qq ON qq.q_id = r.q_id),
 pool AS (SELECT b.*, s.content, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 12) DESC, b.chunk_id) AS r FROM boosted b JOIN s ON s.chunk_id = b.chunk_id),
@@ -135,8 +152,8 @@ def bm25_topk(spark, d):
 def bm25_in_folder(spark, d):
     """The same within the question's folder."""
     q = questions(spark, d).select("q_id", "text", F.col("folder").alias("folder_filter"))
-    s = bm25.score(_index(spark, d), q.select("q_id", "text"))
-    return bm25.top_k(s, 15, questions=q).select("q_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "bm25_rank")
+    s = bm25.score(_index(spark, d), q.select("q_id", "text", "folder_filter"))
+    return bm25.top_k(s, 15).select("q_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "bm25_rank")
 
 
 @query(CHAIN + "SELECT chunk_id, count(*) AS terms, sum(tf)::BIGINT AS tf FROM post WHERE NOT (chunk_id IN (SELECT chunk_id FROM s WHERE doc_id IN (SELECT doc_id FROM incoming))) GROUP BY 1")
@@ -183,8 +200,8 @@ def rrf_hybrid(spark, d):
 
 @query(CHAIN + "SELECT q_id, chunk_id, round(floor, 9) AS floor, origin FROM fl")
 def named_injection(spark, d):
-    """Chunks of named documents with their least scores."""
-    return _stages(spark, d, "floors")["floors"].where("origin in ('named', 'summary_of_named')").select("q_id", "chunk_id", F.round("floor", 9).alias("floor"), "origin")
+    """Least scores of the chunks of named documents, named subsystems and comparisons."""
+    return _stages(spark, d, "floors")["floors"].select("q_id", "chunk_id", F.round("floor", 9).alias("floor"), "origin")
 
 
 @query(CHAIN + "SELECT q_id, chunk_id, round(score, 9) AS score, origin FROM boosted")
@@ -217,6 +234,37 @@ def context_blocks(spark, d):
     return _stages(spark, d)["blocks"].select("q_id", "pos", "chunk_id", F.size("neighbours").cast("bigint").alias("neighbours"), F.md5("block").alias("block_md5"))
 
 
+IN_FOLDERS = CHAIN.replace("NULL::VARCHAR AS ff", "CASE WHEN i.vec_id % 100 = 50 THEN s.folder END AS ff")
+
+
+@query(IN_FOLDERS + "SELECT q_id, chunk_id, round(distance, 6) AS distance, sem_rank FROM sem")
+def dense_in_folder(spark, d):
+    """The nearest chunks, for half of the questions within their folder."""
+    return dense.top_k(questions_in_folders(spark, d), vectors(spark, d)).select("q_id", "chunk_id", F.round("distance", 6).alias("distance"), "sem_rank")
+
+
+@query(IN_FOLDERS + "SELECT q_id, pos, chunk_id, origin FROM ctx")
+def folder_context(spark, d):
+    """Chosen chunks where half of the questions are kept to their folder: no list leads out of it (F1, F2)."""
+    return _stages(spark, d, "context", questions_in_folders)["context"].select("q_id", "pos", "chunk_id", "origin")
+
+
+@query("""WITH s AS (SELECT DISTINCT * FROM store), h AS (SELECT doc_id, arg_min({'f': filename, 'o': folder}, (page, chunk_index, chunk_id)) AS h FROM s WHERE chunk_index IN (-1, 0) GROUP BY 1),
+l AS (SELECT doc_id, h.f AS filename, coalesce(h.o, 'General') AS folder, row_number() OVER (PARTITION BY coalesce(h.o, 'General') ORDER BY lower(h.f), doc_id) AS r, row_number() OVER (ORDER BY lower(h.f), doc_id) AS ra FROM h),
+c AS (SELECT doc_id, chunk_id, filename, page, content, chunk_index >= 0 AS body, row_number() OVER (PARTITION BY doc_id, chunk_index >= 0 ORDER BY chunk_index, chunk_id) AS n, bool_or(chunk_index >= 0) OVER (PARTITION BY doc_id) AS any_body FROM s WHERE page = 1 AND coalesce(chunk_type, '') <> 'image' AND trim(coalesce(content, '')) <> ''),
+f AS (SELECT * FROM c WHERE CASE WHEN any_body THEN body AND n <= 3 ELSE n <= 2 END),
+q AS (SELECT DISTINCT folder AS want FROM documents),
+w AS (SELECT want, l.doc_id, CASE WHEN want IS NULL THEN ra ELSE r END AS r FROM q JOIN l ON CASE WHEN want IS NULL THEN ra <= 15 ELSE l.folder = want AND r <= 15 END)
+SELECT coalesce(want, '') AS folder, row_number() OVER (PARTITION BY want ORDER BY r, n) AS pos, chunk_id, md5('[' || filename || ', page ' || page || chr(93) || chr(10) || content) AS block_md5 FROM w JOIN f ON f.doc_id = w.doc_id""")
+def catalog_context(spark, d):
+    """What a question for the list of all documents gets, for each folder that documents use and for none (F19, K6): through the pipeline's own route."""
+    f = table(spark, d, "documents").select(F.col("folder").alias("folder_filter")).distinct()
+    q = f.select(F.xxhash64(F.coalesce("folder_filter", F.lit(""))).alias("q_id"), F.lit("Show a table of all documents with their revisions").alias("text"), "folder_filter")
+    q = materialize(q.withColumn("vec", F.lit(None).cast("array<float>")).withColumn("self_id", F.lit("")), "asked")
+    s = retrieval.stages(q, materialize(chunks(spark, d), "chunks"), _index(spark, d), vectors(spark, d))["blocks"]
+    return s.join(q, "q_id").select(F.coalesce("folder_filter", F.lit("")).alias("folder"), "pos", "chunk_id", F.md5("block").alias("block_md5"))
+
+
 @query(CHAIN + "SELECT q_id, c.doc_id, filename, array_to_string(pages, ',') AS pages, page, figures, c.doc_id IN (SELECT doc_id FROM seen WHERE doc_id IS NOT NULL) AS has_original, row_number() OVER (PARTITION BY q_id ORDER BY first) AS cited FROM cit c")
 def citations(spark, d):
     """Sources in the order they were first cited."""

@@ -8,6 +8,7 @@ is a folder of our own set; on a cluster a missing setting is an error.
 
 from __future__ import annotations
 
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -44,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_state(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A name for the present state of a table: its path, and the names, sizes and times of its files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [str(fs.resolvePath(path))] + sorted(f"{x.getPath().getName()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(path))
+    return hashlib.md5("\n".join(found).encode()).hexdigest()[:16]
+
+
 def body_without_title(content):
     """Chunk text after its leading ``[title] ``."""
     return F.regexp_replace(content, r"^\[[^\]\n]*\] ", "")
