@@ -31,6 +31,8 @@ class Index:
     postings: DataFrame
     doclen: DataFrame
     stemmed: bool = False
+    #: ``terms()`` as stored; a changed index has none and works it out.
+    known: DataFrame | None = None
 
     def statistics(self) -> DataFrame:
         """One row: number of chunks and their mean length."""
@@ -38,6 +40,8 @@ class Index:
 
     def terms(self) -> DataFrame:
         """``(term, n, idf)`` of every term of the index."""
+        if self.known is not None:
+            return self.known
         df = self.postings.groupBy("term").agg(F.count("*").alias("n"))
         size = self.doclen.agg(F.count("*").alias("n_docs"))
         raw = df.crossJoin(F.broadcast(size)).withColumn("raw", F.log(F.col("n_docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))  # one row
@@ -139,6 +143,7 @@ def save(index: Index, path: str) -> None:
     name = f"v{VERSION}-{uuid.uuid4().hex[:12]}"
     index.postings.repartition("chunk_id").sortWithinPartitions("term").write.parquet(f"{path}/{name}/postings")
     index.doclen.write.parquet(f"{path}/{name}/doclen")
+    Index(spark.read.parquet(f"{path}/{name}/postings"), spark.read.parquet(f"{path}/{name}/doclen")).terms().write.parquet(f"{path}/{name}/terms")
     spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(index.stemmed).alias("stemmed"), F.lit(name).alias("name")).coalesce(1).write.parquet(f"{path}/{name}/meta")
     # Names of versions that are whole; the largest number is the current one.
     number = 1 + max([n for n, _ in _versions(spark, path)], default=0)
@@ -169,7 +174,7 @@ def load(spark: SparkSession, path: str) -> Index | None:
         return None
     at = f"{path}/{name}"
     meta = spark.read.parquet(f"{at}/meta").first()
-    return Index(spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/doclen"), meta.stemmed)
+    return Index(spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/doclen"), meta.stemmed, spark.read.parquet(f"{at}/terms"))
 
 
 def load_or_build(spark: SparkSession, path: str, chunks: DataFrame, *, use_stem: bool = True) -> Index:

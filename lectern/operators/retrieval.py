@@ -250,7 +250,8 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     """
     from . import bm25, corpus, dense
 
-    if "folder_filter" not in questions.columns:
+    filtered = "folder_filter" in questions.columns
+    if not filtered:
         questions = questions.withColumn("folder_filter", F.lit(None).cast("string"))
     if conversation is not None:
         questions = augmented(questions, conversation)
@@ -259,7 +260,7 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     listed = materialize(corpus.catalog_context(questions.where(text.is_catalog_question(F.col("text"))), chunks), "catalog")
     questions = questions.join(listed.select("q_id").distinct(), "q_id", "left_anti")
     # Stages that several later ones read are written once; each has a bounded number of rows a question.
-    sem = materialize(dense.top_k(questions, vectors, k=k, dim=dim), "dense")
+    sem = materialize(dense.top_k(questions if filtered else questions.drop("folder_filter"), vectors, k=k, dim=dim), "dense")
     named = named_documents(questions, chunks)
     q = questions.join(open_questions(sem, named), "q_id", "left_semi")
     q = q.select("q_id", "text", "folder_filter").withColumn("for_value", text.is_value_question(F.col("text")))
@@ -268,12 +269,9 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     mine = bm25.in_folder(named.join(chunks.select("filename", "chunk_id"), "filename").select("q_id", "chunk_id"), q, chunks).withColumn("of_named", F.lit(True))
     scored = bm25.score(index, q.select("q_id", "text", "folder_filter"))
     r = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id"))
-    every = scored.where("bm25 > 0").withColumn("bm25_rank", r).where(F.col("bm25_rank") <= 2 * k).select("q_id", "chunk_id", "bm25", "bm25_rank")
-    if until not in ("rrf",):
-        theirs = scored.join(mine, ["q_id", "chunk_id"], "left_semi").select("q_id", "chunk_id", "bm25", F.lit(None).cast("int").alias("bm25_rank"))
-        every = every.unionByName(theirs)
+    every = scored.join(mine, ["q_id", "chunk_id"], "left").withColumn("bm25_rank", r).where((F.col("bm25") > 0) & (F.col("bm25_rank") <= 2 * k) | F.col("of_named"))
     every = materialize(every, "scores")
-    best = every.where("bm25_rank is not null").join(q.select("q_id", "for_value"), "q_id")
+    best = every.where("bm25 > 0").join(q.select("q_id", "for_value"), "q_id")
     lexical = best.where(F.col("bm25_rank") <= F.when(F.col("for_value"), 2 * k).otherwise(k)).select("q_id", "chunk_id", "bm25", "bm25_rank")
     # Keyword hits that the dense list lacks stand behind it, in their own order.
     near = sem.join(q.select("q_id"), "q_id", "left_semi").select("q_id", "chunk_id", "sem_rank", F.lit(None).cast("int").alias("bm25_rank"))
@@ -285,7 +283,7 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     out = {"dense": sem, "named": named, "lexical": lexical, "rrf": scores, "catalog": listed}
     if until == "rrf":
         return out
-    floors = inject_named(named, chunks, every.where("bm25_rank is null"), q).unionByName(inject_subsystems(q, chunks, lambda n: bm25.top_k(bm25.score(index, n), 1, most=1)))
+    floors = inject_named(named, chunks, every.where("of_named"), q).unionByName(inject_subsystems(q, chunks, lambda n: bm25.top_k(bm25.score(index, n), 1, most=1)))
     digest = q.where(text.is_comparison(F.col("text"))).select("q_id", F.concat(F.lit("domain performance digest top performer "), "text").alias("text"), "folder_filter")
     floors = floors.unionByName(inject_comparison(bm25.top_k(bm25.score(index, digest), k).select("q_id", "chunk_id", F.col("bm25_rank").alias("rank"))))
     out["floors"] = floors = bm25.in_folder(floors, q, chunks)

@@ -51,8 +51,11 @@ def questions_in_folders(spark, d):
 
 
 def vectors(spark, d):
-    v = table(spark, d, "ingest").select("chunk_id", F.col("embeddings").alias("vec"))
-    return v.join(chunks(spark, d).select("chunk_id", "folder"), "chunk_id", "left")
+    return table(spark, d, "ingest").select("chunk_id", F.col("embeddings").alias("vec"))
+
+
+def vectors_in_folders(spark, d):
+    return vectors(spark, d).join(chunks(spark, d).select("chunk_id", "folder"), "chunk_id", "left")
 
 
 def overlap(q, t):
@@ -65,7 +68,7 @@ def _index(spark, d):
     return bm25.load_or_build(spark, f"{shared_dir(spark)}/lectern/index-{table_state(spark, d, 'store')}", chunks(spark, d), use_stem=False)
 
 
-def _stages(spark, d, until="prompts", asked=questions):
+def _stages(spark, d, until="prompts", asked=questions, vectors=vectors):
     return retrieval.stages(materialize(asked(spark, d), "asked"), materialize(chunks(spark, d), "chunks"), _index(spark, d), vectors(spark, d), reranker=overlap, originals=table(spark, d, "seen"), until=until)
 
 
@@ -240,13 +243,13 @@ IN_FOLDERS = CHAIN.replace("NULL::VARCHAR AS ff", "CASE WHEN i.vec_id % 100 = 50
 @query(IN_FOLDERS + "SELECT q_id, chunk_id, round(distance, 6) AS distance, sem_rank FROM sem")
 def dense_in_folder(spark, d):
     """The nearest chunks, for half of the questions within their folder."""
-    return dense.top_k(questions_in_folders(spark, d), vectors(spark, d)).select("q_id", "chunk_id", F.round("distance", 6).alias("distance"), "sem_rank")
+    return dense.top_k(questions_in_folders(spark, d), vectors_in_folders(spark, d)).select("q_id", "chunk_id", F.round("distance", 6).alias("distance"), "sem_rank")
 
 
 @query(IN_FOLDERS + "SELECT q_id, pos, chunk_id, origin FROM ctx")
 def folder_context(spark, d):
     """Chosen chunks where half of the questions are kept to their folder: no list leads out of it (F1, F2)."""
-    return _stages(spark, d, "context", questions_in_folders)["context"].select("q_id", "pos", "chunk_id", "origin")
+    return _stages(spark, d, "context", questions_in_folders, vectors_in_folders)["context"].select("q_id", "pos", "chunk_id", "origin")
 
 
 @query("""WITH s AS (SELECT DISTINCT * FROM store), h AS (SELECT doc_id, arg_min({'f': filename, 'o': folder}, (page, chunk_index, chunk_id)) AS h FROM s WHERE chunk_index IN (-1, 0) GROUP BY 1),
@@ -261,7 +264,7 @@ def catalog_context(spark, d):
     f = table(spark, d, "documents").select(F.col("folder").alias("folder_filter")).distinct()
     q = f.select(F.xxhash64(F.coalesce("folder_filter", F.lit(""))).alias("q_id"), F.lit("Show a table of all documents with their revisions").alias("text"), "folder_filter")
     q = materialize(q.withColumn("vec", F.lit(None).cast("array<float>")).withColumn("self_id", F.lit("")), "asked")
-    s = retrieval.stages(q, materialize(chunks(spark, d), "chunks"), _index(spark, d), vectors(spark, d))["blocks"]
+    s = retrieval.stages(q, materialize(chunks(spark, d), "chunks"), _index(spark, d), vectors_in_folders(spark, d))["blocks"]
     return s.join(q, "q_id").select(F.coalesce("folder_filter", F.lit("")).alias("folder"), "pos", "chunk_id", F.md5("block").alias("block_md5"))
 
 
