@@ -155,6 +155,16 @@ class Corpus:
         old = self.chunks()
         self._rewrite(upsert(without_text_of(old, new), new), new)
 
+    def append_new(self, new: DataFrame) -> None:
+        """Append the chunks of documents that aren't there yet; of what is there only their buckets are read."""
+        new = self._bucketed(new)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+            there = self.spark.read.parquet(self.path).where(F.col("bucket").isin(touched)).select("doc_id").distinct()
+            new = new.join(there, "doc_id", "left_anti")
+        new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
+
     def delete_documents(self, docs: DataFrame) -> None:
         self._rewrite(without_documents(self.chunks(), docs), docs)
 

@@ -1,13 +1,14 @@
 """Directory ingest as a stream: micro-batches, a manifest, a breaker for dead mounts.
 
-Every micro-batch extracts its files, writes the chunks of new documents and records the
+Every micro-batch extracts its files, appends the chunks of new documents and records the
 files; the checkpoint and the manifest make a restart go on where it stopped. Files whose
-state the manifest knows are passed over, and bytes that were seen under another name
-have the same document id, so they are written once.
+path, size and time the manifest has are passed over before they are read, and bytes that
+were seen under another name have the same document id, so they are written once. Of the
+corpus a batch reads the buckets of its own documents only, and rewrites none.
 
 Defined results: a file that can't be parsed is recorded as ``error`` and stops nothing;
-one without text as ``empty``; more than ``most_errors`` unreadable files in one batch
-stop the stream.
+one without text as ``empty``; more than ``most_errors`` unreadable files one after the
+other (by path, from batch to batch) stop the stream; a batch that is replayed is done anew.
 """
 
 from __future__ import annotations
@@ -49,29 +50,28 @@ class Ingest:
 
     def __init__(self, spark: SparkSession, source: str, target: str, *, flush: int = FLUSH, most_errors: int = MOST_ERRORS):
         self.spark, self.source, self.target, self.flush, self.most_errors = spark, source, target, flush, most_errors
-        self.corpus = corpus.Corpus(spark, f"{target}/chunks")
+        self.corpus, self.failing = corpus.Corpus(spark, f"{target}/chunks"), 0
 
     def manifest(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.target}/manifest")
 
     def _batch(self, batch: DataFrame, number: int) -> None:
+        batch = batch.withColumnsRenamed({"length": "size", "modificationTime": "mtime"})
+        if self._exists(f"{self.target}/manifest"):
+            # What this batch recorded before a failure doesn't count.
+            known = self.manifest().where(F.col("batch") != number).select("path", "size", "mtime").distinct()
+            batch = batch.join(known, ["path", "size", "mtime"], "left_anti")
         if batch.isEmpty():
             return
         chunks, state = chunks_of(batch)
-        state = state.join(batch.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")), "path").withColumn("batch", F.lit(number))
-        exists = self._exists(f"{self.target}/chunks")
-        if exists:
-            chunks = chunks.join(self.corpus.chunks().select("doc_id").distinct(), "doc_id", "left_anti")
-        chunks = materialize(chunks, "batch")
-        # A replay of the batch after a failure overwrites its own part of the manifest.
-        if exists:
-            if not chunks.isEmpty():
-                self.corpus.write_documents(chunks)
-        else:
-            self.corpus.create(chunks)
+        state = materialize(state.join(batch.select("path", "size", "mtime"), "path"), "state")
+        self.corpus.append_new(materialize(chunks, "batch"))
         state.write.mode("overwrite").parquet(f"{self.target}/manifest/batch={number}")
-        if state.where("status = 'error'").count() > self.most_errors:
-            raise Unreachable(f"more than {self.most_errors} unreadable files in batch {number}")
+        # One word for each file of the batch, at most ``flush``.
+        for r in state.select("path", "status").orderBy("path").collect():
+            self.failing = self.failing + 1 if r.status == "error" else 0
+            if self.failing > self.most_errors:
+                raise Unreachable(f"more than {self.most_errors} unreadable files one after the other, up to batch {number}")
 
     def _exists(self, path: str) -> bool:
         jvm = self.spark._jvm

@@ -74,3 +74,26 @@ def test_deletes_are_null_safe(spark):
     d = spark.createDataFrame([("d",), (None,)], "doc_id string")
     assert {r.chunk_id for r in corpus.without_text_of(c, d).collect()} == {"2", "3", "4"}
     assert {r.chunk_id for r in corpus.without_documents(c, d).collect()} == {"3", "4"}
+
+
+def test_stream_passes_over_known_and_breaks(spark, tmp_path):
+    src, out = tmp_path / "in", f"file://{tmp_path}/out"
+    tree(src, {"a.txt": b"first text", "b.txt": b"other text"})
+    job = ingest.Ingest(spark, f"file://{src}", out)
+    job.start().awaitTermination()
+    files_before = {p.name for p in (tmp_path / "out/chunks").rglob("*.parquet")}
+    # A stream without its checkpoint sees the files again; the manifest knows them, so nothing is written.
+    again = ingest.Ingest(spark, f"file://{src}", out)
+    seen = spark.read.format("binaryFile").schema(ingest.FILES).load(f"file://{src}")
+    again._batch(seen, 7)
+    assert {p.name for p in (tmp_path / "out/chunks").rglob("*.parquet")} == files_before and not (tmp_path / "out/manifest/batch=7").exists()
+    # New documents are appended, files of others stay as they are.
+    tree(src, {"c.txt": b"third text"})
+    job.start().awaitTermination()
+    assert files_before < {p.name for p in (tmp_path / "out/chunks").rglob("*.parquet")} and job.corpus.chunks().select("doc_id").distinct().count() == 3
+    bad = tmp_path / "bad"
+    tree(bad, {f"{i}.docx": b"no zip %d" % i for i in range(4)} | {"1a.txt": b"fine"})
+    frame = spark.read.format("binaryFile").schema(ingest.FILES).load(f"file://{bad}")
+    ingest.Ingest(spark, f"file://{bad}", f"{out}2", most_errors=2)._batch(frame, 0)
+    with pytest.raises(ingest.Unreachable):
+        ingest.Ingest(spark, f"file://{bad}", f"{out}3", most_errors=1)._batch(frame, 0)

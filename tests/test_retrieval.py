@@ -116,3 +116,21 @@ def test_answers(spark):
     q = spark.createDataFrame([(1, "more"), (2, "new")], "q_id long, text string")
     assert {r.q_id: r.text for r in retrieval.augmented(q, conv).collect()} == {1: "last more", 2: "new"}
     assert [r.text for r in retrieval.variants(q, lambda t: F.lit("a\n\nb\nc\nd")).where("q_id = 1").orderBy("variant").collect()] == ["more", "a", "b", "c"]
+
+
+def test_index_is_stored_in_whole_versions(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    one = spark.createDataFrame([("d_1_0", "f.txt", "A", "pump seal")], "chunk_id string, filename string, folder string, content string")
+    two = one.unionAll(spark.createDataFrame([("e_1_0", "g.txt", "B", "pump valve pump")], one.schema))
+    bm25.save(bm25.build(one), path)
+    before = bm25.load(spark, path)
+    assert before.stemmed and before.doclen.count() == 1
+    # A version that was begun and never finished is not read.
+    bm25.build(two).postings.write.parquet(f"{path}/v{bm25.VERSION}-unfinished/postings")
+    assert bm25.load(spark, path).doclen.count() == 1
+    bm25.save(bm25.build(two), path)
+    now = bm25.load(spark, path)
+    assert now.doclen.count() == 2 and {(r.term, r.n) for r in now.terms().collect()} == {(r.term, r.n) for r in bm25.build(two).terms().collect()}
+    assert {r.dl for r in now.postings.where("chunk_id = 'e_1_0'").collect()} == {5}
+    q = spark.createDataFrame([(1, "pump", "A"), (2, "pump", None), (3, "pump", "none")], "q_id long, text string, folder_filter string")
+    assert {(r.q_id, r.chunk_id) for r in bm25.score(now, q).collect()} == {(1, "d_1_0"), (2, "d_1_0"), (2, "e_1_0")}
