@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 REFUSAL = "not in the ingested documents"
 
 
@@ -53,6 +55,16 @@ def previous_user_turn(conversations: DataFrame, *, by="conv_id", order=("turn",
     return conversations.withColumn("previous_user", F.last(F.when(F.col(role) == "user", F.col(content)), ignorenulls=True).over(w))
 
 
+def placed(df: DataFrame, *order) -> DataFrame:
+    """``df`` with its ``place`` in an order of all rows: ranges are sorted by themselves, and counts of the ranges before are added."""
+    at = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    n = at.groupBy("_p").agg(F.count("*").alias("_n"))
+    # One row for each range.
+    before = n.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return at.join(F.broadcast(before), "_p").withColumn("place", F.col("_before") + inside).drop("_p", "_before")
+
+
 def report_rows(stats: DataFrame, name: str) -> DataFrame:
     """Markdown rows of run statistics, by total."""
     row = F.format_string("| %s | %.2f | %.2f | %.1f | %.0f%% |", F.col(name).cast("string"), F.col("ttft"), F.col("total"), F.col("tok_s"), F.col("refusal_rate") * 100)

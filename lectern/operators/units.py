@@ -119,7 +119,7 @@ def readings(chunks: DataFrame, quantities: DataFrame, *, key: str = "chunk_id",
     backward = rf"{_NUM}\s*(?:(?:{scale})\s+)?(?:{unit})\s+of\s+(?:{name})\b|{_NUM}\s*(?:(?:{scale})\s+)?(?:{unit})\s*\(\s*(?:{name})\s*\)"
     heads = sorted({re.split(r"[\s-]", n.lower())[-1] for n in names})
 
-    src = chunks.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).dropDuplicates(["k"])
+    src = chunks.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
     lowered = F.lower("t")
     src = src.where(reduce(lambda a, b: a | b, [lowered.contains(h) for h in heads]))
     # Words divided at a line end are joined first; a hyphen of their own is optional in the patterns.
@@ -147,7 +147,7 @@ def readings(chunks: DataFrame, quantities: DataFrame, *, key: str = "chunk_id",
     )
     lines = tables.select("k", F.split("tab", "\n").alias("l"))
     cells = lambda c: F.split(F.regexp_replace(F.trim(c), r"^\||\|$", ""), r"\|")
-    rows = lines.select("k", cells(F.col("l")[0]).alias("head"), F.explode(F.slice("l", 3, 1_000_000)).alias("row")).where("row <> ''")
+    rows = lines.select("k", cells(F.col("l")[0]).alias("head"), F.explode(F.slice("l", F.lit(3), F.size("l"))).alias("row")).where("row <> ''")
     cell = rows.select("k", F.explode(F.arrays_zip("head", cells(F.col("row")).alias("val"))).alias("c")).select("k", F.col("c.head").alias("h"), F.trim(F.col("c.val")).alias("v"))
     cell = cell.where(F.col("h").rlike(rf"(?i)^\s*(?:{name})\s*{named_unit}\s*$") & F.col("v").rlike(rf"^{_NUM}$"))
     rest = F.regexp_replace("h", rf"(?i)^\s*(?:{name})", " ¦ ")

@@ -583,8 +583,7 @@ def benchmark_report(spark, d):
     """Groups of runs in the order of a report."""
     e = table(spark, d, "events").select("user_id", F.col("value").alias("ttft"), (F.col("value") * 2).alias("total"), F.col("value").alias("tok_s"), (F.col("event_type") == "error").alias("refused"))
     r = answers.run_statistics(e, ["user_id"])
-    # A report of one row for each group of runs.
-    return r.select("user_id", F.row_number().over(Window.orderBy(F.round("total", 6), "user_id")).alias("place"))
+    return answers.placed(r, F.round("total", 6), "user_id").select("user_id", "place")
 
 
 @query("SELECT status, files, total_bytes, row_number() OVER (ORDER BY files DESC, status) AS place FROM (SELECT coalesce(status, 'none') AS status, count(*) AS files, sum(size)::BIGINT AS total_bytes FROM seen GROUP BY 1)")
