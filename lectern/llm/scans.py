@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_WORDS = 200_000
+#: Into so many parts the pages of a document are spread where they meet its headers.
+SPREAD = 32
 
 #: Fixed values: (right, misread) of similar shape, one character or pair for another.
 SHAPES = frozenset(
@@ -124,11 +126,11 @@ class Reader:
         return c[0][0] if c else None
 
     def _whole(self, *pieces: str) -> str | None:
-        a, low = pieces[0], [p.lower() for p in pieces]
+        low = [p.lower() for p in pieces]
         for glue in ("", "-"):
             if glue.join(low) in self.words:
                 return glue.join(low)
-        return None if a else None
+        return None
 
     def divided(self, text: str):
         """(start, end, whole word) of divided words."""
@@ -232,7 +234,10 @@ def headers(store: DataFrame, pages: int = 3) -> DataFrame:
     first = store.where("chunk_index >= 0 and chunk_type is null and doc_id is not null").select("chunk_id", "doc_id", "page", raw.alias("header"), F.xxhash64(F.regexp_replace(line, r"\d+", "0")).alias("k"))
     first = first.where((F.col("header") != "") & ~F.col("header").rlike("(?i)" + PAGE_NUMBER))
     often = first.select("doc_id", "k", "page").distinct().groupBy("doc_id", "k").agg(F.count("page").alias("n")).where(F.col("n") >= pages)
-    return first.join(often, ["doc_id", "k"]).select("chunk_id", "header").distinct()
+    # A document's pages are spread, its few headers repeated for each part of them.
+    first = first.withColumn("s", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD)))
+    often = often.select("doc_id", "k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))).alias("s"))
+    return first.join(often, ["doc_id", "k", "s"]).select("chunk_id", "header").distinct()
 
 
 def _defects(words):
