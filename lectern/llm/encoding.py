@@ -9,7 +9,9 @@ Pairs of two one-byte encodings garble one character into another one, so no seq
 itself tells. For these the unit is the blank-separated word: all words with characters
 beyond ASCII are counted over all documents, each one's possible originals come from the
 precomputed character maps, and a word is garbled if an original is far more frequent in
-the documents than it. Such words are joined back to their documents by Spark.
+the documents than it, or plain where it is oddly spelt and not far more frequent itself.
+Where no word of a text is so sure, several that are half as frequent again in their original form tell
+together. Such words are joined back to their documents by Spark.
 
 Defined results: null and empty texts are no findings; a text with the replacement
 character, or with the beginning of a garbled sequence whose rest is missing, has lost
@@ -168,11 +170,19 @@ def _core(word):
     return F.regexp_replace(word, r"^[\x00-/:-@\[-`{-~]+|[\x00-/:-@\[-`{-~]+$", "")
 
 
+def _odd(word):
+    """Whether a word is spelt as in no language: a sign among letters, a capital behind a small letter, two scripts side by side, or Latin letters none of which is ASCII."""
+    sign = r"[^\x00-\x7f\p{L}\p{M}‘’“”„‚«»‹›‐‑–—―…·•]"
+    mixed = rf"\p{{L}}{sign}|{sign}\p{{L}}|[\p{{Ll}}&&[^a-z]]\p{{Lu}}|\p{{Ll}}[\p{{Lu}}&&[^A-Z]]|\p{{IsLatin}}[\p{{IsCyrillic}}\p{{IsGreek}}]|[\p{{IsCyrillic}}\p{{IsGreek}}]\p{{IsLatin}}"
+    return word.rlike(mixed) | word.rlike(r"^[^A-Za-z]*(?:[\p{IsLatin}&&[^A-Za-z]][^A-Za-z]*){3}$")
+
+
 def restored(docs: DataFrame, *, id_col="doc_id", text_col="text", ratio=4, least=3) -> DataFrame:
     """``(id, fixed, lost)`` of the documents that hold wrongly decoded characters.
 
     ``ratio``: so many times as often as a garbled word its original must occur in all
-    documents, and ``least`` times at least.
+    documents, and ``least`` times at least; an oddly spelt word may occur ``ratio * ratio``
+    times as often as its original.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").where(F.col("text").rlike(r"[^\x00-\x7f]")).dropDuplicates(["id"])
     # Written once, as its words are read several times.
@@ -185,13 +195,25 @@ def restored(docs: DataFrame, *, id_col="doc_id", text_col="text", ratio=4, leas
     pairs = counts.mapInPandas(_originals, "word string, n bigint, pair int, original string")
     known = counts.select(F.col("word").alias("original"), F.col("n").alias("known"))
     bad = pairs.join(known, "original", "left").withColumn("known", F.coalesce("known", F.lit(0)))
-    bad = bad.withColumn("sure", (F.col("known") >= least) & (F.col("known") >= ratio * F.col("n")))
+    # An oddly spelt word with a plain original may be frequent itself, as where a whole source is garbled.
+    has, odd = F.col("known") >= least, _odd(F.col("word")) & ~_odd(F.col("original"))
+    sure = has & ((F.col("known") >= ratio * F.col("n")) | (odd & (ratio * ratio * F.col("known") >= F.col("n"))))
+    letters = F.col("word").rlike(r"[\p{L}\p{N}]")
+    undone = _odd(F.col("original")) & ~_odd(F.col("word"))
+    leans, against = has & (2 * F.col("known") >= 3 * F.col("n")) & letters & ~undone, (F.col("n") >= least) & ((F.col("n") > F.col("known")) | undone) & letters
+    bad = bad.select("word", "pair", "original", "n", "known", sure.alias("sure"), (sure & letters).alias("speaks"), leans.alias("leans"), against.alias("against"))
+    bad = materialize(bad, "originals")
+    seen = parts.join(bad.where(F.col("sure") | F.col("leans") | (F.col("n") < least) | (has & (ratio * F.col("known") >= F.col("n")))), "word")
+    votes = seen.groupBy("id", "pair").agg(F.count_if("speaks").alias("votes"), F.count_if("leans").alias("leaning"), F.sum(F.when(F.col("sure"), F.col("known")).otherwise(0)).alias("weight"))
+    votes = materialize(votes.where((F.col("votes") > 0) | (F.col("leaning") >= least)), "votes")
+    # Where no word is sure, several that lean to their originals tell together, if hardly one of the text leans back.
+    mild = votes.where(F.col("votes") == 0)
+    back = parts.join(mild.select("id", "pair"), "id").join(bad.where("against").select("word", "pair"), ["word", "pair"]).groupBy("id", "pair").agg(F.count("*").alias("back"))
+    mild = mild.join(back, ["id", "pair"], "left").where(F.col("leaning") >= 4 * F.coalesce("back", F.lit(0))).drop("back")
+    votes = votes.where("votes > 0").unionByName(mild)
     # Of a text's pairs of encodings the one that most of its words speak for. A mark alone (no letter, no digit) doesn't.
-    seen = parts.join(bad.where(F.col("sure") | (F.col("n") < least)), "word")
-    speaks = F.col("sure") & F.col("word").rlike(r"[\p{L}\p{N}]")
-    votes = seen.groupBy("id", "pair").agg(F.count_if(speaks).alias("votes"), F.sum(F.when(F.col("sure"), F.col("known")).otherwise(0)).alias("weight")).where("votes > 0")
-    votes = votes.groupBy("id").agg(F.max(F.struct("votes", "weight", (-F.col("pair")).alias("p"))).alias("v")).select("id", (-F.col("v.p")).alias("pair"), "v.votes")
-    mine = seen.join(votes, ["id", "pair"]).where(F.col("sure") | (F.col("votes") >= 3))
+    votes = votes.groupBy("id").agg(F.max(F.struct("votes", "weight", "leaning", (-F.col("pair")).alias("p"))).alias("v")).select("id", (-F.col("v.p")).alias("pair"), "v.votes")
+    mine = seen.join(votes, ["id", "pair"]).where(F.col("sure") | (F.col("votes") >= 3) | (F.col("votes") == 0))
     hits = mine.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "original"))).alias("words"))
     all_ = multi.join(hits, "id", "left").where((F.col("spans") > 0) | F.col("lost") | F.col("words").isNotNull())
     # Whole blank-separated words are replaced, marks at their ends kept.

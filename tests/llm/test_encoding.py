@@ -41,3 +41,17 @@ def test_lost_rest(wrong):
     bad = E._decode("L’étrier – «fermé» était à côté…".encode(), wrong)
     cut = E._decode("…".encode(), wrong)[:2]
     assert not E.repair(bad)[2] and E.repair(bad + " et " + cut + " fin")[2]
+
+
+@pytest.mark.parametrize("true,wrong,share,text", [("cp1250", "cp1252", 0.34, PL), ("cp1250", "cp1252", 0.6, PL), ("cp1251", "cp1252", 0.5, RU), ("cp1252", "mac_roman", 0.5, "Die Dichtung für die Öffnung wurde überprüft, Größe geändert"), ("cp1252", "cp1250", 0.34, "La pièce est très usée, même après le contrôle à la chaîne")])
+def test_large_share_of_a_source(spark, true, wrong, share, text):
+    bad = text.encode(true).decode(wrong)
+    n = round(share * 50)
+    df = spark.createDataFrame([(i, f"{bad if i < n else text} {i}") for i in range(50)], "doc_id long, text string")
+    got = {r.id: r.fixed for r in E.restored(df).collect()}
+    assert got == {i: f"{text} {i}" for i in range(n)}
+
+
+def test_signs_beside_letters_stay(spark):
+    rows = ["50 cm³ at 20°C", "12 kΩ ±5 %", "3µm", "Nº 7 / ŽĎÁR", "x² + y²"] * 8
+    assert E.found(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).count() == 0
