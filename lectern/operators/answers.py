@@ -49,6 +49,11 @@ def newest_sessions(conversations: DataFrame, most: int = 200, *, by="conv_id",
     return first.orderBy(F.desc("first_seen"), F.desc(by)).limit(most)
 
 
+def live(rows: DataFrame, now: Column, *, at: str = "created_at", seconds: int = 7200) -> DataFrame:
+    """Rows begun at most ``seconds`` before ``now``; those without a time go."""
+    return rows.where(F.col(at) >= now - F.make_dt_interval(secs=F.lit(seconds)))
+
+
 def previous_user_turn(conversations: DataFrame, *, by="conv_id", order=("turn",), role="role", content="text") -> DataFrame:
     """Each message with the user message before it."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -183,3 +183,9 @@ def load_or_build(spark: SparkSession, path: str, chunks: DataFrame, *, use_stem
         save(build(chunks, use_stem=use_stem), path)
         found = load(spark, path)
     return found
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Delete the stored index with all its versions; none there is no error."""
+    p, fs = _file(spark, path)
+    fs.delete(p, True)

@@ -121,6 +121,23 @@ def deleted_counts(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id").where("doc_id is not null").distinct().join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("deleted"))
 
 
+#: Fixed value: what stands for a figure's text until it is read.
+PENDING = "(uncaptioned figure — pending vision pass)"
+
+
+def figures(images: DataFrame, heads: DataFrame) -> DataFrame:
+    """Chunks of images ``(doc_id, page, chunk_index, caption, caption_status)`` of the documents in ``heads(doc_id, title, filename, folder)``."""
+    h = heads.select("doc_id", "title", "filename", "folder").dropDuplicates(["doc_id"])
+    said = F.concat(F.lit("["), F.col("title"), F.lit("] [Figure on page "), F.col("page").cast("string"), F.lit("]: "), F.coalesce("caption", F.lit(PENDING)))
+    j = images.select("doc_id", "page", "chunk_index", "caption", "caption_status").join(h, "doc_id")
+    return j.select(text.chunk_id(F.col("doc_id"), F.col("page"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "filename", "folder", "page", "chunk_index", F.lit("image").alias("chunk_type"), "caption_status", said.alias("content"))
+
+
+def still_there(late: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows of documents that the corpus still has: what was deleted while its figures were read stays deleted."""
+    return late.join(chunks.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi").select(*late.columns)
+
+
 class Corpus:
     """Chunks stored as parquet, partitioned by a bucket of the document, so a document's rewrite touches one bucket."""
 
@@ -165,6 +182,23 @@ class Corpus:
             new = new.join(there, "doc_id", "left_anti")
         new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
 
+    def add_late(self, late: DataFrame) -> None:
+        """Put chunks of documents that are still there in place of those of the same ids; buckets of other documents stay as they are."""
+        from ..runtime import materialize
+
+        late = materialize(still_there(late, self.chunks()), "late").dropDuplicates(["chunk_id"])
+        self._rewrite(upsert(self.chunks(), late), late)
+
+    def clear(self) -> int:
+        """Take everything out; how many chunks there were. A corpus that isn't there has none."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return 0
+        n = self.chunks().count()
+        fs.delete(p, True)
+        return n
+
     def delete_documents(self, docs: DataFrame) -> None:
         self._rewrite(without_documents(self.chunks(), docs), docs)
 

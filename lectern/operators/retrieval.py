@@ -239,14 +239,15 @@ def variants(questions: DataFrame, expand=None, most: int = 3) -> DataFrame:
 
 
 # -- the whole ----------------------------------------------------------------
-def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *, k: int = 15, dim: int = 64, reranker=None, originals: DataFrame | None = None, conversation: DataFrame | None = None, until: str = "prompts") -> dict[str, DataFrame]:
+def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *, k: int = 15, dim: int = 64, reranker=None, originals: DataFrame | None = None, conversation: DataFrame | None = None, embed=None, until: str = "prompts") -> dict[str, DataFrame]:
     """The stages from candidates to prompts for all questions, as far as ``until`` (rrf, floors, boosted, context or all).
 
     ``questions(q_id, text, vec, self_id [, folder_filter])``, ``chunks`` as stored,
     ``vectors(chunk_id, vec [, folder])``. With a ``folder_filter`` every list, floor and
     context chunk is of that folder. Questions about the catalogue get the catalogue's
     context instead of ranked chunks, unless it is empty. ``conversation`` puts the user's
-    turn before in front of what keywords are sought for.
+    turn before in front of what keywords are sought for. ``embed(text)`` gives questions
+    without ``vec`` theirs, and comparisons a second, dense list.
     """
     from . import bm25, corpus, dense
 
@@ -255,6 +256,10 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
         questions = questions.withColumn("folder_filter", F.lit(None).cast("string"))
     if conversation is not None:
         questions = augmented(questions, conversation)
+    if embed is not None and "vec" not in questions.columns:
+        questions = materialize(questions.withColumn("vec", embed(F.col("text"))), "embedded")
+    if "self_id" not in questions.columns:
+        questions = questions.withColumn("self_id", F.lit(""))
     questions_text = questions.select("q_id", "text")
     # Catalogue questions leave the ranked lists if there is anything to show for them.
     listed = materialize(corpus.catalog_context(questions.where(text.is_catalog_question(F.col("text"))), chunks), "catalog")
@@ -285,7 +290,12 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
         return out
     floors = inject_named(named, chunks, every.where("of_named"), q).unionByName(inject_subsystems(q, chunks, lambda n: bm25.top_k(bm25.score(index, n), 1, most=1)))
     digest = q.where(text.is_comparison(F.col("text"))).select("q_id", F.concat(F.lit("domain performance digest top performer "), "text").alias("text"), "folder_filter")
-    floors = floors.unionByName(inject_comparison(bm25.top_k(bm25.score(index, digest), k).select("q_id", "chunk_id", F.col("bm25_rank").alias("rank"))))
+    framed = bm25.top_k(bm25.score(index, digest), k).select("q_id", "chunk_id", F.col("bm25_rank").alias("rank"))
+    if embed is not None:
+        asked = digest.select("q_id", embed(F.col("text")).alias("vec"), F.lit("").alias("self_id"), "folder_filter")
+        asked = materialize(asked, "framed")
+        framed = framed.unionByName(dense.top_k(asked if filtered else asked.drop("folder_filter"), vectors, k=k, dim=dim).select("q_id", "chunk_id", F.col("sem_rank").alias("rank")))
+    floors = floors.unionByName(inject_comparison(framed))
     out["floors"] = floors = bm25.in_folder(floors, q, chunks)
     if until == "floors":
         return out

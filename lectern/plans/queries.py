@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, bm25, chunking, corpus, dense, manifest, retrieval, units
+from ..operators import answers, bm25, chunking, corpus, dense, manifest, models, procedure, retrieval, units
 from ..runtime import materialize, shared_dir, table, table_state
 from ..sources import files
 
@@ -591,3 +591,57 @@ def job_progress(spark, d):
     """Counters of a job by outcome."""
     g = table(spark, d, "seen").groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("files"), F.sum("size").alias("total_bytes"))
     return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("files"), "status")))
+
+
+_ASK = procedure.ASK.replace("\n", "' || chr(10) || '")
+
+
+@query(_S + f""", c AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY page, chunk_index, chunk_id) AS n FROM s WHERE doc_id IS NOT NULL AND chunk_index >= 0 AND coalesce(chunk_type, '') <> 'image' AND content IS NOT NULL),
+g AS (SELECT doc_id, md5(p) AS h FROM (SELECT doc_id, '{_ASK}' || string_agg(content, chr(10) || chr(10) ORDER BY n) AS p FROM c WHERE n <= 20 GROUP BY 1) WHERE length(p) % 2 = 0)
+SELECT doc_id, 1::BIGINT AS step, md5('1. ' || h) AS text_md5 FROM g UNION ALL SELECT doc_id, 2, md5('2. end') FROM g
+UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n), md5(trim(content)) FROM c WHERE trim(content) <> '' AND doc_id NOT IN (SELECT doc_id FROM g)""")
+def procedure_steps(spark, d):
+    """Every document as numbered steps: those that a stand-in for the generator gives for every other document, the chunks of the rest (K6, K8, M8)."""
+    write = lambda p: F.when(F.length(p) % 2 == 0, F.concat(F.lit("Steps:\n 1. "), F.md5(p), F.lit("\n2. end\nDone."))).otherwise("no steps")
+    return procedure.steps(table(spark, d, "store"), write).select("doc_id", "step", F.md5("text").alias("text_md5"))
+
+
+@query(_S + """, h AS (SELECT doc_id, arg_min({'f': filename, 'o': folder}, (page, chunk_index, chunk_id)) AS h FROM s WHERE chunk_index IN (-1, 0) AND doc_id NOT IN (SELECT doc_id FROM incoming WHERE doc_id IS NOT NULL) GROUP BY 1),
+i AS (SELECT doc_id, page, coalesce(img_idx, 0) AS n, arg_max({'c': caption, 's': caption_status}, vec_id) AS x FROM ingest WHERE caption_status IS NOT NULL GROUP BY 1, 2, 3)
+SELECT i.doc_id || '_' || page || '_' || (-100 - n) AS chunk_id, x.s AS caption_status, md5('[' || h.f || '] [Figure on page ' || page || ']: ' || coalesce(x.c, '(uncaptioned figure — pending vision pass)')) AS content_md5 FROM i JOIN h ON h.doc_id = i.doc_id""")
+def late_figures(spark, d):
+    """Image chunks that come after the text, once the documents of incoming were deleted meanwhile (J18, late enrichment)."""
+    left = corpus.without_documents(chunks(spark, d), table(spark, d, "incoming"))
+    heads = corpus.documents(left).select("doc_id", F.col("filename").alias("title"), "filename", "folder")
+    i = table(spark, d, "ingest").where("caption_status is not null").groupBy("doc_id", "page", F.coalesce("img_idx", F.lit(0)).alias("n")).agg(F.max_by(F.struct("caption", "caption_status"), "vec_id").alias("x"))
+    late = corpus.figures(i.select("doc_id", "page", (-100 - F.col("n")).alias("chunk_index"), "x.caption", "x.caption_status"), heads)
+    return corpus.still_there(late, left).select("chunk_id", "caption_status", F.md5("content").alias("content_md5"))
+
+
+@query("SELECT DISTINCT relpath FROM seen WHERE lower(regexp_extract(relpath, '\\.([^./\\\\]+)$', 1)) IN ('pdf', 'docx', 'pptx', 'txt', 'csv')")
+def reindex_list(spark, d):
+    """The files that a rebuild takes in."""
+    return files.to_reindex(table(spark, d, "seen").select("relpath").distinct())
+
+
+@query("SELECT scan_id FROM incoming WHERE found_at >= (SELECT max(found_at) FROM incoming) - INTERVAL 7200 SECOND")
+def live_scans(spark, d):
+    """What is kept of scans two hours after they began, at the time of the last one (state TTL)."""
+    i = table(spark, d, "incoming")
+    last = i.agg(F.max("found_at").alias("now")).first().now
+    return answers.live(i, F.lit(last), at="found_at").select("scan_id")
+
+
+@query("SELECT doc_id, length('search_document: ' || text) AS chars, length('search_document: ' || text) - length(replace('search_document: ' || text, ' ', '')) AS blanks FROM documents WHERE text IS NOT NULL")
+def embedded_documents(spark, d):
+    """What an embedding model is shown of each document: a stand-in that counts (M1)."""
+    vec = models.embedder(lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts])
+    r = table(spark, d, "documents").where("text is not null").select("doc_id", vec(F.col("text")).alias("v"))
+    return r.select("doc_id", F.col("v")[0].cast("bigint").alias("chars"), F.col("v")[1].cast("bigint").alias("blanks"))
+
+
+@query("SELECT doc_id, length(text)::VARCHAR || ' characters' AS reply FROM documents")
+def model_replies(spark, d):
+    """A reply to each document by a stand-in for the generator; none where there is no text (M2)."""
+    reply = models.generator(lambda prompts: [f"{len(p)} characters" for p in prompts])
+    return table(spark, d, "documents").select("doc_id", reply(F.col("text")).alias("reply"))

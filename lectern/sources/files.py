@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..runtime import materialize
 
 #: What a scan takes and leaves.
 SUPPORTED = ("pdf", "docx", "pptx", "txt", "csv")
@@ -68,26 +69,59 @@ def resolve(root: str, sub: str = "") -> str:
 
 
 def listing(spark: SparkSession, root: str, sub: str = "") -> DataFrame:
-    """``(path, relpath, size, mtime, folder, verdict)``. Names that Spark's own listing hides (a leading ``_``) are in it."""
+    """``(path, relpath, size, mtime, folder, verdict)``. Names that Spark's own listing hides (a leading ``_``) are in it.
+
+    Folders are listed level by level, each level by all tasks, so ``root`` must be mounted
+    on every worker. Excluded folders are one row each and not gone into; links out of
+    ``root`` are excluded, links to folders not followed.
+    """
     start = resolve(root, sub)
     base = os.path.realpath(root)
+    cols = ["path", "relpath", "size", "mtime", "kind"]
 
-    def walk(_):
-        for folder, _, names in os.walk(start):
+    def look(batches):
+        for pdf in batches:
             rows = []
-            for n in names:
-                p = os.path.join(folder, n)
+            for folder in pdf["path"]:
                 try:
-                    s = os.stat(p)
+                    found = list(os.scandir(folder))
                 except OSError:
                     continue
-                rows.append((p, os.path.relpath(p, base), s.st_size, s.st_mtime))
-            if rows:
-                yield pd.DataFrame(rows, columns=["path", "relpath", "size", "mtime"])
-
-    one = spark.range(1, numPartitions=1)
-    found = one.mapInPandas(walk, "path string, relpath string, size bigint, mtime double")
-    return classify(found).withColumn("folder", text.folder_of(F.col("relpath")))
+                for e in found:
+                    try:
+                        s = e.stat()
+                    except OSError:
+                        continue
+                    kind = "file"
+                    if e.is_dir():
+                        if e.is_symlink():
+                            continue
+                        kind = "junk" if e.name in JUNK_FOLDERS or e.name.startswith(".") else "folder"
+                    elif e.is_symlink() and not os.path.realpath(e.path).startswith(base + os.sep):
+                        kind = "junk"
+                    rows.append((e.path, os.path.relpath(e.path, base), s.st_size if kind == "file" else 0, s.st_mtime, kind))
+            yield pd.DataFrame(rows, columns=cols)
+
+    schema = "path string, relpath string, size bigint, mtime double, kind string"
+    level, found = spark.createDataFrame([(start,)], "path string"), None
+    # As many rounds as the tree is deep.
+    while True:
+        seen = materialize(level.mapInPandas(look, schema), "listing")
+        found = seen if found is None else found.unionByName(seen)
+        folders = seen.where("kind = 'folder'").select("path")
+        if folders.isEmpty():
+            break
+        level = folders.repartition("path")
+    found = classify(found.where("kind <> 'folder'")).withColumn("verdict", F.when(F.col("kind") == "junk", "excluded").otherwise(F.col("verdict")))
+    return found.drop("kind").withColumn("folder", text.folder_of(F.col("relpath")))
+
+
+def to_reindex(files: DataFrame, *, names=None, limit: int | None = None) -> DataFrame:
+    """Files ``(relpath, ...)`` of a folder that a rebuild takes: of a supported kind, those named if any are, by name the first ``limit`` if one is given."""
+    f = files.where(suffix(F.col("relpath")).isin(*SUPPORTED))
+    if names is not None:
+        f = f.where(text.basename(F.col("relpath")).isin(list(names)))
+    return f if limit is None else f.orderBy("relpath").limit(limit)
 
 
 def contents(spark: SparkSession, root: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import chunking, corpus
-from ..runtime import materialize
+from ..runtime import drop_path, materialize
 from ..sources import files
 
 FLUSH, MOST_ERRORS = 25, 10
@@ -81,3 +81,22 @@ class Ingest:
     def start(self):
         stream = self.spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", self.flush).load(self.source)
         return stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.target}/checkpoint").trigger(availableNow=True).start()
+
+    def late(self, images: DataFrame):
+        """A second stream beside the first: image chunks that come after their documents' text, as ``corpus.figures`` makes them.
+
+        Documents deleted meanwhile get none; a batch that is replayed writes the same chunks over.
+        """
+        return images.writeStream.foreachBatch(lambda batch, _: self.corpus.add_late(batch)).option("checkpointLocation", f"{self.target}/checkpoint-late").trigger(availableNow=True).start()
+
+    def reindex(self, *, names=None, limit: int | None = None) -> int:
+        """Clear corpus and manifest and take the source's files in again (those named, the first ``limit`` by path); the number of chunks."""
+        self.corpus.clear()
+        drop_path(self.spark, f"{self.target}/manifest")
+        found = self.spark.read.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(self.source)
+        take = files.to_reindex(found.select(F.col("path").alias("relpath")), names=names, limit=limit).withColumnRenamed("relpath", "path")
+        batch = found.join(take, "path", "left_semi").withColumnsRenamed({"length": "size", "modificationTime": "mtime"})
+        chunks, state = chunks_of(batch)
+        self.corpus.create(materialize(chunks, "batch"))
+        state.join(batch.select("path", "size", "mtime"), "path").write.mode("overwrite").parquet(f"{self.target}/manifest/batch=-1")
+        return self.corpus.chunks().count()

@@ -19,6 +19,8 @@ def test_listing(spark, tmp_path):
     tree(tmp_path, {"Manuals/alpha.txt": b"a", "gamma.txt": b"g", "_kept.txt": b"k", "sheet.xlsx": b"x", "notes.md": b"x", "@eaDir/t.txt": b"", "@Recently-Snapshot/GMT_1/Manuals/alpha.txt": b"a", "x/@Snapshot/b.txt": b"", ".hidden/x.txt": b"", "Thumbs.db": b"", "~$draft.docx": b"", "Manuals/.DS_Store": b""})
     r = {x.relpath: (x.verdict, x.folder) for x in files.listing(spark, str(tmp_path)).collect()}
     assert {k for k, v in r.items() if v[0] == "ok"} == {"Manuals/alpha.txt", "gamma.txt", "_kept.txt"} and r["sheet.xlsx"][0] == r["notes.md"][0] == "unsupported"
+    assert r["@eaDir"][0] == r["@Recently-Snapshot"][0] == r["x/@Snapshot"][0] == r[".hidden"][0] == "excluded" and not any("GMT_1" in k for k in r)
+    assert {x.relpath for x in files.listing(spark, str(tmp_path), "Manuals").collect()} == {"Manuals/alpha.txt", "Manuals/.DS_Store"}
     assert r["gamma.txt"][1] == "General" and r["Manuals/alpha.txt"][1] == "Manuals"
     for bad in ("..", "../etc", "Manuals/../..", "/etc"):
         with pytest.raises(ValueError):
@@ -97,3 +99,13 @@ def test_stream_passes_over_known_and_breaks(spark, tmp_path):
     ingest.Ingest(spark, f"file://{bad}", f"{out}2", most_errors=2)._batch(frame, 0)
     with pytest.raises(ingest.Unreachable):
         ingest.Ingest(spark, f"file://{bad}", f"{out}3", most_errors=1)._batch(frame, 0)
+
+
+def test_reindex(spark, tmp_path):
+    src, out = tmp_path / "in", f"file://{tmp_path}/out"
+    tree(src, {"a.txt": b"first text", "b.txt": b"other text", "c.md": b"not taken"})
+    job = ingest.Ingest(spark, f"file://{src}", out)
+    job.start().awaitTermination()
+    tree(src, {"d.txt": b"fourth text"})
+    assert job.reindex() == 3 and {r.path.rsplit("/", 1)[-1] for r in job.manifest().collect()} == {"a.txt", "b.txt", "d.txt"}
+    assert job.reindex(names=["b.txt", "d.txt"], limit=1) == 1 and job.corpus.chunks().first().content == "other text"
