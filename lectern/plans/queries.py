@@ -645,3 +645,74 @@ def model_replies(spark, d):
     """A reply to each document by a stand-in for the generator; none where there is no text (M2)."""
     reply = models.generator(lambda prompts: [f"{len(p)} characters" for p in prompts])
     return table(spark, d, "documents").select("doc_id", reply(F.col("text")).alias("reply"))
+
+
+# -- blocks, variants, reports ---------------------------------------------------------------------
+@query("WITH e AS (SELECT relpath FROM seen WHERE status = 'error' AND relpath IS NOT NULL) SELECT row_number() OVER (ORDER BY relpath) AS pos, relpath AS message FROM (SELECT relpath FROM e ORDER BY relpath LIMIT 200) UNION ALL SELECT 201, '... and ' || (n - 200) || ' more errors' FROM (SELECT count(*) AS n FROM e) WHERE n > 200")
+def error_report(spark, d):
+    """The first 200 errors of a scan and how many more there are (K9): a report's length."""
+    e = table(spark, d, "seen").where("status = 'error' and relpath is not null").select("relpath", F.col("relpath").alias("message"))
+    return manifest.capped_errors(e, 200)
+
+
+@query("SELECT relpath, size, status FROM seen WHERE relpath NOT IN (SELECT relpath FROM incoming WHERE relpath IS NOT NULL)")
+def manifest_without(spark, d):
+    """The manifest once paths that came in again are forgotten."""
+    return manifest.forget(table(spark, d, "seen"), table(spark, d, "incoming").where("relpath is not null")).select("relpath", "size", "status")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber % 3 AS block, l_quantity::DOUBLE AS size, l_returnflag = 'R' AS bold, repeat(l_partkey::VARCHAR, 10) AS text FROM lineitem),
+b AS (SELECT doc_id, list_sort(list(size))[count(*) // 2 + 1] AS body FROM p GROUP BY 1)
+SELECT p.doc_id, block, any_value(body) AS body, (sum(length(text)) <= 150 AND avg(size) >= 1.15 * any_value(body)) OR (sum(length(text)) <= 80 AND bool_and(bold)) AS is_heading FROM p JOIN b ON b.doc_id = p.doc_id GROUP BY 1, 2""")
+def heading_blocks(spark, d):
+    """Body size of a page and its heading blocks (S5, S6): order lines stand for spans, quantities for font sizes."""
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (F.col("l_linenumber") % 3).alias("block"), F.col("l_quantity").cast("double").alias("size"), (F.col("l_returnflag") == "R").alias("bold"), F.repeat(F.col("l_partkey").cast("string"), 10).alias("text"))
+    return chunking.heading_blocks(p).join(chunking.body_size(p).withColumnRenamed("size", "body"), ["doc_id", "page"]).select("doc_id", "block", "body", "is_heading")
+
+
+_HEAD = "^[A-Z0-9][A-Za-z0-9 -]{2,40}$"
+
+
+@query(f"""WITH b AS (SELECT doc_id, n, text, regexp_matches(text, '{_HEAD}') AS h FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS n FROM {_LINES}) WHERE trim(text) <> ''),
+c AS (SELECT *, last_value(CASE WHEN h THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading, coalesce(lead(h) OVER (PARTITION BY doc_id ORDER BY n), true) AS next_h FROM b)
+SELECT doc_id, n, md5(CASE WHEN h OR heading IS NULL THEN text ELSE heading || chr(10) || text END) AS text_md5 FROM c WHERE NOT h OR next_h""")
+def carried_headings(spark, d):
+    """Lines of documents behind the heading above them (V5): short lines without marks stand for headings."""
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "text")).where(F.trim("text") != "")
+    r = chunking.carry_headings(t.withColumn("is_heading", F.col("text").rlike(_HEAD)))
+    return r.select("doc_id", F.col("pos").cast("bigint").alias("n"), F.md5("text").alias("text_md5"))
+
+
+@query("SELECT doc_id, generate_subscripts(v, 1) - 1 AS variant, md5(unnest(v)) AS text_md5 FROM (SELECT doc_id, [text] || list_filter([trim(x) FOR x IN string_split(text, chr(10))], lambda x: x <> '')[1:3] AS v FROM documents WHERE text IS NOT NULL)")
+def question_variants(spark, d):
+    """A text with at most three lines of what an expander gives for it: here the text's own lines (M5)."""
+    q = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("q_id"), "text")
+    return retrieval.variants(q, lambda t: t).select(F.col("q_id").alias("doc_id"), F.col("variant").cast("bigint").alias("variant"), F.md5("text").alias("text_md5"))
+
+
+@query(_CONV + ", l AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'user' AND text <> '') AS last, arg_max(text, turn) AS asked FROM c GROUP BY 1) SELECT conv_id, CASE WHEN last IS NULL OR last = asked THEN asked ELSE last || ' ' || asked END AS text FROM l")
+def questions_with_history(spark, d):
+    """Each conversation's last message with the user's last turn before it, unless that is the same (V11, J of history)."""
+    c = conversations(spark, d)
+    q = c.groupBy(F.col("conv_id").alias("q_id")).agg(F.max_by("text", "turn").alias("text"))
+    return retrieval.augmented(q, c.select(F.col("conv_id").alias("q_id"), "turn", "role", "text")).select(F.col("q_id").alias("conv_id"), "text")
+
+
+@query(r"SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE regexp_matches(line, '^\d+\.\s+.+$') GROUP BY 1, 2")
+def numbered_lines(spark, d):
+    """Numbered lines of documents, as a reply with steps has them (M8)."""
+    t = table(spark, d, "documents").select("doc_id", F.explode(T.step_lines(F.col("text"))).alias("line"))
+    return t.groupBy("doc_id", "line").agg(F.count("*").alias("n"))
+
+
+_LABEL = r"(?i:Table\s+\d+\b)"
+
+
+@query(_S + f"""SELECT * FROM (WITH t AS (SELECT chunk_id, regexp_split_to_array(content, '{_LABEL}') AS p, regexp_extract_all(content, '{_LABEL}') AS l FROM s WHERE regexp_matches(content, '{_LABEL}')),
+r AS (SELECT chunk_id, i, length(p[1]) AS lead, l[i] || p[i + 1] AS part FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM t)),
+x AS (SELECT chunk_id, i, lead + coalesce(sum(length(part)) OVER (PARTITION BY chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, part, CASE WHEN regexp_matches(part, '\n\n[A-Z][a-z]') THEN length(regexp_extract(part, '(?s)^(.*?)\n\n[A-Z][a-z]', 1)) END AS prose FROM r)
+SELECT chunk_id, i - 1 AS n, start::BIGINT AS first, (start + CASE WHEN prose > 80 THEN prose ELSE length(part) END)::BIGINT AS stop FROM x)""")
+def table_spans(spark, d):
+    """Where labelled tables begin and end, each chunk taken as a page."""
+    p = chunks(spark, d).select(F.col("chunk_id").alias("doc_id"), F.lit(1).alias("page"), F.col("content").alias("text"))
+    return chunking.table_spans(p).select(F.col("doc_id").alias("chunk_id"), F.col("n").cast("bigint").alias("n"), F.col("start").cast("bigint").alias("first"), F.col("end").cast("bigint").alias("stop"))
