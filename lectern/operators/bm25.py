@@ -1,10 +1,11 @@
 """Keyword index as tables, and BM25 top-k for whole batches of questions.
 
+The index is a row for each chunk, ``forward(chunk_id, folder, filename, dl, terms, tfs)``;
 ``postings(term, chunk_id, tf, dl)``, ``doclen(chunk_id, folder, dl)`` and ``terms(term, n,
-idf)`` are plain DataFrames. Scores inner-join a batch's terms to the postings, so rows
-without a common term are never scored; a posting has its chunk's length, so nothing else
-is joined. A stored index lies by chunk, so that sums by chunk are made before the shuffle,
-and each version is a folder of its own: a pointer, set last, names the one to read. A term's inverse frequency that would be
+idf)`` are plain DataFrames too. ``search`` gives the best chunks of each text: the texts go to
+the index, block by block (``bm25_blocks``), so neither postings nor pairs of texts and chunks
+are shuffled. ``score`` gives all pairs. Each version of a stored index
+is a folder of its own: a pointer, set last, names the one to read. A term's inverse frequency that would be
 negative is a quarter of the mean one.
 
 Defined results: null texts have no tokens; a question without tokens finds nothing;
@@ -20,20 +21,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stem, text
+from ..runtime import materialize
+from . import bm25_blocks
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: A stored index of another version is built anew.
-VERSION = 2
+VERSION = 3
+FORWARD = "chunk_id string, folder string, filename string, dl int, terms array<string>, tfs array<int>"
 
 
 @dataclass
 class Index:
-    postings: DataFrame
-    doclen: DataFrame
+    forward: DataFrame
     stemmed: bool = False
     #: ``terms()`` as stored; a changed index has none and works it out.
     known: DataFrame | None = None
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.forward.select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("p.terms", "chunk_id", "p.tfs", "dl").toDF("term", "chunk_id", "tf", "dl")
+
+    @property
+    def doclen(self) -> DataFrame:
+        return self.forward.select("chunk_id", "folder", "dl")
+
     def statistics(self) -> DataFrame:
         """One row: number of chunks and their mean length."""
         return self.doclen.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -42,7 +53,7 @@ class Index:
         """``(term, n, idf)`` of every term of the index."""
         if self.known is not None:
             return self.known
-        df = self.postings.groupBy("term").agg(F.count("*").alias("n"))
+        df = self.forward.select("terms").mapInArrow(bm25_blocks.frequencies, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
         size = self.doclen.agg(F.count("*").alias("n_docs"))
         raw = df.crossJoin(F.broadcast(size)).withColumn("raw", F.log(F.col("n_docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))  # one row
         mean = raw.agg(F.avg("raw").alias("mean_idf"))
@@ -60,14 +71,80 @@ def _terms_of(df: DataFrame, keys: list[str], tokens: Column, use_stem: bool) ->
 
 def build(chunks: DataFrame, *, use_stem: bool = True) -> Index:
     """The index of ``chunks(chunk_id, filename, folder, content)``; the file name is part of a chunk's text."""
-    src = chunks.where("chunk_id is not null").dropDuplicates(["chunk_id"]).select("chunk_id", "folder", F.concat(F.lit("["), F.coalesce("filename", F.lit("")), F.lit("] "), F.coalesce("content", F.lit(""))).alias("t"))
-    src = src.select("chunk_id", "folder", text.tokens(F.col("t")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = _terms_of(src, ["chunk_id", "dl"], F.col("tokens"), use_stem).groupBy("term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-    return Index(postings.select("term", "chunk_id", "tf", "dl"), src.select("chunk_id", "folder", "dl"), use_stem)
+    src = chunks.where("chunk_id is not null").dropDuplicates(["chunk_id"]).select("chunk_id", "folder", "filename", F.concat(F.lit("["), F.coalesce("filename", F.lit("")), F.lit("] "), F.coalesce("content", F.lit(""))).alias("t"))
+    src = src.select("chunk_id", "folder", "filename", text.tokens(F.col("t")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    if not use_stem:
+        return Index(src.mapInArrow(bm25_blocks.counted, FORWARD), use_stem)
+    tf = _terms_of(src, ["chunk_id"], F.col("tokens"), use_stem).groupBy("chunk_id", "term").agg(F.count("*").cast("int").alias("tf"))
+    p = tf.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("p"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    return Index(src.join(p, "chunk_id", "left").select("chunk_id", "folder", "filename", "dl", none(F.col("p.term"), "string").alias("terms"), none(F.col("p.tf"), "int").alias("tfs")), use_stem)
 
 
 #: Question terms (with their question) up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
+#: So many texts go through the index at a time.
+ASKS = 100_000
+#: In an index of more chunks than ``SEEDED`` one chunk of ``SEEDS`` is searched first, for what the best of all reach at least.
+SEEDED, SEEDS = 50_000, 16
+ASKED = "ask bigint, chunk_id string, bm25 double"
+
+
+def search(index: Index, questions: DataFrame, k: int = 15) -> DataFrame:
+    """``(q_id, chunk_id, bm25, bm25_rank)``: the best ``k`` chunks with a positive score for each of ``questions(q_id, text [, folder_filter])``, of the question's folder if it has one."""
+    return _search(index, questions.withColumn("filename", F.lit(None).cast("string")).withColumn("k", F.lit(k)), ["q_id"])
+
+
+def search_files(index: Index, questions: DataFrame) -> DataFrame:
+    """``(q_id, filename, chunk_id, bm25, bm25_rank)``: of the chunks of a file the best ``k``, those without a common term too, for each of ``questions(q_id, text, filename, k [, folder_filter])``."""
+    return _search(index, questions.where("filename is not null"), ["q_id", "filename"])
+
+
+def _blocks(rows: DataFrame, forward: DataFrame, avgdl: float) -> DataFrame:
+    """The best of each block for the asks in ``rows``, which are sent to the executors."""
+    sent = rows.sparkSession.sparkContext.broadcast(bm25_blocks.asked(rows.toArrow()))
+    return forward.mapInArrow(bm25_blocks.search(sent, avgdl, K1, B), ASKED)
+
+
+def _search(index: Index, questions: DataFrame, keys: list[str]) -> DataFrame:
+    if "folder_filter" not in questions.columns:
+        questions = questions.withColumn("folder_filter", F.lit(None).cast("string"))
+    spark, same = questions.sparkSession, ["text", "folder_filter", "filename", "k"]
+    questions = materialize(questions.select(F.col("q_id").cast("bigint").alias("q_id"), *same), "searched")
+    # Texts that are alike are asked once.
+    asks = materialize(questions.groupBy(*same).agg(F.count("*").alias("times")).withColumn("ask", F.monotonically_increasing_id()), "asks")
+    many = -(-asks.count() // ASKS)
+    if not many:
+        return spark.createDataFrame([], ", ".join(f"{c} {questions.schema[c].dataType.simpleString()}" for c in keys) + ", chunk_id string, bm25 double, bm25_rank int")
+    qtf = _terms_of(asks, ["ask"], text.tokens(F.col("text")), index.stemmed).groupBy("ask", "term").agg(F.count("*").alias("qtf"))
+    weighed = qtf.join(index.terms().select("term", "idf"), "term").groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("weight")))).alias("terms"))
+    none = F.array().cast("array<struct<term:string,weight:double>>")
+    rows = asks.join(weighed, "ask", "left").select("ask", F.col("k").cast("int").alias("k"), "folder_filter", "filename", F.coalesce("terms", none).alias("terms"))
+    rows = materialize(rows, "asks")
+    # One row.
+    size = index.doclen.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    found = spark.createDataFrame([], ASKED)
+    if size.n:
+        cores, avgdl = spark.sparkContext.defaultParallelism, float(size.avgdl or 1) or 1.0
+        over = index.forward.select("chunk_id", "folder", "filename", "dl", "terms", "tfs")
+        for part in range(many):
+            q = rows.where(F.pmod(F.xxhash64("ask"), F.lit(many)) == part).withColumn("least", F.lit(0.0))
+            if size.n > SEEDED and keys == ["q_id"]:
+                # The k-th best of some chunks: the k-th best of all is no worse, so most blocks have little to look at.
+                some = _blocks(q, over.where(F.pmod(F.xxhash64("chunk_id"), F.lit(SEEDS)) == 0).coalesce(cores), avgdl)
+                kth = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("bm25")))
+                seeds = some.select("ask", "bm25").withColumn("r", kth).join(rows.select("ask", "k"), "ask").where("r = k").select("ask", F.col("bm25").alias("seed"))
+                q = q.join(seeds, "ask", "left").withColumn("least", F.greatest(F.lit(0.0), F.coalesce("seed", F.lit(0.0))))
+            found = found.unionByName(_blocks(q, over.coalesce(max(2 * cores, -(-size.n // bm25_blocks.BLOCK))), avgdl))
+    r = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc(F.round("bm25", 9)), "chunk_id"))
+    top = found.join(asks, "ask").withColumn("bm25_rank", r).where(F.col("bm25_rank") <= F.col("k"))
+    if keys == ["q_id"]:
+        top = top.where("bm25 > 0")
+    alike = F.lit(True)
+    t, a = questions.alias("t"), top.alias("a")
+    for c in same:
+        alike = alike & F.col(f"t.{c}").eqNullSafe(F.col(f"a.{c}"))
+    return t.join(a, alike).select(*[F.col(f"t.{c}") for c in keys], "a.chunk_id", "a.bm25", "a.bm25_rank")
 
 
 def score(index: Index, questions: DataFrame) -> DataFrame:
@@ -108,25 +185,22 @@ def top_k(scores: DataFrame, k: int | Column = 15, *, most: int = 30, questions:
 def add(index: Index, chunks: DataFrame) -> Index:
     """The index with ``chunks`` added, in place of chunks of the same ids."""
     new = build(chunks, use_stem=index.stemmed)
-    ids = new.doclen.select("chunk_id")
-    return Index(index.postings.join(ids, "chunk_id", "left_anti").unionByName(new.postings), index.doclen.join(ids, "chunk_id", "left_anti").unionByName(new.doclen), index.stemmed)
+    return Index(index.forward.join(new.forward.select("chunk_id"), "chunk_id", "left_anti").unionByName(new.forward), index.stemmed)
 
 
 def remove(index: Index, ids: DataFrame) -> Index:
     """The index without the chunks in ``ids(chunk_id)``."""
-    ids = ids.select("chunk_id")
-    return Index(index.postings.join(ids, "chunk_id", "left_anti"), index.doclen.join(ids, "chunk_id", "left_anti"), index.stemmed)
+    return Index(index.forward.join(ids.select("chunk_id"), "chunk_id", "left_anti"), index.stemmed)
 
 
 def remove_document(index: Index, doc_id: str) -> Index:
-    keep = ~F.col("chunk_id").startswith(doc_id + "_")
-    return Index(index.postings.where(keep), index.doclen.where(keep), index.stemmed)
+    return Index(index.forward.where(~F.col("chunk_id").startswith(doc_id + "_")), index.stemmed)
 
 
 def move(index: Index, updates: DataFrame) -> Index:
     """New folders by ``updates(chunk_id, folder)``."""
-    d = index.doclen.alias("d").join(updates.select("chunk_id", F.col("folder").alias("to")), "chunk_id", "left")
-    return Index(index.postings, d.select("chunk_id", F.coalesce("to", "folder").alias("folder"), "dl"), index.stemmed)
+    d = index.forward.join(updates.select("chunk_id", F.col("folder").alias("_to")), "chunk_id", "left")
+    return Index(d.withColumn("folder", F.coalesce("_to", "folder")).select(*index.forward.columns), index.stemmed, index.known)
 
 
 def _file(spark: SparkSession, path: str):
@@ -139,11 +213,10 @@ def save(index: Index, path: str) -> None:
 
     Whoever reads meanwhile finds the old index or the new one, never half of one.
     """
-    spark = index.postings.sparkSession
+    spark = index.forward.sparkSession
     name = f"v{VERSION}-{uuid.uuid4().hex[:12]}"
-    index.postings.repartition("chunk_id").sortWithinPartitions("term").write.parquet(f"{path}/{name}/postings")
-    index.doclen.write.parquet(f"{path}/{name}/doclen")
-    Index(spark.read.parquet(f"{path}/{name}/postings"), spark.read.parquet(f"{path}/{name}/doclen")).terms().write.parquet(f"{path}/{name}/terms")
+    index.forward.write.parquet(f"{path}/{name}/forward")
+    Index(_forward(spark, f"{path}/{name}")).terms().write.parquet(f"{path}/{name}/terms")
     spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(index.stemmed).alias("stemmed"), F.lit(name).alias("name")).coalesce(1).write.parquet(f"{path}/{name}/meta")
     # Names of versions that are whole; the largest number is the current one.
     number = 1 + max([n for n, _ in _versions(spark, path)], default=0)
@@ -167,6 +240,10 @@ def _current(spark: SparkSession, path: str) -> str | None:
     return found[-1][1] if found else None
 
 
+def _forward(spark: SparkSession, at: str) -> DataFrame:
+    return spark.read.schema(FORWARD).parquet(f"{at}/forward")
+
+
 def load(spark: SparkSession, path: str) -> Index | None:
     """The stored index, or None if there is none of this version."""
     name = _current(spark, path)
@@ -174,7 +251,7 @@ def load(spark: SparkSession, path: str) -> Index | None:
         return None
     at = f"{path}/{name}"
     meta = spark.read.parquet(f"{at}/meta").first()
-    return Index(spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/doclen"), meta.stemmed, spark.read.parquet(f"{at}/terms"))
+    return Index(_forward(spark, at), meta.stemmed, spark.read.parquet(f"{at}/terms"))
 
 
 def load_or_build(spark: SparkSession, path: str, chunks: DataFrame, *, use_stem: bool = True) -> Index:

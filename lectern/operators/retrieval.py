@@ -25,6 +25,10 @@ SUMMARY_BOOST, TABLE_BOOST = 3.0, 1.5
 EXEMPT = ("named", "summary_of_named", "subsystem", "comparison")
 
 
+#: Lengths of the pieces by which names of files are sought in questions.
+PIECES = (1, 2, 3, 4, 6, 8, 12, 16, 20, 24, 28, 32)
+
+
 # -- filters ------------------------------------------------------------------
 def eq(field: str, value) -> Column:
     return F.col(field) == F.lit(value)
@@ -69,14 +73,20 @@ def rrf(ranked: DataFrame, *, weight: Column | float = 1.0, k: int = RRF_K) -> D
 def named_documents(questions: DataFrame, files: DataFrame, least: int = STEM_LEAST) -> DataFrame:
     """``(q_id, filename)``: the question holds the file name, or its stem of at least ``least`` characters as a word of its own.
 
-    A name that a question holds begins with one of the question's four-character
-    pieces, so pieces are joined and the whole names compared after that.
+    A name that a question holds begins with one of the question's pieces of up to
+    ``PIECES`` characters, so pieces as long as the stem allows are joined and the whole names
+    compared after that: long ones, as many names begin alike.
     """
     grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
     q = questions.select("q_id", F.lower("text").alias("t")).where("t <> ''")
-    q = q.select("q_id", "t", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("t"), n) for n in (1, 2, 3, 4)])))).alias("g"))
+    q = q.select("q_id", "t", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("t"), n) for n in PIECES])))).alias("g"))
     f = files.select("filename").where("filename is not null and filename <> ''").distinct().withColumn("f", F.lower("filename"))
-    f = f.withColumn("s", F.regexp_replace("f", r"\.[^.]*$", "")).withColumn("g", F.explode(F.array_distinct(F.array(F.substring("f", 1, 4), F.substring("s", 1, 4)))))
+    f = f.withColumn("s", F.regexp_replace("f", r"\.[^.]*$", ""))
+    # The stem begins the name, so its piece is the name's too.
+    key, piece = F.when(F.col("s") == "", F.col("f")).otherwise(F.col("s")), F.lit(None).cast("string")
+    for n in PIECES:
+        piece = F.when(F.length(key) >= n, F.substring(key, 1, n)).otherwise(piece)
+    f = f.withColumn("g", piece)
     word = F.expr(r"t rlike concat('(?U)(?<!\\w)\\Q', replace(s, '\\E', ''), '\\E(?!\\w)')")
     return q.join(f, "g").where(F.col("t").contains(F.col("f")) | ((F.length("s") >= least) & F.col("t").contains(F.col("s")) & word)).select("q_id", "filename").distinct()
 
@@ -87,16 +97,12 @@ def slots_of_named(named: DataFrame, context_k: int = CONTEXT_K) -> DataFrame:
     return named.distinct().select("q_id", "filename", F.greatest(F.lit(2), F.floor(F.lit(8) / n)).cast("int").alias("slots"), F.least(F.lit(context_k), F.greatest(F.lit(4), F.floor(F.lit(context_k) / n))).cast("int").alias("diversity_limit"))
 
 
-def inject_named(named: DataFrame, chunks: DataFrame, bm25: DataFrame, questions: DataFrame) -> DataFrame:
-    """``(q_id, chunk_id, floor, origin)``: the best chunks of named documents (in the question's folder) by keyword score, and their summaries."""
-    of = slots_of_named(named).join(chunks.select("filename", "chunk_id", "page", "chunk_index", "folder"), "filename").join(questions.select("q_id", "folder_filter"), "q_id")
-    of = of.where(F.col("folder_filter").isNull() | (F.col("folder") == F.col("folder_filter")))
-    of = of.join(bm25.select("q_id", "chunk_id", "bm25"), ["q_id", "chunk_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    r = F.row_number().over(Window.partitionBy("q_id", "filename").orderBy(F.desc(F.round("bm25", 9)), "chunk_id"))
-    of = of.withColumn("r", r)
-    best = of.where(F.col("r") <= F.col("slots")).select("q_id", "chunk_id", (2 / (RRF_K + F.col("r"))).alias("floor"), F.lit("named").alias("origin"))
-    summary = of.where("page = 1 and chunk_index = -1").select("q_id", "chunk_id", F.lit(3 / (RRF_K + 1)).alias("floor"), F.lit("summary_of_named").alias("origin"))
-    return best.unionByName(summary)
+def inject_named(best: DataFrame, named: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """``(q_id, chunk_id, floor, origin)``: the best chunks ``(q_id, chunk_id, bm25_rank)`` of named documents by keyword score, and the documents' summaries (in the question's folder)."""
+    summary = chunks.where("page = 1 and chunk_index = -1").select("filename", "chunk_id", "folder")
+    there = named.select("q_id", "filename").distinct().join(summary, "filename").join(questions.select("q_id", "folder_filter"), "q_id").where(F.col("folder_filter").isNull() | (F.col("folder") == F.col("folder_filter")))
+    floors = best.select("q_id", "chunk_id", (2 / (RRF_K + F.col("bm25_rank"))).alias("floor"), F.lit("named").alias("origin"))
+    return floors.unionByName(there.select("q_id", "chunk_id", F.lit(3 / (RRF_K + 1)).alias("floor"), F.lit("summary_of_named").alias("origin")))
 
 
 def inject_subsystems(questions: DataFrame, chunks: DataFrame, search) -> DataFrame:
@@ -247,7 +253,8 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     context chunk is of that folder. Questions about the catalogue get the catalogue's
     context instead of ranked chunks, unless it is empty. ``conversation`` puts the user's
     turn before in front of what keywords are sought for. ``embed(text)`` gives questions
-    without ``vec`` theirs, and comparisons a second, dense list.
+    without ``vec`` theirs, and comparisons a second, dense list. ``index`` may be a function that
+    gives it: it isn't called where no question is left for keywords.
     """
     from . import bm25, corpus, dense
 
@@ -270,13 +277,10 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     q = questions.join(open_questions(sem, named), "q_id", "left_semi")
     q = q.select("q_id", "text", "folder_filter").withColumn("for_value", text.is_value_question(F.col("text")))
     q, named = materialize(q, "questions"), materialize(named.join(q.select("q_id"), "q_id", "left_semi"), "named")
-    # Keyword scores: the best of each question, and those of chunks of documents that it names.
-    mine = bm25.in_folder(named.join(chunks.select("filename", "chunk_id"), "filename").select("q_id", "chunk_id"), q, chunks).withColumn("of_named", F.lit(True))
-    scored = bm25.score(index, q.select("q_id", "text", "folder_filter"))
-    r = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id"))
-    every = scored.join(mine, ["q_id", "chunk_id"], "left").withColumn("bm25_rank", r).where((F.col("bm25") > 0) & (F.col("bm25_rank") <= 2 * k) | F.col("of_named"))
-    every = materialize(every, "scores")
-    best = every.where("bm25 > 0").join(q.select("q_id", "for_value"), "q_id")
+    if callable(index):
+        index = bm25.Index(None) if q.isEmpty() else index()
+    every = materialize(bm25.search(index, q.select("q_id", "text", "folder_filter"), 2 * k), "scores")
+    best = every.join(q.select("q_id", "for_value"), "q_id")
     lexical = best.where(F.col("bm25_rank") <= F.when(F.col("for_value"), 2 * k).otherwise(k)).select("q_id", "chunk_id", "bm25", "bm25_rank")
     # Keyword hits that the dense list lacks stand behind it, in their own order.
     near = sem.join(q.select("q_id"), "q_id", "left_semi").select("q_id", "chunk_id", "sem_rank", F.lit(None).cast("int").alias("bm25_rank"))
@@ -288,9 +292,10 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     out = {"dense": sem, "named": named, "lexical": lexical, "rrf": scores, "catalog": listed}
     if until == "rrf":
         return out
-    floors = inject_named(named, chunks, every.where("of_named"), q).unionByName(inject_subsystems(q, chunks, lambda n: bm25.top_k(bm25.score(index, n), 1, most=1)))
+    asked = slots_of_named(named).join(q.select("q_id", "text", "folder_filter"), "q_id").withColumn("k", F.col("slots"))
+    floors = inject_named(bm25.search_files(index, asked), named, chunks, q).unionByName(inject_subsystems(q, chunks, lambda n: bm25.search(index, n, 1)))
     digest = q.where(text.is_comparison(F.col("text"))).select("q_id", F.concat(F.lit("domain performance digest top performer "), "text").alias("text"), "folder_filter")
-    framed = bm25.top_k(bm25.score(index, digest), k).select("q_id", "chunk_id", F.col("bm25_rank").alias("rank"))
+    framed = bm25.search(index, digest, k).select("q_id", "chunk_id", F.col("bm25_rank").alias("rank"))
     if embed is not None:
         asked = digest.select("q_id", embed(F.col("text")).alias("vec"), F.lit("").alias("self_id"), "folder_filter")
         asked = materialize(asked, "framed")
