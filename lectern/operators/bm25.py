@@ -69,9 +69,10 @@ def _terms_of(df: DataFrame, keys: list[str], tokens: Column, use_stem: bool) ->
     return counted.join(stems, "token").select(*keys, "term", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("_i")).drop("_i")
 
 
-def build(chunks: DataFrame, *, use_stem: bool = True) -> Index:
-    """The index of ``chunks(chunk_id, filename, folder, content)``; the file name is part of a chunk's text."""
-    src = chunks.where("chunk_id is not null").dropDuplicates(["chunk_id"]).select("chunk_id", "folder", "filename", F.concat(F.lit("["), F.coalesce("filename", F.lit("")), F.lit("] "), F.coalesce("content", F.lit(""))).alias("t"))
+def build(chunks: DataFrame, *, use_stem: bool = True, unique: bool = False) -> Index:
+    """The index of ``chunks(chunk_id, filename, folder, content)``; the file name is part of a chunk's text. With ``unique`` no id repeats, so nothing is shuffled for that."""
+    src = chunks.where("chunk_id is not null")
+    src = (src if unique else src.dropDuplicates(["chunk_id"])).select("chunk_id", "folder", "filename", F.concat(F.lit("["), F.coalesce("filename", F.lit("")), F.lit("] "), F.coalesce("content", F.lit(""))).alias("t"))
     src = src.select("chunk_id", "folder", "filename", text.tokens(F.col("t")).alias("tokens")).withColumn("dl", F.size("tokens"))
     if not use_stem:
         return Index(src.mapInArrow(bm25_blocks.counted, FORWARD), use_stem)
@@ -100,6 +101,11 @@ def search_files(index: Index, questions: DataFrame) -> DataFrame:
     return _search(index, questions.where("filename is not null"), ["q_id", "filename"])
 
 
+def search_lists(index: Index, questions: DataFrame) -> DataFrame:
+    """``(list, q_id, filename, chunk_id, bm25, bm25_rank)``: several lists in one pass over the index, for ``questions(list, q_id, text, filename, k, folder_filter)``: as ``search_files`` where there is a file name, else as ``search``."""
+    return _search(index, questions, ["list", "q_id", "filename"])
+
+
 def _blocks(rows: DataFrame, forward: DataFrame, avgdl: float) -> DataFrame:
     """The best of each block for the asks in ``rows``, which are sent to the executors."""
     sent = rows.sparkSession.sparkContext.broadcast(bm25_blocks.asked(rows.toArrow()))
@@ -110,7 +116,7 @@ def _search(index: Index, questions: DataFrame, keys: list[str]) -> DataFrame:
     if "folder_filter" not in questions.columns:
         questions = questions.withColumn("folder_filter", F.lit(None).cast("string"))
     spark, same = questions.sparkSession, ["text", "folder_filter", "filename", "k"]
-    questions = materialize(questions.select(F.col("q_id").cast("bigint").alias("q_id"), *same), "searched")
+    questions = materialize(questions.select(F.col("q_id").cast("bigint").alias("q_id"), *[c for c in keys if c not in ("q_id", *same)], *same), "searched")
     # Texts that are alike are asked once.
     asks = materialize(questions.groupBy(*same).agg(F.count("*").alias("times")).withColumn("ask", F.monotonically_increasing_id()), "asks")
     many = -(-asks.count() // ASKS)
@@ -129,17 +135,16 @@ def _search(index: Index, questions: DataFrame, keys: list[str]) -> DataFrame:
         over = index.forward.select("chunk_id", "folder", "filename", "dl", "terms", "tfs")
         for part in range(many):
             q = rows.where(F.pmod(F.xxhash64("ask"), F.lit(many)) == part).withColumn("least", F.lit(0.0))
-            if size.n > SEEDED and keys == ["q_id"]:
+            if size.n > SEEDED and keys != ["q_id", "filename"]:
                 # The k-th best of some chunks: the k-th best of all is no worse, so most blocks have little to look at.
-                some = _blocks(q, over.where(F.pmod(F.xxhash64("chunk_id"), F.lit(SEEDS)) == 0).coalesce(cores), avgdl)
+                some = _blocks(q.where("filename is null"), over.where(F.pmod(F.xxhash64("chunk_id"), F.lit(SEEDS)) == 0).coalesce(cores), avgdl)
                 kth = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("bm25")))
                 seeds = some.select("ask", "bm25").withColumn("r", kth).join(rows.select("ask", "k"), "ask").where("r = k").select("ask", F.col("bm25").alias("seed"))
                 q = q.join(seeds, "ask", "left").withColumn("least", F.greatest(F.lit(0.0), F.coalesce("seed", F.lit(0.0))))
             found = found.unionByName(_blocks(q, over.coalesce(max(2 * cores, -(-size.n // bm25_blocks.BLOCK))), avgdl))
     r = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc(F.round("bm25", 9)), "chunk_id"))
     top = found.join(asks, "ask").withColumn("bm25_rank", r).where(F.col("bm25_rank") <= F.col("k"))
-    if keys == ["q_id"]:
-        top = top.where("bm25 > 0")
+    top = top.where("filename is not null or bm25 > 0")
     alike = F.lit(True)
     t, a = questions.alias("t"), top.alias("a")
     for c in same:
@@ -254,10 +259,11 @@ def load(spark: SparkSession, path: str) -> Index | None:
     return Index(_forward(spark, at), meta.stemmed, spark.read.parquet(f"{at}/terms"))
 
 
-def load_or_build(spark: SparkSession, path: str, chunks: DataFrame, *, use_stem: bool = True) -> Index:
+def load_or_build(spark: SparkSession, path: str, chunks, *, use_stem: bool = True, unique: bool = False) -> Index:
+    """The stored index, built where there is none; ``chunks`` may be a function that gives them, called only then."""
     found = load(spark, path)
     if found is None or found.stemmed != use_stem:
-        save(build(chunks, use_stem=use_stem), path)
+        save(build(chunks() if callable(chunks) else chunks, use_stem=use_stem, unique=unique), path)
         found = load(spark, path)
     return found
 

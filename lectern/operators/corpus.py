@@ -82,7 +82,9 @@ def catalog_context(questions: DataFrame, chunks: DataFrame, most: int = 15) ->
     whole = first.orderBy("k", "doc_id").limit(most).select("doc_id", F.lit(None).cast("string").alias("want"), F.row_number().over(Window.orderBy("k", "doc_id")).alias("r"))
     listed = first.select("doc_id", F.col("folder").alias("want"), "r").unionByName(whole)
     q = questions.select("q_id", F.col("folder_filter").alias("want"))
-    front = front_matter(chunks).withColumnRenamed("r", "n").drop("doc_id").join(chunks.select("chunk_id", "doc_id", "filename", "page", "content"), "chunk_id")
+    # Only the documents to be shown are looked into.
+    shown = chunks.where("page = 1").join(listed.select("doc_id").distinct(), "doc_id", "left_semi")
+    front = front_matter(shown).withColumnRenamed("r", "n").drop("doc_id").join(shown.select("chunk_id", "doc_id", "filename", "page", "content"), "chunk_id")
     rows = q.join(listed, q.want.eqNullSafe(listed.want)).select("q_id", "doc_id", "r").join(front, "doc_id")
     pos = F.row_number().over(Window.partitionBy("q_id").orderBy("r", "n"))
     return rows.select("q_id", pos.alias("pos"), "chunk_id", "doc_id", "filename", "page", F.array("chunk_id").alias("neighbours"), text.context_block(F.col("filename"), F.col("page"), F.col("content")).alias("block"))

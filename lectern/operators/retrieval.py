@@ -105,9 +105,14 @@ def inject_named(best: DataFrame, named: DataFrame, chunks: DataFrame, questions
     return floors.unionByName(there.select("q_id", "chunk_id", F.lit(3 / (RRF_K + 1)).alias("floor"), F.lit("summary_of_named").alias("origin")))
 
 
+def _subsystems(questions: DataFrame) -> DataFrame:
+    """``(q_id, folder_filter, text, n_id)``: each subsystem that a question names, with an id of its own."""
+    return questions.select("q_id", "folder_filter", F.explode(F.array_distinct(text.subsystem_names(F.col("text")))).alias("text")).withColumn("n_id", F.xxhash64("q_id", "text"))
+
+
 def inject_subsystems(questions: DataFrame, chunks: DataFrame, search) -> DataFrame:
     """Summary chunks on the page of the best keyword hit of each subsystem that a question names. ``search(names)`` ranks ``(q_id, text, folder_filter)`` rows."""
-    names = questions.select("q_id", "folder_filter", F.explode(F.array_distinct(text.subsystem_names(F.col("text")))).alias("text")).withColumn("n_id", F.xxhash64("q_id", "text"))
+    names = _subsystems(questions)
     top = search(names.select(F.col("n_id").alias("q_id"), "text", "folder_filter")).where("bm25_rank = 1").select(F.col("q_id").alias("n_id"), "chunk_id")
     place = chunks.select("chunk_id", "doc_id", "page")
     goal = names.join(top, "n_id").join(place, "chunk_id").select("q_id", "doc_id", "page")
@@ -271,6 +276,14 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     # Catalogue questions leave the ranked lists if there is anything to show for them.
     listed = materialize(corpus.catalog_context(questions.where(text.is_catalog_question(F.col("text"))), chunks), "catalog")
     questions = questions.join(listed.select("q_id").distinct(), "q_id", "left_anti")
+    if questions.isEmpty():
+        # Nothing is left to rank, so nothing is searched: the catalogue is all there is.
+        spark, q_id = questions.sparkSession, f"q_id {questions.schema['q_id'].dataType.simpleString()}"
+        none = lambda rest: spark.createDataFrame([], f"{q_id}, {rest}")
+        scored = none("chunk_id string, score double, origin string")
+        out = {"dense": none("chunk_id string, distance double, sem_rank int"), "named": none("filename string"), "lexical": none("chunk_id string, bm25 double, bm25_rank int"), "rrf": scored.drop("origin"), "catalog": listed, "floors": none("chunk_id string, floor double, origin string"), "boosted": scored, "reranked": scored}
+        asked = listed.select("q_id").distinct().join(questions_text, "q_id")
+        return out | {"top": none("chunk_id string, score double, pos int"), "context": none("chunk_id string, pos int, origin string"), "blocks": listed, "citations": citations(listed, chunks, originals), "prompts": prompts(listed, asked)}
     # Stages that several later ones read are written once; each has a bounded number of rows a question.
     sem = materialize(dense.top_k(questions if filtered else questions.drop("folder_filter"), vectors, k=k, dim=dim), "dense")
     named = named_documents(questions, chunks)
@@ -279,7 +292,17 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     q, named = materialize(q, "questions"), materialize(named.join(q.select("q_id"), "q_id", "left_semi"), "named")
     if callable(index):
         index = bm25.Index(None) if q.isEmpty() else index()
-    every = materialize(bm25.search(index, q.select("q_id", "text", "folder_filter"), 2 * k), "scores")
+    # All keyword lists come from one pass over the index.
+    no_file, ask = F.lit(None).cast("string"), ["q_id", "text", "filename", "k", "folder_filter"]
+    lists = {"main": q.select("q_id", "text", no_file.alias("filename"), F.lit(2 * k).alias("k"), "folder_filter")}
+    if until != "rrf":
+        digest = q.where(text.is_comparison(F.col("text"))).select("q_id", F.concat(F.lit("domain performance digest top performer "), "text").alias("text"), "folder_filter")
+        lists["named"] = slots_of_named(named).where("filename is not null").join(q.select("q_id", "text", "folder_filter"), "q_id").withColumn("k", F.col("slots")).select(*ask)
+        lists["subsystem"] = _subsystems(q).select(F.col("n_id").alias("q_id"), "text", no_file.alias("filename"), F.lit(1).alias("k"), "folder_filter")
+        lists["comparison"] = digest.select("q_id", "text", no_file.alias("filename"), F.lit(k).alias("k"), "folder_filter")
+    found = materialize(bm25.search_lists(index, reduce(DataFrame.unionByName, [x.withColumn("list", F.lit(name)) for name, x in lists.items()])), "scores")
+    listing = lambda name: found.where(F.col("list") == name).drop("list")
+    every = listing("main")
     best = every.join(q.select("q_id", "for_value"), "q_id")
     lexical = best.where(F.col("bm25_rank") <= F.when(F.col("for_value"), 2 * k).otherwise(k)).select("q_id", "chunk_id", "bm25", "bm25_rank")
     # Keyword hits that the dense list lacks stand behind it, in their own order.
@@ -292,16 +315,15 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     out = {"dense": sem, "named": named, "lexical": lexical, "rrf": scores, "catalog": listed}
     if until == "rrf":
         return out
-    asked = slots_of_named(named).join(q.select("q_id", "text", "folder_filter"), "q_id").withColumn("k", F.col("slots"))
-    floors = inject_named(bm25.search_files(index, asked), named, chunks, q).unionByName(inject_subsystems(q, chunks, lambda n: bm25.search(index, n, 1)))
-    digest = q.where(text.is_comparison(F.col("text"))).select("q_id", F.concat(F.lit("domain performance digest top performer "), "text").alias("text"), "folder_filter")
-    framed = bm25.search(index, digest, k).select("q_id", "chunk_id", F.col("bm25_rank").alias("rank"))
+    floors = inject_named(listing("named"), named, chunks, q).unionByName(inject_subsystems(q, chunks, lambda n: listing("subsystem")))
+    framed = listing("comparison").select("q_id", "chunk_id", F.col("bm25_rank").alias("rank"))
     if embed is not None:
         asked = digest.select("q_id", embed(F.col("text")).alias("vec"), F.lit("").alias("self_id"), "folder_filter")
         asked = materialize(asked, "framed")
         framed = framed.unionByName(dense.top_k(asked if filtered else asked.drop("folder_filter"), vectors, k=k, dim=dim).select("q_id", "chunk_id", F.col("sem_rank").alias("rank")))
     floors = floors.unionByName(inject_comparison(framed))
-    out["floors"] = floors = bm25.in_folder(floors, q, chunks)
+    # Without folders there is nothing to keep out.
+    out["floors"] = floors = bm25.in_folder(floors, q, chunks) if filtered else floors
     if until == "floors":
         return out
     boosted = materialize(boost(raise_scores(scores, floors), chunks, q), "boosted")
@@ -311,7 +333,7 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
         return out
     top = materialize(diverse(ordered, chunks, named), "top")
     whole = with_tables(with_summaries(top, chunks), chunks)
-    whole = materialize(bm25.in_folder(whole, q, chunks), "context")
+    whole = materialize(bm25.in_folder(whole, q, chunks) if filtered else whole, "context")
     out |= {"top": top, "context": whole}
     if until == "context":
         return out

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, bm25, chunking, corpus, dense, manifest, models, procedure, retrieval, units
-from ..runtime import materialize, shared_dir, table, table_state
+from ..runtime import REPEATED, materialize, once, shared_dir, table, table_state
 from ..sources import files
 
 QUERIES, SQL = {}, {}
@@ -36,8 +36,12 @@ def chunks(spark, d):
 
 
 def questions(spark, d):
-    s = chunks(spark, d).select("chunk_id", "content", "filename", "folder")
+    s = table(spark, d, "store").select("chunk_id", "content", "filename", "folder")
     i = table(spark, d, "ingest").where("vec_id % 50 = 0").select("vec_id", "chunk_id", "embeddings")
+    ids = i.select("chunk_id").distinct()
+    if ids.limit(REPEATED + 1).count() <= REPEATED:
+        s = s.join(F.broadcast(ids), "chunk_id", "left_semi")  # at most REPEATED ids: other chunks aren't shuffled
+    s = s.dropDuplicates(["chunk_id"])
     said = F.regexp_extract("content", r"^\[([^\]]*)\]", 1)
     about = F.regexp_extract(F.lower("content"), "[a-z]+ (pressure|temperature|mass|torque|flow)", 0)
     name = F.when(F.col("vec_id") % 100 == 0, F.concat(F.lit(" "), "filename")).otherwise("")
@@ -63,13 +67,14 @@ def overlap(q, t):
     return F.size(F.array_intersect(T.tokens(q), T.tokens(t))).cast("double")
 
 
-def _index(spark, d):
+def _index(spark, d, c=None):
     """The unstemmed index, stored in the shared folder under the state of the table's files: built where that state has none yet."""
-    return bm25.load_or_build(spark, f"{shared_dir(spark)}/lectern/index-{table_state(spark, d, 'store')}", chunks(spark, d), use_stem=False)
+    return bm25.load_or_build(spark, f"{shared_dir(spark)}/lectern/index-{table_state(spark, d, 'store')}", lambda: once(table(spark, d, "store"), "chunk_id") if c is None else c, use_stem=False, unique=True)
 
 
 def _stages(spark, d, until="prompts", asked=questions, vectors=vectors):
-    return retrieval.stages(materialize(asked(spark, d), "asked"), materialize(chunks(spark, d), "chunks"), _index(spark, d), vectors(spark, d), reranker=overlap, originals=table(spark, d, "seen"), until=until)
+    c = materialize(once(table(spark, d, "store"), "chunk_id"), "chunks")
+    return retrieval.stages(materialize(asked(spark, d), "asked"), c, _index(spark, d, c), vectors(spark, d), reranker=overlap, originals=table(spark, d, "seen"), until=until)
 
 
 WORD = r"'[0-9]+\.[0-9]+|[\p{L}\p{N}\p{M}_]+'"
@@ -262,7 +267,8 @@ def catalog_context(spark, d):
     f = table(spark, d, "documents").select(F.col("folder").alias("folder_filter")).distinct()
     q = f.select(F.xxhash64(F.coalesce("folder_filter", F.lit(""))).alias("q_id"), F.lit("Show a table of all documents with their revisions").alias("text"), "folder_filter")
     q = materialize(q.withColumn("vec", F.lit(None).cast("array<float>")).withColumn("self_id", F.lit("")), "asked")
-    s = retrieval.stages(q, materialize(chunks(spark, d), "chunks"), lambda: _index(spark, d), vectors_in_folders(spark, d))["blocks"]
+    c = materialize(once(table(spark, d, "store"), "chunk_id"), "chunks")
+    s = retrieval.stages(q, c, lambda: _index(spark, d, c), vectors_in_folders(spark, d))["blocks"]
     return s.join(q, "q_id").select(F.coalesce("folder_filter", F.lit("")).alias("folder"), "pos", "chunk_id", F.md5("block").alias("block_md5"))
 
 

@@ -96,3 +96,17 @@ def test_index_is_not_asked_for_without_questions(spark):
         raise AssertionError("not needed")
 
     assert [r.chunk_id for r in retrieval.stages(q, c, index, v)["blocks"].collect()] == ["d_1_0"]
+
+
+CHUNK = "chunk_id string, doc_id string, filename string, folder string, page int, chunk_index int, table_id string, chunk_type string, content string"
+
+
+def test_stages_pass_once_over_the_index(spark, monkeypatch):
+    """The lists of a question, of the files and subsystems it names and of a comparison come from one search (context_blocks)."""
+    c = spark.createDataFrame([(f"d{i}_1_0", f"d{i}", f"name{i}.txt", "A", 1, 0, None, None, f"[T] domain digest Pump AB-{i}") for i in range(9)], CHUNK)
+    q = spark.createDataFrame([(1, "AB-1 Pump name2.txt compare which is highest", [1.0] * 64, "")], "q_id long, text string, vec array<float>, self_id string")
+    v = spark.createDataFrame([(f"d{i}_1_0", [1.0 + i] * 64) for i in range(9)], "chunk_id string, vec array<float>")
+    calls, search = [], bm25._search
+    monkeypatch.setattr(bm25, "_search", lambda *a: calls.append(1) or search(*a))
+    got = retrieval.stages(q, c, bm25.build(c, use_stem=False), v, until="floors")["floors"].collect()
+    assert len(calls) == 1 and {"named", "comparison"} <= {r.origin for r in got}
