@@ -110,3 +110,30 @@ def test_stages_pass_once_over_the_index(spark, monkeypatch):
     monkeypatch.setattr(bm25, "_search", lambda *a: calls.append(1) or search(*a))
     got = retrieval.stages(q, c, bm25.build(c, use_stem=False), v, until="floors")["floors"].collect()
     assert len(calls) == 1 and {"named", "comparison"} <= {r.origin for r in got}
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_once_keeps_a_row_of_each_key(spark, monkeypatch, most):
+    """Repeated ids are found without shuffling whole rows, however many (bm25_in_folder)."""
+    from lectern import runtime
+
+    monkeypatch.setattr(runtime, "REPEATED", most)
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4), (None, 5), ("c", 6)], "chunk_id string, n int")
+    got = {r.chunk_id: r.n for r in runtime.once(df, "chunk_id").collect()}
+    assert runtime.once(df, "chunk_id").count() == 4 and set(got) == {"a", "b", None, "c"} and got["b"] in (2, 3) and got[None] in (4, 5)
+    one = spark.createDataFrame([("a", "f", "A", "x y")], "chunk_id string, filename string, folder string, content string")
+    assert "Exchange" not in bm25.build(one, use_stem=False, unique=True).forward._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalogue_questions_search_nothing(spark, monkeypatch):
+    """Where only catalogue questions are asked no vectors are compared either, and every stage is there (catalog_context)."""
+    def top_k(*_, **__):
+        raise AssertionError("not needed")
+
+    monkeypatch.setattr(dense, "top_k", top_k)
+    c = spark.createDataFrame([("d_1_0", "d", "d.txt", "A", 1, 0, None, None, "[T] text")], CHUNK)
+    q = spark.createDataFrame([(1, "Show a table of all documents with their revisions", "A", None, "")], "q_id long, text string, folder_filter string, vec array<float>, self_id string")
+    v = spark.createDataFrame([("d_1_0", [1.0] * 64, "A")], "chunk_id string, vec array<float>, folder string")
+    got = retrieval.stages(q, c, None, v)
+    assert [r.chunk_id for r in got["blocks"].collect()] == ["d_1_0"] and got["prompts"].count() == got["citations"].count() == 1
+    assert all(got[s].count() == 0 for s in ("dense", "named", "lexical", "rrf", "floors", "boosted", "reranked", "top", "context"))
