@@ -78,8 +78,10 @@ def named_documents(questions: DataFrame, files: DataFrame, least: int = STEM_LE
     compared after that: long ones, as many names begin alike.
     """
     grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    q = questions.select("q_id", F.lower("text").alias("t")).where("t <> ''")
-    q = q.select("q_id", "t", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("t"), n) for n in PIECES])))).alias("g"))
+    asked = questions.select("q_id", F.lower("text").alias("t")).where("t <> ''")
+    # Questions that are alike are looked through once.
+    q = asked.select("t").distinct()
+    q = q.select("t", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("t"), n) for n in PIECES])))).alias("g"))
     f = files.select("filename").where("filename is not null and filename <> ''").distinct().withColumn("f", F.lower("filename"))
     f = f.withColumn("s", F.regexp_replace("f", r"\.[^.]*$", ""))
     # The stem begins the name, so its piece is the name's too.
@@ -88,7 +90,8 @@ def named_documents(questions: DataFrame, files: DataFrame, least: int = STEM_LE
         piece = F.when(F.length(key) >= n, F.substring(key, 1, n)).otherwise(piece)
     f = f.withColumn("g", piece)
     word = F.expr(r"t rlike concat('(?U)(?<!\\w)\\Q', replace(s, '\\E', ''), '\\E(?!\\w)')")
-    return q.join(f, "g").where(F.col("t").contains(F.col("f")) | ((F.length("s") >= least) & F.col("t").contains(F.col("s")) & word)).select("q_id", "filename").distinct()
+    held = q.join(f, "g").where(F.col("t").contains(F.col("f")) | ((F.length("s") >= least) & F.col("t").contains(F.col("s")) & word)).select("t", "filename").distinct()
+    return asked.join(held, "t").select("q_id", "filename").distinct()
 
 
 def slots_of_named(named: DataFrame, context_k: int = CONTEXT_K) -> DataFrame:
@@ -276,22 +279,28 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     # Catalogue questions leave the ranked lists if there is anything to show for them.
     listed = materialize(corpus.catalog_context(questions.where(text.is_catalog_question(F.col("text"))), chunks), "catalog")
     questions = questions.join(listed.select("q_id").distinct(), "q_id", "left_anti")
-    if questions.isEmpty():
-        # Nothing is left to rank, so nothing is searched: the catalogue is all there is.
+
+    def unsearched() -> dict[str, DataFrame]:
+        """Nothing is left to rank: the catalogue is all there is."""
         spark, q_id = questions.sparkSession, f"q_id {questions.schema['q_id'].dataType.simpleString()}"
         none = lambda rest: spark.createDataFrame([], f"{q_id}, {rest}")
         scored = none("chunk_id string, score double, origin string")
         out = {"dense": none("chunk_id string, distance double, sem_rank int"), "named": none("filename string"), "lexical": none("chunk_id string, bm25 double, bm25_rank int"), "rrf": scored.drop("origin"), "catalog": listed, "floors": none("chunk_id string, floor double, origin string"), "boosted": scored, "reranked": scored}
         asked = listed.select("q_id").distinct().join(questions_text, "q_id")
         return out | {"top": none("chunk_id string, score double, pos int"), "context": none("chunk_id string, pos int, origin string"), "blocks": listed, "citations": citations(listed, chunks, originals), "prompts": prompts(listed, asked)}
+
+    if questions.isEmpty():
+        return unsearched()
     # Stages that several later ones read are written once; each has a bounded number of rows a question.
     sem = materialize(dense.top_k(questions if filtered else questions.drop("folder_filter"), vectors, k=k, dim=dim), "dense")
     named = named_documents(questions, chunks)
     q = questions.join(open_questions(sem, named), "q_id", "left_semi")
     q = q.select("q_id", "text", "folder_filter").withColumn("for_value", text.is_value_question(F.col("text")))
     q, named = materialize(q, "questions"), materialize(named.join(q.select("q_id"), "q_id", "left_semi"), "named")
+    if q.isEmpty():
+        return unsearched() | {"dense": sem}
     if callable(index):
-        index = bm25.Index(None) if q.isEmpty() else index()
+        index = index()
     # All keyword lists come from one pass over the index.
     no_file, ask = F.lit(None).cast("string"), ["q_id", "text", "filename", "k", "folder_filter"]
     lists = {"main": q.select("q_id", "text", no_file.alias("filename"), F.lit(2 * k).alias("k"), "folder_filter")}

@@ -137,3 +137,14 @@ def test_catalogue_questions_search_nothing(spark, monkeypatch):
     got = retrieval.stages(q, c, None, v)
     assert [r.chunk_id for r in got["blocks"].collect()] == ["d_1_0"] and got["prompts"].count() == got["citations"].count() == 1
     assert all(got[s].count() == 0 for s in ("dense", "named", "lexical", "rrf", "floors", "boosted", "reranked", "top", "context"))
+
+
+def test_equal_questions_are_cut_into_pieces_once(spark):
+    """Thousands of questions with one text make the pieces of one (catalog_context)."""
+    q = spark.range(500).select(F.col("id").alias("q_id"), F.lit("show me name7.txt and all of the rest").alias("text"))
+    f = spark.createDataFrame([(f"name{i}.txt",) for i in range(9)], "filename string")
+    got = retrieval.named_documents(q, f)
+    assert got.where("filename = 'name7.txt'").count() == got.count() == 500
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate explode") :]
+    assert "Aggregate [" in below[: below.index("Range")]
