@@ -90,7 +90,8 @@ def named_documents(questions: DataFrame, files: DataFrame, least: int = STEM_LE
         piece = F.when(F.length(key) >= n, F.substring(key, 1, n)).otherwise(piece)
     f = f.withColumn("g", piece)
     word = F.expr(r"t rlike concat('(?U)(?<!\\w)\\Q', replace(s, '\\E', ''), '\\E(?!\\w)')")
-    held = q.join(f, "g").where(F.col("t").contains(F.col("f")) | ((F.length("s") >= least) & F.col("t").contains(F.col("s")) & word)).select("t", "filename").distinct()
+    # Spark takes the pieces to be as few as the texts and would send them all to the executors.
+    held = q.join(f.hint("merge"), "g").where(F.col("t").contains(F.col("f")) | ((F.length("s") >= least) & F.col("t").contains(F.col("s")) & word)).select("t", "filename").distinct()
     return asked.join(held, "t").select("q_id", "filename").distinct()
 
 

@@ -148,3 +148,4 @@ def test_equal_questions_are_cut_into_pieces_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Generate explode") :]
     assert "Aggregate [" in below[: below.index("Range")]
+    assert "SortMergeJoin [g#" in got._jdf.queryExecution().executedPlan().toString()
