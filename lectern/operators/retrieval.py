@@ -255,7 +255,9 @@ def variants(questions: DataFrame, expand=None, most: int = 3) -> DataFrame:
 
 # -- the whole ----------------------------------------------------------------
 def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *, k: int = 15, dim: int = 64, reranker=None, originals: DataFrame | None = None, conversation: DataFrame | None = None, embed=None, until: str = "prompts") -> dict[str, DataFrame]:
-    """The stages from candidates to prompts for all questions, as far as ``until`` (rrf, floors, boosted, context or all).
+    """The stages from candidates to prompts for all questions, as far as ``until`` (rrf, floors, boosted, top, context or all).
+
+    Only what ``until`` needs is worked out: ``floors`` comes without the ranked lists.
 
     ``questions(q_id, text, vec, self_id [, folder_filter])``, ``chunks`` as stored,
     ``vectors(chunk_id, vec [, folder])``. With a ``folder_filter`` every list, floor and
@@ -278,8 +280,13 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
         questions = questions.withColumn("self_id", F.lit(""))
     questions_text = questions.select("q_id", "text")
     # Catalogue questions leave the ranked lists if there is anything to show for them.
-    listed = materialize(corpus.catalog_context(questions.where(text.is_catalog_question(F.col("text"))), chunks), "catalog")
-    questions = questions.join(listed.select("q_id").distinct(), "q_id", "left_anti")
+    about = questions.where(text.is_catalog_question(F.col("text")))
+    listed = corpus.catalog_context(about, chunks)
+    if about.isEmpty():
+        listed = listed.sparkSession.createDataFrame([], listed.schema)
+    else:
+        listed = materialize(listed, "catalog")
+        questions = questions.join(listed.select("q_id").distinct(), "q_id", "left_anti")
 
     def unsearched() -> dict[str, DataFrame]:
         """Nothing is left to rank: the catalogue is all there is."""
@@ -294,17 +301,19 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
         return unsearched()
     # Stages that several later ones read are written once; each has a bounded number of rows a question.
     sem = materialize(dense.top_k(questions if filtered else questions.drop("folder_filter"), vectors, k=k, dim=dim), "dense")
-    named = named_documents(questions, chunks)
+    # A question that names a document is open, so no name is left out later.
+    named = materialize(named_documents(questions, chunks), "named")
     q = questions.join(open_questions(sem, named), "q_id", "left_semi")
-    q = q.select("q_id", "text", "folder_filter").withColumn("for_value", text.is_value_question(F.col("text")))
-    q, named = materialize(q, "questions"), materialize(named.join(q.select("q_id"), "q_id", "left_semi"), "named")
+    q = materialize(q.select("q_id", "text", "folder_filter").withColumn("for_value", text.is_value_question(F.col("text"))), "questions")
     if q.isEmpty():
         return unsearched() | {"dense": sem}
     if callable(index):
         index = index()
     # All keyword lists come from one pass over the index.
     no_file, ask = F.lit(None).cast("string"), ["q_id", "text", "filename", "k", "folder_filter"]
-    lists = {"main": q.select("q_id", "text", no_file.alias("filename"), F.lit(2 * k).alias("k"), "folder_filter")}
+    lists = {}
+    if until != "floors":
+        lists["main"] = q.select("q_id", "text", no_file.alias("filename"), F.lit(2 * k).alias("k"), "folder_filter")
     if until != "rrf":
         digest = q.where(text.is_comparison(F.col("text"))).select("q_id", F.concat(F.lit("domain performance digest top performer "), "text").alias("text"), "folder_filter")
         lists["named"] = slots_of_named(named).where("filename is not null").join(q.select("q_id", "text", "folder_filter"), "q_id").withColumn("k", F.col("slots")).select(*ask)
@@ -312,17 +321,19 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
         lists["comparison"] = digest.select("q_id", "text", no_file.alias("filename"), F.lit(k).alias("k"), "folder_filter")
     found = materialize(bm25.search_lists(index, reduce(DataFrame.unionByName, [x.withColumn("list", F.lit(name)) for name, x in lists.items()])), "scores")
     listing = lambda name: found.where(F.col("list") == name).drop("list")
-    every = listing("main")
-    best = every.join(q.select("q_id", "for_value"), "q_id")
-    lexical = best.where(F.col("bm25_rank") <= F.when(F.col("for_value"), 2 * k).otherwise(k)).select("q_id", "chunk_id", "bm25", "bm25_rank")
-    # Keyword hits that the dense list lacks stand behind it, in their own order.
-    near = sem.join(q.select("q_id"), "q_id", "left_semi").select("q_id", "chunk_id", "sem_rank", F.lit(None).cast("int").alias("bm25_rank"))
-    only = lexical.join(near.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "left_anti").select("q_id", "chunk_id", F.lit(None).cast("int").alias("sem_rank"), "bm25_rank")
-    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.asc_nulls_last("sem_rank"), "bm25_rank"))
-    lists = near.unionByName(only).select("q_id", "chunk_id", place.alias("rank"), F.lit(False).alias("lexical"))
-    lists = lists.unionByName(lexical.select("q_id", "chunk_id", F.col("bm25_rank").alias("rank"), F.lit(True).alias("lexical"))).join(q.select("q_id", "for_value"), "q_id")
-    scores = rrf(lists, weight=F.when(F.col("lexical") & F.col("for_value"), 2.0).otherwise(1.0))
-    out = {"dense": sem, "named": named, "lexical": lexical, "rrf": scores, "catalog": listed}
+    out = {"dense": sem, "named": named, "catalog": listed}
+    if until != "floors":
+        every = listing("main")
+        best = every.join(q.select("q_id", "for_value"), "q_id")
+        lexical = best.where(F.col("bm25_rank") <= F.when(F.col("for_value"), 2 * k).otherwise(k)).select("q_id", "chunk_id", "bm25", "bm25_rank")
+        # Keyword hits that the dense list lacks stand behind it, in their own order.
+        near = sem.join(q.select("q_id"), "q_id", "left_semi").select("q_id", "chunk_id", "sem_rank", F.lit(None).cast("int").alias("bm25_rank"))
+        only = lexical.join(near.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "left_anti").select("q_id", "chunk_id", F.lit(None).cast("int").alias("sem_rank"), "bm25_rank")
+        place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.asc_nulls_last("sem_rank"), "bm25_rank"))
+        lists = near.unionByName(only).select("q_id", "chunk_id", place.alias("rank"), F.lit(False).alias("lexical"))
+        lists = lists.unionByName(lexical.select("q_id", "chunk_id", F.col("bm25_rank").alias("rank"), F.lit(True).alias("lexical"))).join(q.select("q_id", "for_value"), "q_id")
+        scores = rrf(lists, weight=F.when(F.col("lexical") & F.col("for_value"), 2.0).otherwise(1.0))
+        out |= {"lexical": lexical, "rrf": scores}
     if until == "rrf":
         return out
     floors = inject_named(listing("named"), named, chunks, q).unionByName(inject_subsystems(q, chunks, lambda n: listing("subsystem")))
@@ -341,10 +352,12 @@ def stages(questions: DataFrame, chunks: DataFrame, index, vectors: DataFrame, *
     out |= {"boosted": boosted, "reranked": ordered}
     if until == "boosted":
         return out
-    top = materialize(diverse(ordered, chunks, named), "top")
+    out["top"] = top = materialize(diverse(ordered, chunks, named), "top")
+    if until == "top":
+        return out
     whole = with_tables(with_summaries(top, chunks), chunks)
     whole = materialize(bm25.in_folder(whole, q, chunks) if filtered else whole, "context")
-    out |= {"top": top, "context": whole}
+    out["context"] = whole
     if until == "context":
         return out
     given = blocks(whole, chunks).unionByName(listed)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,43 @@ def test_equal_questions_are_cut_into_pieces_once(spark):
     below = plan[plan.index("Generate explode") :]
     assert "Aggregate [" in below[: below.index("Range")]
     assert "SortMergeJoin [g#" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stages_do_only_what_is_asked(spark, monkeypatch):
+    """Floors need no ranked list and names are sought once; the best chunks need no context (named_injection, reranked_scores, diverse_top)."""
+    c = spark.createDataFrame([(f"d{i}_1_0", f"d{i}", f"name{i}.txt", "A", 1, 0, None, None, f"[T] domain digest Pump AB-{i}") for i in range(9)], CHUNK)
+    q = spark.createDataFrame([(1, "AB-1 Pump name2.txt compare which is highest", [1.0] * 64, "")], "q_id long, text string, vec array<float>, self_id string")
+    v = spark.createDataFrame([(f"d{i}_1_0", [1.0 + i] * 64) for i in range(9)], "chunk_id string, vec array<float>")
+    index, written, write = bm25.build(c, use_stem=False), {}, retrieval.materialize
+
+    def kept(df, tag):
+        written[tag] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, tag)
+
+    monkeypatch.setattr(retrieval, "materialize", kept)
+    floors = retrieval.stages(q, c, index, v, until="floors")
+    assert "catalog" not in written and "main" not in written["scores"] and [tag for tag, plan in written.items() if "contains(" in plan.lower()] == ["named"]
+    assert [r.filename for r in floors["named"].collect()] == ["name2.txt"]
+    best, whole = retrieval.stages(q, c, index, v, until="top"), retrieval.stages(q, c, index, v)
+    assert "context" not in best and best["top"].collect() == whole["top"].collect() and best["reranked"].count() == whole["reranked"].count()
+    assert {tuple(r) for r in floors["floors"].collect()} == {tuple(r) for r in whole["floors"].collect()}
+
+
+def test_dense_blocks_rank_few(monkeypatch):
+    """Wide blocks give the exact best with equal similarities by id, ranking little of a block (named_injection)."""
+    rng, k = np.random.default_rng(3), 5
+    u, asks = rng.integers(-2, 3, (900, 4)).astype(float) + 0.5, rng.integers(-2, 3, (7, 4)).astype(float) + 0.25
+    ids = [f"c{i:03d}" for i in rng.permutation(900)]
+    unit = lambda m: m / np.sqrt((m * m).sum(axis=1))[:, None]
+    asked = {"q_id": np.arange(7), "u": unit(asks), "self": pa.array([ids[0], None, None, ids[5], "", "", ""]), "folder": pa.array([None, "A", None, "B", None, None, "none"])}
+    folders = ["A" if i % 3 else "B" for i in range(900)]
+    widths, partition = [], np.partition
+    monkeypatch.setattr(dense.np, "partition", lambda a, *x, **y: widths.append(a.shape[-1]) or partition(a, *x, **y))
+    chunks = pa.RecordBatch.from_pydict({"chunk_id": ids, "vec": u.tolist(), "folder": folders})
+    run = dense._search(type("Sent", (), {"value": asked}), k, 4, 3, 400)
+    got = [tuple(r.values()) for b in run(iter([chunks.slice(0, 500), chunks.slice(500)])) for r in b.to_pylist()]
+    sim = np.round(unit(asks) @ unit(u).T, 9)
+    for i in range(7):
+        want = sorted((-sim[i, j], ids[j]) for j in range(900) if ids[j] != asked["self"][i].as_py() and asked["folder"][i].as_py() in (None, folders[j]))[:k]
+        assert sorted((-s, c) for q, c, s in got if q == i)[:k] == want
+    assert widths and max(widths) <= 4 * k
