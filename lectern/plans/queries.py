@@ -225,7 +225,7 @@ def reranked_scores(spark, d):
 @query(CHAIN + "SELECT q_id, chunk_id, pos FROM top")
 def diverse_top(spark, d):
     """The best 8, few of a file (V3, K4)."""
-    return _stages(spark, d, "context")["top"].select("q_id", "chunk_id", "pos")
+    return _stages(spark, d, "top")["top"].select("q_id", "chunk_id", "pos")
 
 
 @query(CHAIN + "SELECT q_id, chunk_id, pos, origin FROM ctx")
