@@ -86,8 +86,8 @@ def build(chunks: DataFrame, *, use_stem: bool = True, unique: bool = False) ->
 BROADCAST_TERMS = 200_000
 #: So many texts go through the index at a time.
 ASKS = 100_000
-#: In an index of more chunks than ``SEEDED`` one chunk of ``SEEDS`` is searched first, for what the best of all reach at least.
-SEEDED, SEEDS = 50_000, 16
+#: In an index of more chunks than ``SEEDED`` one chunk of ``SEEDS`` is searched first, ``SEED_BLOCK`` of them together, for what the best of all reach at least.
+SEEDED, SEEDS, SEED_BLOCK = 50_000, 16, 16_384
 ASKED = "ask bigint, chunk_id string, bm25 double"
 
 
@@ -137,11 +137,12 @@ def _search(index: Index, questions: DataFrame, keys: list[str]) -> DataFrame:
             q = rows.where(F.pmod(F.xxhash64("ask"), F.lit(many)) == part).withColumn("least", F.lit(0.0))
             if size.n > SEEDED and keys != ["q_id", "filename"]:
                 # The k-th best of some chunks: the k-th best of all is no worse, so most blocks have little to look at.
-                some = _blocks(q.where("filename is null"), over.where(F.pmod(F.xxhash64("chunk_id"), F.lit(SEEDS)) == 0).coalesce(cores), avgdl)
+                some = _blocks(q.where("filename is null"), over.where(F.pmod(F.xxhash64("chunk_id"), F.lit(SEEDS)) == 0).coalesce(min(cores, -(-size.n // (SEEDS * SEED_BLOCK)))), avgdl)
                 kth = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("bm25")))
                 seeds = some.select("ask", "bm25").withColumn("r", kth).join(rows.select("ask", "k"), "ask").where("r = k").select("ask", F.col("bm25").alias("seed"))
                 q = q.join(seeds, "ask", "left").withColumn("least", F.greatest(F.lit(0.0), F.coalesce("seed", F.lit(0.0))))
-            found = found.unionByName(_blocks(q, over.coalesce(max(2 * cores, -(-size.n // bm25_blocks.BLOCK))), avgdl))
+            # Every ask costs something in every block, so there are no more than the cores or the size of a block need.
+            found = found.unionByName(_blocks(q, over.coalesce(max(cores, -(-size.n // bm25_blocks.BLOCK))), avgdl))
     r = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc(F.round("bm25", 9)), "chunk_id"))
     top = found.join(asks, "ask").withColumn("bm25_rank", r).where(F.col("bm25_rank") <= F.col("k"))
     top = top.where("filename is not null or bm25 > 0")

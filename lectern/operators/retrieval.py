@@ -88,7 +88,8 @@ def named_documents(questions: DataFrame, files: DataFrame, least: int = STEM_LE
     key, piece = F.when(F.col("s") == "", F.col("f")).otherwise(F.col("s")), F.lit(None).cast("string")
     for n in PIECES:
         piece = F.when(F.length(key) >= n, F.substring(key, 1, n)).otherwise(piece)
-    f = f.withColumn("g", piece)
+    # Never null, else Spark works the pieces out for every row of files, before these are made distinct, to leave null ones out.
+    f = f.withColumn("g", F.coalesce(piece, F.lit("")))
     word = F.expr(r"t rlike concat('(?U)(?<!\\w)\\Q', replace(s, '\\E', ''), '\\E(?!\\w)')")
     # Spark takes the pieces to be as few as the texts and would send them all to the executors.
     held = q.join(f.hint("merge"), "g").where(F.col("t").contains(F.col("f")) | ((F.length("s") >= least) & F.col("t").contains(F.col("s")) & word)).select("t", "filename").distinct()

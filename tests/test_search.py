@@ -190,3 +190,40 @@ def test_dense_blocks_rank_few(monkeypatch):
         want = sorted((-sim[i, j], ids[j]) for j in range(900) if ids[j] != asked["self"][i].as_py() and asked["folder"][i].as_py() in (None, folders[j]))[:k]
         assert sorted((-s, c) for q, c, s in got if q == i)[:k] == want
     assert widths and max(widths) <= 4 * k
+
+
+def test_scores_shuffle_no_vectors(spark):
+    """Only the vectors of repeated chunks are shuffled, and the tasks leave out what isn't usable (reranked_scores)."""
+    nan = float("nan")
+    v = [[1.0, 0.0], [1.0, 1.0], [0.0, 0.0], None, [nan, 1.0], [None, 1.0], [1.0], [float("inf"), 0.0]]
+    q = spark.createDataFrame([(1, [1.0, 0.0], "")], "q_id long, vec array<float>, self_id string")
+    s = spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(v)], "chunk_id string, vec array<float>")
+    got = dense.top_k(q, s, k=9, dim=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("MapInArrow") :] and [r.chunk_id for r in got.orderBy("sem_rank").collect()] == ["c0", "c1"]
+    # Of a repeated chunk a usable vector counts; doubles are taken as they are, and chunks without id left out.
+    twice = s.unionByName(spark.createDataFrame([("c2", [0.0, 1.0]), ("c3", [0.0, 2.0]), ("c4", [nan, nan]), ("c0", [2.0, 0.0]), (None, [1.0, 0.0])], s.schema))
+    for kind in ("float", "double"):
+        t = twice.select("chunk_id", F.col("vec").cast(f"array<{kind}>").alias("vec"))
+        assert [(r.chunk_id, round(r.distance, 6)) for r in dense.top_k(q, t, k=9, dim=2).orderBy("sem_rank").collect()] == [("c0", 0), ("c1", round(1 - 0.5**0.5, 6)), ("c2", 1), ("c3", 1)]
+
+
+def test_scores_cut_each_file_name_once(spark):
+    """The pieces of names are worked out after names are made distinct, not for each chunk (reranked_scores)."""
+    q = spark.createDataFrame([(1, "show me name7.txt")], "q_id long, text string")
+    f = spark.range(50).select(F.concat(F.lit("name"), F.col("id") % 9, F.lit(".txt")).alias("filename"))
+    got = retrieval.named_documents(q, f)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    names = plan[plan.index("Aggregate [filename") :]
+    assert "regexp_replace" not in names and [tuple(r) for r in got.collect()] == [(1, "name7.txt")]
+
+
+def test_scores_search_few_blocks(spark, monkeypatch):
+    """An index in many pieces is searched in no more blocks than there are cores, and its few first chunks together (reranked_scores)."""
+    c = spark.createDataFrame([(f"d{i}_1_0", "name.txt", "A", f"word{i % 7} word{i % 3} pump") for i in range(200)], "chunk_id string, filename string, folder string, content string").repartition(20)
+    q, index = spark.createDataFrame([(1, "word3 pump"), (2, "word1 word2")], "q_id long, text string"), bm25.build(c, use_stem=False, unique=True)
+    want, blocks, seen = bm25.search(index, q, 5).collect(), bm25._blocks, []
+    monkeypatch.setattr(bm25, "SEEDED", 50)
+    monkeypatch.setattr(bm25, "_blocks", lambda rows, forward, avgdl: seen.append(forward.rdd.getNumPartitions()) or blocks(rows, forward, avgdl))
+    assert sorted(map(tuple, bm25.search(index, q, 5).collect())) == sorted(map(tuple, want)) and len(want) == 10
+    assert seen == [1, spark.sparkContext.defaultParallelism]
