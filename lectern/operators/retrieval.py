@@ -79,8 +79,8 @@ def named_documents(questions: DataFrame, files: DataFrame, least: int = STEM_LE
     """
     grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
     asked = questions.select("q_id", F.lower("text").alias("t")).where("t <> ''")
-    # Questions that are alike are looked through once.
-    q = asked.select("t").distinct()
+    # Questions that are alike are looked through once, by all cores: few as they are, Spark would give them to one task.
+    q = asked.select("t").repartition(questions.sparkSession.sparkContext.defaultParallelism, "t").distinct()
     q = q.select("t", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("t"), n) for n in PIECES])))).alias("g"))
     f = files.select("filename").where("filename is not null and filename <> ''").distinct().withColumn("f", F.lower("filename"))
     f = f.withColumn("s", F.regexp_replace("f", r"\.[^.]*$", ""))

@@ -227,3 +227,21 @@ def test_scores_search_few_blocks(spark, monkeypatch):
     monkeypatch.setattr(bm25, "_blocks", lambda rows, forward, avgdl: seen.append(forward.rdd.getNumPartitions()) or blocks(rows, forward, avgdl))
     assert sorted(map(tuple, bm25.search(index, q, 5).collect())) == sorted(map(tuple, want)) and len(want) == 10
     assert seen == [1, spark.sparkContext.defaultParallelism]
+
+
+def test_scores_of_near_equal_vectors_are_exact(monkeypatch):
+    """Similarities that single precision can't tell apart are ranked by their nine decimals (reranked_scores)."""
+    rng, n, k = np.random.default_rng(5), 600, 7
+    u = np.array([[1.0, 1.0, 1.0, 1.0]]) + rng.normal(0, 1e-4, (n, 4))
+    ids, asks = [f"c{i:03d}" for i in rng.permutation(n)], u[:5] + 1e-5
+    unit = lambda m: m / np.sqrt((m * m).sum(axis=1))[:, None]
+    asked = {"q_id": np.arange(5), "u": unit(asks), "self": pa.array([""] * 5), "folder": pa.array([None] * 5, pa.string())}
+    monkeypatch.setattr(dense, "EXACT", 50)
+    products, matmul = [], np.einsum
+    monkeypatch.setattr(dense.np, "einsum", lambda *a: products.append(len(a[1])) or matmul(*a))
+    batch = pa.RecordBatch.from_pydict({"chunk_id": ids, "vec": u.tolist(), "folder": ["A"] * n})
+    got = [tuple(r.values()) for b in dense._search(type("Sent", (), {"value": asked}), k, 4, 3, 250)(iter([batch.slice(0, 300), batch.slice(300)])) for r in b.to_pylist()]
+    sim = np.round(unit(asks) @ unit(u).T, 9)
+    for i in range(5):
+        assert sorted((-s, c) for q, c, s in got if q == i)[:k] == sorted((-sim[i, j], ids[j]) for j in range(n))[:k]
+    assert products and max(products) <= 50
